@@ -17,12 +17,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
+#: Text bytes of a batch that goes back to the JVM at once.
+SLICE_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession) -> str:
@@ -55,21 +58,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], made: T.StructType, carry_text: bool = True) -> DataFrame:
-    """Add columns computed from a text column, one Arrow batch after another, without a shuffle.
+def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], made: T.StructType, carry_text: bool = True, binary: bool = False) -> DataFrame:
+    """Add columns computed from a text column (or a binary one), one Arrow batch after another, without a shuffle.
 
     ``make()`` runs once per task and returns a function from the batch's text array to one array for each
     field of ``made``. Without ``carry_text`` the text column itself does not come back from Python.
     """
     keep = [c for c in carried(df, made.fieldNames()) if c != text]
-    source = df.select(F.col(f"`{text}`").cast("string").alias("__text"), *[df[f"`{c}`"] for c in keep])
+    given = F.col(f"`{text}`")
+    source = df.select((given if binary else given.cast("string")).alias("__text"), *[df[f"`{c}`"] for c in keep])
     keeps_text = carry_text and text.lower() not in {n.lower() for n in made.fieldNames()}
-    fields = ([T.StructField(text, T.StringType())] if keeps_text else []) + [source.schema[c] for c in keep] + made.fields
+    fields = ([T.StructField(text, T.BinaryType() if binary else T.StringType())] if keeps_text else []) + [source.schema[c] for c in keep] + made.fields
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in _slices(batches):
             columns = ([batch.column(0)] if keeps_text else []) + [batch.column(i + 1) for i in range(len(keep))]
             columns += work(batch.column(0))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
@@ -79,6 +83,17 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], l
     return out.select(*[f"`{c}`" for c in order], *[f"`{n}`" for n in made.fieldNames()])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about ``SLICE_BYTES`` in the first column, a string or binary, without copying."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+        for a, b in chunks(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), SLICE_BYTES):
+            yield batch.slice(a, b - a)
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and the n+1 row offsets of a string array; a null row is empty."""
     if isinstance(array, pa.ChunkedArray):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, neardup, quality
+from . import decontaminate, language, media, mixing, neardup, quality, sharding
 
 QUERIES = {
+    "op1_media": media.op1_media,
+    "op3_mixing": mixing.op3_mixing,
     "op4_near_duplicates": neardup.op4_near_duplicates,
+    "op5_language": language.op5_language,
     "op6_quality": quality.op6_quality,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op10_sharding": sharding.op10_sharding,
 }
 
 ORACLE = {
