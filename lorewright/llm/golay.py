@@ -36,9 +36,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
                 syndrome ^= unit[i]
             error[syndrome], weight[syndrome] = sum(1 << i for i in bits), k
     # the codewords of weight 7; with a 3-bit error inside one of them, it is at distance 4
-    words = np.arange(1 << LENGTH, dtype=np.int64)
-    ones = np.bitwise_count(words.astype(np.uint32))
-    seven = words[(ones == 7) & ((low[words & 0xFFF] ^ high[words >> 12]) == 0)]
+    message = np.arange(1 << MESSAGE, dtype=np.int64) << 11
+    code = message ^ low[message & 0xFFF] ^ high[message >> 12]
+    seven = code[np.bitwise_count(code) == 7]
     around = np.zeros((1 << 11, 5), np.int64)
     for s in np.flatnonzero(weight == 3):
         around[s] = seven[(seven & error[s]) == error[s]]
