@@ -41,13 +41,19 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lorewright-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    path = path or scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing will read any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def carried(df: DataFrame, made: list[str]) -> list[str]:
     """The columns of ``df`` that no column in ``made`` replaces."""
     taken = {name.lower() for name in made}

@@ -35,35 +35,42 @@ def suffix_array(key: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     Equal suffixes of different strings stand in the order of their positions.
     """
     n = len(key)
-    order = np.argsort(key, kind="stable")
-    position = np.arange(n)
+    order = np.argsort(key)
     ordered = key[order]
     head = np.empty(n, bool)
     head[:1] = True
     np.not_equal(ordered[1:], ordered[:-1], out=head[1:])
-    first = np.maximum.accumulate(np.where(head, position, 0))
+    first = np.flatnonzero(head)
     rank = np.empty(n, np.int64)
-    rank[order] = first + 1
+    rank[order] = np.repeat(first + 1, np.diff(np.append(first, n)))
     length = _SYMBOLS
-    single = head & np.append(head[1:], True)
-    todo = np.flatnonzero(~single)  # places in the order that are not settled
+    todo = np.flatnonzero(~(head & np.append(head[1:], True)))  # places in the order that are not settled
+    equal = []
     while len(todo):
         suffix = order[todo]
         group = rank[suffix]
-        more = suffix + length < ends[suffix]
+        ahead = suffix + length
+        more = ahead < ends[suffix]
         # a suffix that has ended stands before the others of its group, beside equals that have ended too
-        second = np.where(more, rank[np.where(more, suffix + length, 0)], 0)
-        moved = np.lexsort((suffix, second, group))
-        suffix, group, second, more = suffix[moved], group[moved], second[moved], more[moved]
+        joint = group * (n + 1)
+        joint[more] += rank[ahead[more]]
+        moved = np.argsort(joint)
+        suffix, joint, more = suffix[moved], joint[moved], more[moved]
         order[todo] = suffix
         new = np.empty(len(todo), bool)
         new[:1] = True
-        new[1:] = (group[1:] != group[:-1]) | (second[1:] != second[:-1])
-        start = np.maximum.accumulate(np.where(new, np.arange(len(todo)), 0))
-        rank[suffix] = todo[start] + 1
+        np.not_equal(joint[1:], joint[:-1], out=new[1:])
+        start = np.flatnonzero(new)
+        rank[suffix] = np.repeat(todo[start] + 1, np.diff(np.append(start, len(todo))))
         alone = new & np.append(new[1:], True)
+        equal.append(todo[~alone & ~more])
         todo = todo[~alone & more]
         length *= 2
+    same = np.concatenate([*equal, np.zeros(0, np.int64)])  # places of equal suffixes
+    if len(same):
+        same.sort()
+        suffix = order[same]
+        order[same] = suffix[np.argsort(rank[suffix] * (n + 1) + suffix)]
     return order, rank
 
 

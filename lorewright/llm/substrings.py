@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mix, read_table, text_bytes, written
+from .common import chunks, mix, read_table, removed, scratch, text_bytes, written
 from .runindex import RunIndex
 
 LENGTH = 200
@@ -242,12 +242,14 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     said = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("__id"), said.alias("text"), F.xxhash64(said).alias("d"), F.xxhash64(F.lit("check"), said).alias("check"))
     owners = rows.where(F.octet_length("text") >= length).select("text", "d", "check").mapInArrow(_owners(length), "h long, d long, p long")
-    owners = written(owners)
+    spark, once = docs.sparkSession, scratch(docs.sparkSession)
+    owners = written(owners, once)
     twice = owners.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     places = owners.join(twice, "h").groupBy("d").agg(F.collect_set(F.struct("h", "p")).alias("places"))
     found = rows.join(places, "d", "left").select("__id", "d", "check", "text", F.col("places.h").alias("owners"), F.col("places.p").alias("places"))
     plain = F.octet_length("text").cast("bigint")
     found = written(found.select("__id", "d", "check", plain.alias("n_bytes"), F.when(F.col("owners").isNull(), F.sha2("text", 256)).alias("whole"), F.when(F.col("owners").isNotNull(), F.col("text")).alias("text"), "owners", "places"))
+    removed(spark, once)
     some = found.where("owners is not null")
     cut = written(some.select("text", "d", "check", "owners", "places").mapInArrow(_cut(length), _PIECES))
     pieces = cut.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("piece").alias("piece"))
