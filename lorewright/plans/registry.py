@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval, texts
+from . import graphs, notes, retrieval, texts
 
-_MODULES = (retrieval, texts)
+_MODULES = (retrieval, texts, graphs, notes)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

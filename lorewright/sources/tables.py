@@ -83,7 +83,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of clients over ``events``: id, at (ms), client, tool, text."""
     tool = F.when(F.col("event_type") == "view", "memory_search").when(F.col("event_type") == "signup", "memory_save").when(F.col("event_type") == "purchase", "memory_list").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.unix_millis("ts").alias("at"), F.concat(F.lit("client-"), F.col("user_id") % 12).alias("client"), tool.alias("tool"), F.col("props").alias("text"), F.concat(F.lit("d"), F.col("event_id") % 1200).alias("memory_id"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"), F.concat(F.lit("client-"), F.col("user_id") % 12).alias("client"), tool.alias("tool"), F.col("props").alias("text"), F.concat(F.lit("d"), F.col("event_id") % 1200).alias("memory_id"))
 
 
 NOTES_SQL = """
