@@ -232,8 +232,8 @@ ORACLE = {
     "flt_scan_verdict": f"""{_N} SELECT CASE WHEN doc_id % 7 = 1 OR doc_id % 5 = 4 THEN 'secret' WHEN doc_id % 7 = 2 THEN 'system folder' WHEN doc_id % 7 = 3 THEN 'deselected' WHEN doc_id % 5 = 1 THEN 'hidden' WHEN doc_id % 5 = 2 THEN 'format'
 WHEN doc_id % 11 <> 0 AND doc_id % 13 = 0 THEN 'too big' WHEN doc_id % 11 = 0 OR len(content) = 0 THEN 'empty' END AS reason, count(*) AS n FROM notes GROUP BY 1""",
     "agg_folders": f"{_N} SELECT tags[2] AS folder, count(*) AS n, string_agg(DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'md' ELSE 'txt' END, ',' ORDER BY CASE WHEN doc_id % 2 = 0 THEN 'md' ELSE 'txt' END) AS endings FROM notes GROUP BY 1 ORDER BY n DESC, folder LIMIT 20",
-    "flt_audit_page": f"WITH {ACTIVITY_SQL}, r AS (SELECT id, at, client AS actor, tool AS action, memory_id AS target, text AS detail FROM activity WHERE client = 'client-3' AND id < 800 AND (contains(lower(memory_id), '7') OR contains(lower(text), '7'))) SELECT *, (SELECT count(*) > 20 FROM r) AS more FROM r ORDER BY id DESC LIMIT 20",
-    "src_activity_feed": f"{_N}, {ACTIVITY_SQL}, p AS (SELECT * FROM activity WHERE id > 10 ORDER BY id DESC LIMIT 40) SELECT p.id, at, client, tool, coalesce(title, text) AS text, memory_id FROM p LEFT JOIN notes ON notes.id = memory_id AND deleted_at IS NULL",
+    "flt_audit_page": f"""WITH {ACTIVITY_SQL}, r AS (SELECT id, "at", client AS actor, tool AS action, memory_id AS target, text AS detail FROM activity WHERE client = 'client-3' AND id < 800 AND (contains(lower(memory_id), '7') OR contains(lower(text), '7'))) SELECT *, (SELECT count(*) > 20 FROM r) AS more FROM r ORDER BY id DESC LIMIT 20""",
+    "src_activity_feed": f"""{_N}, {ACTIVITY_SQL}, p AS (SELECT * FROM activity WHERE id > 10 ORDER BY id DESC LIMIT 40) SELECT p.id, "at", client, tool, coalesce(title, text) AS text, memory_id FROM p LEFT JOIN notes ON notes.id = memory_id AND deleted_at IS NULL""",
     "win_ring": "SELECT least(500, count(*)) AS n, greatest(min(event_id), max(event_id) - 499) AS first, max(event_id) AS last FROM events",
     "win_timeline": f"{_N}, d AS (SELECT DISTINCT make_timestamp_ms(created_at)::DATE AS day FROM notes WHERE deleted_at IS NULL AND scope = 'team:alpha') SELECT row_number() OVER (ORDER BY day) AS n, day::VARCHAR AS day, day - lag(day) OVER (ORDER BY day) AS gap, (SELECT max(day) - min(day) FROM d) AS span FROM d",
     "srt_groups": f"{_N}, g AS (SELECT tags[2] AS key, count(*) AS size FROM notes GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY size DESC, key) AS rank FROM g), t AS (SELECT *, sum(size) OVER (ORDER BY rank)::BIGINT AS total FROM r) SELECT * FROM t WHERE total <= 60 OR rank = 1",
@@ -245,7 +245,7 @@ WHEN doc_id % 11 <> 0 AND doc_id % 13 = 0 THEN 'too big' WHEN doc_id % 11 = 0 OR
     "dml_trash": f"{_N}, {CHUNKS_SQL}, g AS (SELECT id FROM notes WHERE CASE WHEN id LIKE '%12' THEN false WHEN id LIKE '%2' THEN true ELSE deleted_at IS NOT NULL END) SELECT (SELECT count(*) FROM notes WHERE id NOT IN (SELECT id FROM g)) AS notes, (SELECT count(*) FROM chunks WHERE memory_id NOT IN (SELECT id FROM g)) AS chunks",
     "dml_forget": f"""{_N}, o AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN ['expire', 'supersede', 'delete', 'window'][doc_id % 4 + 1] END AS mode, created_at + (doc_id % 5 - 2) * 1000 AS moment FROM notes)
 SELECT id, CASE WHEN mode = 'expire' THEN {NOW_MS} WHEN mode = 'window' AND moment > coalesce(valid_from, created_at) THEN moment ELSE valid_to END AS valid_to, CASE WHEN mode = 'supersede' THEN 'd1' ELSE superseded_by END AS superseded_by, CASE WHEN mode = 'delete' THEN {NOW_MS} ELSE deleted_at END AS deleted_at FROM o""",
-    "dml_access_fold": f"{_N}, {ACTIVITY_SQL}, s AS (SELECT memory_id, count(DISTINCT id % 50) AS n, max(at) AS at FROM activity GROUP BY 1) SELECT id, access_count + coalesce(n, 0) AS access_count, coalesce(at, last_access_at) AS last_access_at FROM notes LEFT JOIN s ON id = memory_id",
+    "dml_access_fold": f"""{_N}, {ACTIVITY_SQL}, s AS (SELECT memory_id, count(DISTINCT id % 50) AS n, max("at") AS "at" FROM activity GROUP BY 1) SELECT id, access_count + coalesce(n, 0) AS access_count, coalesce("at", last_access_at) AS last_access_at FROM notes LEFT JOIN s ON id = memory_id""",
     "dml_reinforce": f"""WITH RECURSIVE {NOTES_SQL}, {ACTIVITY_SQL}, s AS (SELECT memory_id, CASE WHEN id % 3 = 0 THEN -0.4::DOUBLE ELSE 0.25::DOUBLE END AS d, row_number() OVER (PARTITION BY memory_id ORDER BY id) AS k FROM activity),
 f AS (SELECT id, 0::BIGINT AS k, utility AS u FROM notes UNION ALL SELECT f.id, s.k, greatest(0::DOUBLE, least(1::DOUBLE, u + d)) FROM f JOIN s ON s.memory_id = f.id AND s.k = f.k + 1)
 SELECT id, round(max_by(u, k), 6) AS utility FROM f GROUP BY id""",
@@ -253,5 +253,5 @@ SELECT id, round(max_by(u, k), 6) AS utility FROM f GROUP BY id""",
     "dml_bulk": f"{_N}, i AS (SELECT DISTINCT CASE WHEN len(id) > 2 THEN id ELSE 'nope' END AS id FROM notes WHERE id LIKE '%4') SELECT count(*) AS named, count(*) FILTER (WHERE id <> 'nope') AS changed, count(*) FILTER (WHERE id = 'nope') AS not_found FROM i",
     "dml_repair_plan": f"""{_N}, a AS (SELECT tags[2] AS file, id, row_number() OVER (PARTITION BY tags[2] ORDER BY doc_id, id) AS pos FROM notes WHERE doc_id % 3 > 0), b AS (SELECT tags[2] AS file, title, row_number() OVER (PARTITION BY tags[2] ORDER BY doc_id) AS pos FROM notes WHERE doc_id % 2 = 0)
 SELECT coalesce(a.file, b.file) AS file, CASE WHEN id IS NULL THEN 'insert' WHEN title IS NULL THEN 'drop' ELSE 'update' END AS action, count(*) AS n FROM a FULL JOIN b ON a.file = b.file AND a.pos = b.pos GROUP BY ALL""",
-    "dml_accepted": f"WITH {ACTIVITY_SQL} SELECT client || '|' || memory_id AS key, max(at) AS at FROM activity GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 300",
+    "dml_accepted": f"""WITH {ACTIVITY_SQL} SELECT client || '|' || memory_id AS key, max("at") AS "at" FROM activity GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 300""",
 }

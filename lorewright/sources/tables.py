@@ -129,7 +129,7 @@ claims AS (
 
 ACTIVITY_SQL = """
 activity AS (
-  SELECT event_id AS id, epoch_ms(ts) AS at, 'client-' || (user_id % 12) AS client,
+  SELECT event_id AS id, epoch_us(ts) // 1000 AS "at", 'client-' || (user_id % 12) AS client,
          CASE event_type WHEN 'view' THEN 'memory_search' WHEN 'signup' THEN 'memory_save' WHEN 'purchase' THEN 'memory_list' ELSE event_type END AS tool,
          props AS text, 'd' || (event_id % 1200) AS memory_id
   FROM events)"""
