@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 20
+#: Rows of a batch that goes to Python; with texts of some kilobytes, a few megabytes on either side.
+BATCH_ROWS = 1000
 #: Text bytes of a batch that goes back to the JVM at once.
 SLICE_BYTES = 4 << 20
 
@@ -48,6 +50,11 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small: the usual 10,000 rows are tens of megabytes in the JVM and again in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing will read any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -84,6 +91,7 @@ def map_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], l
             columns += work(batch.column(0))
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
+    small_batches(df.sparkSession)
     out = source.mapInArrow(run, schema)
     order = [c for c in df.columns if c in set(keep) or (c == text and keeps_text)]
     return out.select(*[f"`{c}`" for c in order], *[f"`{n}`" for n in made.fieldNames()])

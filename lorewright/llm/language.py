@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, is_held_out, map_text, read_table
+from .common import chunks, is_held_out, map_text, read_table, small_batches
 
 #: n-grams of a profile, and those of a document that are compared with it.
 RANKS = 300
@@ -94,6 +94,7 @@ def train_profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", r
     Rows with a null language or text teach nothing. What is fetched is ``ranks`` numbers for each language.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    small_batches(docs.sparkSession)
     counts = rows.mapInArrow(_count_grams, _GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= ranks)
     found: dict[str, list[int]] = {}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mix, read_table, removed, scratch, text_bytes, written
+from .common import chunks, mix, read_table, removed, scratch, small_batches, text_bytes, written
 from .runindex import RunIndex
 
 LENGTH = 200
@@ -239,6 +239,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     Texts are judged as UTF-8 bytes; a span may cut a character. A null text is empty; one under ``length`` bytes has
     no window. Copies of a text cover each other. Rows may repeat and ids may be null. Only the two named columns are read.
     """
+    small_batches(docs.sparkSession)
     said = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("__id"), said.alias("text"), F.xxhash64(said).alias("d"), F.xxhash64(F.lit("check"), said).alias("check"))
     owners = rows.where(F.octet_length("text") >= length).select("text", "d", "check").mapInArrow(_owners(length), "h long, d long, p long")
