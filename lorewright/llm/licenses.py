@@ -116,10 +116,10 @@ class LicenseIndex:
                 if group is not None and d - group <= self.band // 2:
                     continue  # the same occurrence
                 group = d
-                lo = max(begin, d - self.band)
+                lo = max(begin, d - self.band, last_end + 1)  # words of an earlier occurrence are taken
                 hi = min(end, d + len(template) + self.band + 1)
                 matched, a, b = align(template, h[lo:hi].tolist(), d - lo, self.band)
-                if matched >= self.coverage * len(template) and lo + a > last_end:
+                if matched and matched >= self.coverage * len(template):
                     last_end = lo + b
                     out[r].append((name, matched / len(template), lo + a - begin, lo + b - begin))
         return out
