@@ -84,8 +84,9 @@ def fit_rates(table: DataFrame, targets: np.ndarray, *, steps: int = STEPS, tole
     """Steps of the projected gradient on the squared relative miss of the targets, from rates of one; the totals reached.
 
     ``table`` has ``n_tokens`` and ``posteriors``. A domain whose target is zero is held to its absolute miss. A step
-    is first tried in the metric of the domains' Gram matrix, which is exact while no rate is held at zero. If it does
-    not help, the plain gradient is taken, with the inverse of the matrix's largest eigenvalue as its length.
+    is first tried in the metric of the domains' Gram matrix over the documents whose rate is not zero, which is exact
+    while no further rate meets zero. If it does not help, the plain gradient is taken, with the inverse of the first
+    matrix's largest eigenvalue as its length.
     """
     table = table.select("n_tokens", "posteriors")
     weight = 1.0 / np.maximum(targets, 1.0)
@@ -104,25 +105,31 @@ def fit_rates(table: DataFrame, targets: np.ndarray, *, steps: int = STEPS, tole
             out[row.i] = row.v
         return out
 
-    def gram_of(n, p):
-        a = p * n[:, None] * weight
-        return a.T @ a
+    def state(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals reached, and the Gram matrix of the documents whose rate is not held at zero."""
+
+        def sums(n, p, steps=tuple(steps)):
+            w = _rates(n, p, steps)
+            a = p * n[:, None] * weight
+            a = a[w > 0]
+            return np.concatenate(((p * (n * w)[:, None]).sum(axis=0), (a.T @ a).ravel()))
+
+        got = reduced(sums, k + k * k)
+        return got[:k], got[k:].reshape(k, k)
 
-    gram = reduced(gram_of, k * k).reshape(k, k)
-    plain = np.eye(k) / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-30)
-    scaled = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     path: list[np.ndarray] = []
-    reached = reduced(lambda n, p: (p * n[:, None]).sum(axis=0), k)
+    reached, gram = state(path)
+    plain = np.eye(k) / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-30)
     for _ in range(steps):
         miss = (reached - targets) * weight
         if float(np.abs(miss).max(initial=0.0)) <= tolerance:
             break
-        for metric in (scaled, plain):
+        for metric in (np.linalg.pinv(gram, rcond=1e-9, hermitian=True), plain):
             tried = [*path, weight * (metric @ miss)]
-            got = reduced(lambda n, p, tried=tuple(tried): (p * (n * _rates(n, p, tried))[:, None]).sum(axis=0), k)
-            if float(np.linalg.norm((got - targets) * weight)) <= 0.9 * float(np.linalg.norm(miss)):
+            got, its_gram = state(tried)
+            if float(np.linalg.norm((got - targets) * weight)) <= 0.95 * float(np.linalg.norm(miss)):
                 break
-        path, reached = tried, got
+        path, reached, gram = tried, got, its_gram
     return path, reached
 
 
@@ -155,17 +162,16 @@ def mix_to_targets(docs: DataFrame, labelled: DataFrame, *, doc_id: str = "doc_i
     totals = np.array([float(x) for x in now])
     wanted = flattened(totals, power) if targets is None else np.array([float(targets.get(d, 0.0)) for d in domains])
     path, _ = fit_rates(table, wanted, steps=steps)
-    steps_taken = [[float(x) for x in step] for step in path]
-
-    @F.pandas_udf(T.DoubleType())
-    def rate(n, p):
-        import pandas as pd
+    taken = F.lit([[float(x) for x in step] for step in path]) if path else F.array().cast("array<array<double>>")
 
-        return pd.Series(_rates(n.to_numpy(float), np.stack(p.to_numpy()) if len(p) else np.zeros((0, k)), [np.array(s) for s in steps_taken]))
+    def moved(w, step):
+        along = F.aggregate(F.zip_with("posteriors", step, lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
+        return F.greatest(F.lit(0.0), w - F.col("n_tokens") * along)
 
+    rate = F.aggregate(taken, F.lit(1.0), moved)
     keep = [c for c in carried(docs, made) if carry_text or c != text]
     draw = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "n_tokens", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    out = rated.select(*[f"`{c}`" for c in keep], "n_tokens", "posteriors", F.round(rate("n_tokens", "posteriors"), 9).alias("rate"))
+    out = rated.select(*[f"`{c}`" for c in keep], "n_tokens", "posteriors", F.round(rate, 9).alias("rate"))
     return out.withColumn("copies", F.floor(F.col("rate") + draw).cast("int"))
 
 
