@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,11 +60,10 @@ def train_ftrl(slots: list[np.ndarray], values: list[np.ndarray], labels: np.nda
 SCALE = 10.0
 
 
-def _fit(rows: pd.DataFrame, classes: list[str], bits: int, epochs: int) -> np.ndarray:
-    """One weight vector per class (one against the rest); a single class gives a bias alone."""
-    rows = rows.sort_values(["rank", "label"], kind="stable")
+def _fit(rows: list[tuple[int, str, str]], classes: list[str], bits: int, epochs: int) -> np.ndarray:
+    """One weight vector per class (one against the rest) from (rank, label, text); a single class gives a bias alone."""
     slots, values = [], []
-    data, offs = text_bytes(pa.array(rows["text"].tolist(), pa.large_string()))
+    data, offs = text_bytes(pa.array([text for _, _, text in rows], pa.large_string()))
     for a, b in chunks(offs):
         slot, row, count = features(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], bits)
         key, times = np.unique(row * (1 << bits) + slot, return_counts=True)
@@ -74,7 +72,7 @@ def _fit(rows: pd.DataFrame, classes: list[str], bits: int, epochs: int) -> np.n
             part = slice(cut[i], cut[i + 1])
             slots.append(np.append(key[part] & ((1 << bits) - 1), 1 << bits))
             values.append(np.append(times[part] * (SCALE / max(1, count[i])), 1.0))
-    return np.stack([train_ftrl(slots, values, (rows["label"] == c).to_numpy(float), bits=bits, epochs=epochs) for c in classes])
+    return np.stack([train_ftrl(slots, values, np.array([float(label == c) for _, label, _ in rows]), bits=bits, epochs=epochs) for c in classes])
 
 
 def fit(labelled: DataFrame, *, per_class: int, bits: int = BITS, epochs: int = 3) -> tuple[list[str], np.ndarray | None]:
@@ -93,11 +91,20 @@ def fit(labelled: DataFrame, *, per_class: int, bits: int = BITS, epochs: int =
     keep = F.lit(False)
     for label, part in share.items():
         keep = keep | ((F.col("label") == label) & (F.col("rank") <= int(-(2**63) + min(part * 2**64, 2**64 - 1))))
-    few = labelled.where(keep).groupBy("label", "rank").agg(F.min("text").alias("text"))  # copies of a row count once
+    few = labelled.where(keep).groupBy("label", "rank").agg(F.min("text").alias("text")).select("label", "rank", "text")  # copies of a row count once
 
     def train(batches):
-        rows = pd.concat([pd.DataFrame({"label": [], "text": [], "rank": []}), *[b.to_pandas() for b in batches]])
-        rows = rows.sort_values("rank", kind="stable").groupby("label", sort=False).head(per_class)
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(i).to_pylist() for i in (1, 0, 2)), strict=True)
+        rows.sort()
+        taken: dict[str, int] = {}
+        first = []
+        for row in rows:
+            taken[row[1]] = taken.get(row[1], 0) + 1
+            if taken[row[1]] <= per_class:
+                first.append(row)
+        rows = first
         if len(rows):
             w = _fit(rows, classes, bits, epochs)
             yield pa.RecordBatch.from_pydict({"w": [x.tobytes() for x in w], "i": list(range(len(w)))}, schema=pa.schema([("w", pa.binary()), ("i", pa.int32())]))

@@ -239,8 +239,13 @@ def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     Of rows that repeat an id one stays. Rows without an id cannot be told apart by one and all stay.
     """
-    kept = near_duplicates(docs, doc_id=doc_id, text=text).where(F.col("component_id").isNotNull()).select(F.col("component_id").alias(doc_id)).distinct()
-    named = docs.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
+    classes = written(near_duplicates(docs, doc_id=doc_id, text=text).where(F.col("component_id").isNotNull()).select(doc_id, "component_id"))
+    kept = classes.select(F.col("component_id").alias(doc_id)).distinct()
+    # the ids are hashed, not sorted with the texts
+    named = docs.where(F.col(doc_id).isNotNull()).join(kept.hint("shuffle_hash"), doc_id, "left_semi")
+    again = classes.where(F.col(doc_id) == F.col("component_id")).groupBy(doc_id).agg(F.count("*").alias("__n")).where("__n > 1").select(doc_id)
+    if not again.isEmpty():
+        named = named.join(again, doc_id, "left_anti").unionByName(named.join(again, doc_id, "left_semi").dropDuplicates([doc_id]))
     return named.unionByName(docs.where(F.col(doc_id).isNull()))
 
 
