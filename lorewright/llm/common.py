@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Rows of a batch that goes to Python; with texts of some kilobytes, a few megabytes on either side.
 BATCH_ROWS = 1000
 #: Text bytes of a batch that goes back to the JVM at once.
