@@ -81,9 +81,15 @@ SECRET_FILES = r"^(\.env.*|id_rsa.*|id_ed25519.*|.*\.pem|.*\.key|.*\.p12|.*\.key
 READABLE = [".md", ".txt", ".pdf", ".docx", ".xlsx", ".html", ".csv", ".json", ".xml", ".yaml", ".yml", ".eml", ".log", ".rtf", ".py", ".ts", ".js", ".sql"]
 
 
-def verdict(path: Column, size: Column, deselected: list[str] | None = None, endings: list[str] | None = None, most: int = 20 * 1024 * 1024) -> Column:
-    """FLT-10, SRC-17, SRC-26: why a file is not read, the first reason that holds; null where it is."""
+def verdict(path: Column, size: Column, deselected: list[str] | None = None, endings: list[str] | None = None, most: int = 20 * 1024 * 1024, root: str | None = None) -> Column:
+    """FLT-10, SRC-17, SRC-26: why a file is not read, the first reason that holds; null where it is.
+
+    Folders above ``root``, the one the user chose, are not judged.
+    """
     low = F.lower(path)
+    if root:
+        at = F.instr(low, root.lower().rstrip("/"))
+        low = F.when(at > 0, F.substring(low, at + len(root.rstrip("/")), F.length(low))).otherwise(low)
     parts = F.filter(F.split(low, r"[\\/]"), lambda x: x != "")
     folders, name = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, -1)
     ending = F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)

@@ -102,37 +102,48 @@ def _counts(tokens: Column, terms: list[str]) -> Column:
     return F.array(*[count(word) for word in terms])
 
 
-def _bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
-    """``rows`` (length, tf array, ...) with ``bm25`` and ``matched``; statistics are over all rows."""
-    sums = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))])
-    out = rows.crossJoin(F.broadcast(sums))  # one row
-    score = F.lit(0.0)
+def _counted(notes: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, deleted_at, length, tf): tokens of each note and how often each term is among them."""
+    folded = [t.translate(str.maketrans(X.ACCENTED, X.PLAIN)) for t in terms]
+    tokens = notes.select("id", "deleted_at", X.index_tokens(F.col("title"), F.col("content"), F.col("tags")).alias("tokens"))
+    return tokens.select("id", "deleted_at", F.size("tokens").alias("length"), _counts(F.col("tokens"), folded).alias("tf"))
+
+
+def corpus_statistics(notes: DataFrame, terms: list[str]) -> dict[str, float]:
+    """One row over all notes, deleted ones too: their number and mean length, in how many each term is, and of the live
+    notes those with all terms and those with any. It is fetched, so that the scores need no second look at it."""
+    rows = _counted(notes, terms)
+    every, some = F.col("deleted_at").isNull(), F.lit(False)
     for i in range(len(terms)):
-        tf, df = F.col("tf")[i], F.col(f"df{i}")
-        idf = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5) + 1)
-        score = score + F.when(tf > 0, idf * ((tf * (K1 + 1)) / (tf + K1 * (1 - B + B * (F.col("length") / F.col("avg_length")))))).otherwise(0.0)
-    matched = sum((F.col("tf")[i] > 0).cast("int") for i in range(len(terms)))
-    return out.withColumn("bm25", score).withColumn("matched", matched)
+        every, some = every & (F.col("tf")[i] > 0), some | (F.col("tf")[i] > 0)
+    got = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"), F.count_if(every).alias("full"), F.count_if(some & F.col("deleted_at").isNull()).alias("any"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    return {k: float(v or 0) for k, v in got.asDict().items()}
 
 
-def bm25(notes: DataFrame, terms: list[str]) -> DataFrame:
+def bm25(notes: DataFrame, terms: list[str], stats: dict[str, float] | None = None) -> DataFrame:
     """RET-02: (id, bm25, matched) of the notes that have a term. Statistics include deleted notes, results do not."""
     terms = list(dict.fromkeys(terms))
     if not terms:
         return notes.limit(0).select("id", F.lit(0.0).alias("bm25"), F.lit(0).alias("matched"))
-    folded = [t.translate(str.maketrans(X.ACCENTED, X.PLAIN)) for t in terms]
-    tokens = notes.select("id", "deleted_at", X.index_tokens(F.col("title"), F.col("content"), F.col("tags")).alias("tokens"))
-    rows = tokens.select("id", "deleted_at", F.size("tokens").alias("length"), _counts(F.col("tokens"), folded).alias("tf"))
-    return _bm25(rows, folded).where("matched > 0 AND deleted_at IS NULL").select("id", "bm25", "matched")
+    stats = stats or corpus_statistics(notes, terms)
+    n, mean = F.lit(stats["n_docs"]), F.lit(stats["avg_length"] or 1.0)
+    score, matched = F.lit(0.0), F.lit(0)
+    for i in range(len(terms)):
+        tf, df = F.col("tf")[i], F.lit(stats[f"df{i}"])
+        idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
+        score = score + F.when(tf > 0, idf * ((tf * (K1 + 1)) / (tf + K1 * (1 - B + B * (F.col("length") / mean))))).otherwise(0.0)
+        matched = matched + (tf > 0).cast("int")
+    return _counted(notes, terms).where("deleted_at IS NULL").select("id", score.alias("bm25"), matched.alias("matched")).where("matched > 0")
 
 
-def bm25_and_or(notes: DataFrame, terms: list[str], limit: int) -> DataFrame:
+def bm25_and_or(notes: DataFrame, terms: list[str], limit: int, stats: dict[str, float] | None = None) -> DataFrame:
     """RET-03: if enough notes have all the terms, only those; else all, the best ``limit`` by score, then id."""
     terms = list(dict.fromkeys(terms))
-    scored = bm25(notes, terms)
-    full = scored.agg(F.count_if(F.col("matched") == len(terms)).alias("full"))
-    kept = scored.crossJoin(F.broadcast(full)).where((F.col("full") < limit) | (F.col("matched") == len(terms)))
-    return kept.select("id", "bm25", "matched").orderBy(F.desc("bm25"), "id").limit(limit)
+    stats = stats or (corpus_statistics(notes, terms) if terms else {"full": 0.0})
+    scored = bm25(notes, terms, stats)
+    if stats["full"] >= limit:
+        scored = scored.where(F.col("matched") == len(terms))
+    return scored.orderBy(F.desc("bm25"), "id").limit(limit)
 
 
 def vector_leg(chunks: DataFrame, query_vector: list[float], model: str, keep: DataFrame | None = None) -> DataFrame:
@@ -218,28 +229,27 @@ def search(notes: DataFrame, s: Search, *, chunks: DataFrame | None = None, quer
     now = s.as_of if s.as_of is not None else s.now_ms
     live = notes.where("deleted_at IS NULL")
     if query:
-        legs = []
-        weight: Column | float = 1.0
+        legs, spoke, weight = [], False, 1.0
         if "bm25" in s.legs:
+            terms = list(dict.fromkeys(content_terms(query)))
+            stats = corpus_statistics(notes, terms) if terms else {"full": 0.0, "any": 0.0}
+            spoke = stats["any"] > 0
             depth = max(500, 2 * (s.offset + s.limit))
-            legs.append(ranked(bm25_and_or(notes, content_terms(query), depth), "bm25", F.desc("bm25"), F.col("id")))
+            legs.append(ranked(bm25_and_or(notes, terms, depth, stats), "bm25", F.desc("bm25"), F.col("id")))
         if "entity" in s.legs and mentions is not None:
-            legs.append(ranked(entity_leg(mentions, query).join(live.select("id"), "id", "left_semi"), "entity", F.col("id")))
-        others = legs[0] if legs else None
-        for leg in legs[1:]:
-            others = others.unionAll(leg)
+            named = entity_leg(mentions, query).join(live.select("id"), "id", "left_semi")
+            spoke = spoke or not named.isEmpty()
+            legs.append(ranked(named, "entity", F.col("id")))
         vectors = None
         if "vector" in s.legs and chunks is not None and query_vector is not None:
             vectors = vector_leg(chunks, query_vector, model, live)
             legs.append(ranked(vectors, "vector", F.desc("similarity"), F.col("id")))
-        every = legs[0]
+            if spoke:  # a weak vector leg has no vote beside another leg
+                top = vectors.agg(F.max("top").alias("top")).first().top
+                weight = 1.0 if top is not None and top >= N.VECTOR_FLOOR else 0.0
+        every = legs[0] if legs else ranked(notes.limit(0).select("id"), "bm25", F.col("id"))
         for leg in legs[1:]:
             every = every.unionAll(leg)
-        if vectors is not None:
-            spoke = others.agg((F.count("*") > 0).alias("spoke")) if others is not None else notes.sparkSession.range(1).select(F.lit(False).alias("spoke"))
-            top = vectors.agg(F.max("top").alias("vector_top"))
-            every = every.crossJoin(F.broadcast(spoke)).crossJoin(F.broadcast(top))
-            weight = F.when(~F.col("spoke") | (F.col("vector_top") >= N.VECTOR_FLOOR), 1.0).otherwise(0.0)
         hits = fuse(every, weight).join(live, "id")
         if vectors is not None:
             hits = hits.join(vectors.select("id", "similarity"), "id", "left")

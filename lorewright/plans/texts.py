@@ -223,11 +223,11 @@ def terms_sql(c: str, most: int = 12) -> str:
     return f"(CASE WHEN len(list_filter({raw}, lambda t: NOT list_contains({_STOP}, t))) > 0 THEN list_filter({raw}, lambda t: NOT list_contains({_STOP}, t)) ELSE {raw} END)[1:{most}]"
 
 
-def _tokens_sql(c: str, n: int = 2) -> str:
-    w = f"list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[^a-z0-9äöüß]+', ' ', 'g'), ' '), lambda t: t <> '' AND NOT list_contains({_STOP}, t) AND len(t) > 1)"
-    return f"list_concat({w}, list_transform(range(1, len({w})), lambda i: {w}[i] || '_' || {w}[i + 1]))"
+def _words_sql(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[^a-z0-9äöüß]+', ' ', 'g'), ' '), lambda t: t <> '' AND NOT list_contains({_STOP}, t) AND len(t) > 1)"
 
 
+_PAIRED = "list_concat({w}, list_transform(list_zip({w}[1:len({w}) - 1], {w}[2:]), lambda p: p[1] || '_' || p[2]))"
 _CW = "list_filter(regexp_split_to_array(lower(concat_ws(' ', title, content)), '[^\\p{L}\\p{N}]+'), lambda t: len(t) > 1 OR regexp_matches(t, '\\d'))"
 _SPACES = "[\\s\\x{00a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]"
 
@@ -265,7 +265,7 @@ _SHIFTED = f"(updated_at + {NOW_MS - 1704067200000 - 40 * N.DAY_MS})"
 
 ORACLE = {
     "str_terms": f"{_N} SELECT id, array_to_string({terms_sql('content')}, ' ') AS terms FROM notes",
-    "str_tokens": f"{_N} SELECT id, len({_tokens_sql('content')}) AS n, array_to_string({_tokens_sql('title')}[1:8], ' ') AS tokens FROM notes",
+    "str_tokens": f"{_N}, w AS MATERIALIZED (SELECT id, {_words_sql('content')} AS c, {_words_sql('title')} AS t FROM notes) SELECT id, len(c) + greatest(len(c) - 1, 0) AS n, array_to_string({_PAIRED.format(w='t')}[1:8], ' ') AS tokens FROM w",
     "str_shingles": f"{_N}, w AS (SELECT id, {_CW} AS w FROM notes), s AS (SELECT id, CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END AS s FROM w) SELECT id, len(list_distinct(s)) AS n_shingles, s[1] AS first FROM s",
     "str_sanitize": f"{_N} SELECT id, md5({_clean('content', 500)}) AS text_md5, trim(regexp_replace({_clean('content', 200)}, '[\\r\\n]+', ' ', 'g')) AS title, tags[1] || ',' || tags[2] AS tags FROM notes",
     "str_normal": f"{_N} SELECT id, trim(regexp_replace(lower(title), '{_SPACES}+', ' ', 'g')) AS title, len(trim(regexp_replace(lower(content), '{_SPACES}+', ' ', 'g'))) AS n FROM notes",

@@ -55,14 +55,17 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1), r"\.md$", "").alias("name"), F.col("value").alias("text"))
 
 
-def notes_of_markdown(files: DataFrame, now_ms: int) -> DataFrame:
-    """SRC-10: notes of files (name, text): the title is the front matter's unless that is a template's place holder, else the file's name."""
+def notes_of_markdown(files: DataFrame, now_ms: int, id_key: str = "note_id") -> DataFrame:
+    """SRC-10: notes of files (name, text): the title is the front matter's unless that is a template's place holder, else the file's name.
+
+    ``id_key`` is the front matter's key that holds the id.
+    """
     rows = files.select("name", front_matter("text").alias("m"))
     said = F.col("m.fields")["title"]
     title = F.when(said.isNull() | said.rlike(r"^\{\{.*\}\}$") | (F.trim(said) == ""), F.col("name")).otherwise(said)
     at = lambda key: F.coalesce(N.epoch_of_iso(F.col("m.fields")[key]), F.col("m.fields")[key].try_cast("long"))
     return rows.select(
-        F.coalesce(F.col("m.fields")["kepta_id"], F.concat(F.lit("md-"), F.sha1(title).substr(1, 16))).alias("id"),
+        F.coalesce(F.col("m.fields")[id_key], F.concat(F.lit("md-"), F.sha1(title).substr(1, 16))).alias("id"),
         title.alias("title"),
         F.regexp_replace(F.col("m.body"), r"^\s+|\s+$", "").alias("content"),
         F.coalesce(F.col("m.lists")["tags"], F.when(F.col("m.fields")["tags"].isNotNull(), F.array(F.col("m.fields")["tags"])), F.array().cast("array<string>")).alias("tags"),
@@ -168,7 +171,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     from ..operators.filters import verdict
 
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rows = rows.select("path", F.col("length").alias("size"), "content").where(verdict(F.col("path"), F.col("size")).isNull())
+    rows = rows.select("path", F.col("length").alias("size"), "content").where(verdict(F.col("path"), F.col("size"), root=path).isNull())
     plain = F.lower("path").rlike(r"\.(md|txt|csv|json|xml|yaml|yml|log|py|ts|js|sql|eml|rtf)$")
     text = F.when(plain, F.try_validate_utf8(F.col("content").cast("string"))).when(F.lower("path").rlike(r"\.html?$"), X.html_text(F.col("content").cast("string")))
     return rows.select("path", "size", F.substring(text, 1, 200_000).alias("text"))
@@ -203,7 +206,7 @@ def dataset_distribution(questions: DataFrame) -> DataFrame:
     return questions.groupBy("question_type").agg(F.count("*").alias("questions"), F.sum(F.size("sessions")).alias("sessions"), F.count_if(F.size("answers") > 0).alias("marked"))
 
 
-def to_markdown(notes: DataFrame) -> DataFrame:
+def to_markdown(notes: DataFrame, id_key: str = "note_id") -> DataFrame:
     """SNK-01, SNK-02: (file, text): notes as Markdown with front matter in a fixed order of keys; file names are unique."""
     iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     tags = F.concat(F.lit("tags: ["), F.array_join(F.transform("tags", X.yaml_value), ", "), F.lit("]"))
@@ -218,7 +221,7 @@ def to_markdown(notes: DataFrame) -> DataFrame:
         F.concat(F.lit("updated: "), iso("updated_at")),
         F.when(F.col("valid_from").isNotNull(), F.concat(F.lit("valid_from: "), iso("valid_from"))),
         F.when(F.col("valid_to").isNotNull(), F.concat(F.lit("valid_to: "), iso("valid_to"))),
-        F.concat(F.lit("kepta_id: "), F.col("id")),
+        F.concat(F.lit(f"{id_key}: "), F.col("id")),
         F.lit("---"),
         F.lit(""),
         F.col("content"),

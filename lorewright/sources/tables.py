@@ -14,11 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table with fewer partitions than the cluster has cores is dealt out to all; others, as large ones, stay as read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC: the note table over ``documents``; every column is a function of the row alone."""
     n = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents")
-    last = docs.select(F.max("doc_id").alias("last_id"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    last = table(spark, sf_dir, "documents").select(F.max("doc_id").alias("last_id"))
     created = F.lit(1704067200000) + n * 3_600_000
     updated = created + (n % 7) * DAY_MS
     return docs.crossJoin(F.broadcast(last)).select(

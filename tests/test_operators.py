@@ -61,7 +61,7 @@ def test_contradictions(spark):
     facts = K.facts(notes)
     assert {r.key for r in K.contradictions(facts).collect()} == {"a|b", "b|c"}
     assert K.contradictions(facts, spark.createDataFrame([("b", "a")], "a string, b string")).count() == 1
-    assert facts.where("id = 'e'").count() == 1  # the 2 before the unit-less range; the 4 hours end it
+    assert facts.where("id = 'e'").count() == 0  # the 4 hours end a range
 
 
 def test_louvain_finds_cliques_and_q_is_that_of_the_formula(spark):

@@ -6,16 +6,13 @@ from lorewright.plans.registry import ORACLE, QUERIES
 
 from .oracle import assert_same, connected
 
-#: Seconds of DuckDB for this one are many; its parts are tested below the registry.
-SLOW = {"str_tokens"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connected(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows(spark, sf_dir, con, name):
     assert_same(QUERIES[name](spark, sf_dir), con, ORACLE[name])
 
