@@ -281,9 +281,9 @@ def hybrid(notes: DataFrame, query: str, top_k: int = 5, cosine_weight: float =
         return notes.orderBy(F.desc("updated_at"), "id").limit(top_k).select("id", F.lit(1.0).alias("score"), F.lit(1.0).alias("cosine"), F.lit(1.0).alias("bm25"))
     distinct = list(dict.fromkeys(terms))
     text = F.concat_ws(" ", "title", "title", "content", F.array_join("tags", " "))
-    tokens = notes.select("id", "updated_at", F.explode_outer(X.client_tokens(text, ngram)).alias("term"))
-    length = tokens.groupBy("id", "updated_at").agg(F.count("term").alias("length"))
-    tf = tokens.where("term IS NOT NULL").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    # everything below comes from this one count, so the texts are cut into words once and the exchange is used again
+    tf = notes.select("id", F.explode(X.client_tokens(text, ngram)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    length = notes.select("id", "updated_at").join(tf.groupBy("id").agg(F.sum("tf").alias("length")), "id", "left").fillna(0, ["length"])
     sums = length.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weights = df.crossJoin(F.broadcast(sums)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf_bm25"), "avg_length")

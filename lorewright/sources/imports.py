@@ -190,7 +190,8 @@ def scan_notes(files: DataFrame, table: DataFrame) -> DataFrame:
     from ..operators.secure import mask
 
     named = files.withColumn("title", F.regexp_extract("path", r"([^/]+)$", 1)).join(table.select("title").distinct(), "title", "left_anti")
-    clean = named.withColumn("content", mask(F.col("text"))).where(C.unusable(F.col("content")).isNull())
+    # a generator, not a projection: else each use below would mask the text again
+    clean = named.withColumn("content", F.explode(F.array(mask(F.col("text"))))).where(C.unusable(F.col("content")).isNull())
     tags = F.array(F.lit("machine-scan"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
     return clean.select(F.sha1("path").substr(1, 16).alias("id"), "title", "content", tags.alias("tags"), C.note_type(F.col("title"), F.col("content"), tags, F.col("path"))["type"].alias("type"))
 
