@@ -3,8 +3,8 @@
 Groups are sets of equal texts. They are summed up before anything is shuffled; groups of at least a
 ``1/units`` part of all bytes are items of their own, smaller ones are gathered by hash into at most ``units``
 bundles. So the packing sees at most ``2 * units`` items however large the corpus is, and packs them by
-decreasing size, each into the bin with the tightest remaining capacity, found in a balanced tree. The capacity is
-the smallest at which the wanted number of bins is enough.
+decreasing size, each into the bin with the tightest remaining capacity, found in a balanced tree. Groups above a
+shard's share have shards of their own; for the others, the capacity is the smallest at which the bins left are enough.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def pack(items: list[tuple[int, str]], capacity: int) -> dict[str, int]:
     return out
 
 
-def pack_into(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
+def _smallest(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
     """The packing of the smallest capacity (to a part in 10,000) at which ``shards`` bins hold all items."""
     total, largest = sum(s for s, _ in items), max((s for s, _ in items), default=0)
     low = max(-(-total // shards), largest)
@@ -141,6 +141,40 @@ def pack_into(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
     return found
 
 
+def pack_into(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
+    """Items in ``shards`` bins, as near to equal as whole items allow.
+
+    An item above the share of what is left gets a bin of its own, and the share of the others falls. The rest is packed
+    at the smallest capacity; where that is over the share by more than a part in 1,000, since few items fit together,
+    its fullest bin is set aside and the items left are packed anew, so that one full bin does not leave others empty.
+    """
+    rest = sorted(items, key=lambda x: (-x[0], x[1]))
+    total, left, out = sum(s for s, _ in rest), shards, {}
+    at = 0
+    while at < len(rest) and rest[at][0] * left > total:
+        out[rest[at][1]] = shards - left
+        total, left, at = total - rest[at][0], left - 1, at + 1
+    rest = rest[at:]
+    found = _smallest(rest, left) if rest else {}
+    while rest:
+        sums = [0] * left
+        for size, name in rest:
+            sums[found[name]] += size
+        fullest = max(range(left), key=lambda i: (sums[i], -i))
+        if left == 1 or sums[fullest] * left * 1000 <= total * 1001 + 1000 * left:
+            break
+        others = [x for x in rest if found[x[1]] != fullest]
+        tried = _smallest(others, left - 1)
+        after = [0] * (left - 1)
+        for size, name in others:
+            after[tried[name]] += size
+        if max(after) > sums[fullest]:  # best-fit may do worse on fewer items
+            break
+        out |= {name: shards - left for _, name in rest if found[name] == fullest}
+        rest, found, total, left = others, tried, total - sums[fullest], left - 1
+    return out | {name: shards - left + i for name, i in found.items()}
+
+
 def _group(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 

@@ -420,6 +420,24 @@ def test_packing_is_best_fit_decreasing():
     assert sharding.pack_into([], 16) == {}
 
 
+def _sums(items, shards):
+    bins = sharding.pack_into(items, shards)
+    assert set(bins) == {n for _, n in items} and max(bins.values()) < shards
+    return np.bincount([bins[n] for _, n in items], [s for s, _ in items], minlength=shards)
+
+
+def test_large_groups_leave_no_shard_empty():
+    small = [(int(s), str(i)) for i, s in enumerate(np.random.default_rng(1).integers(1, 100, 4000))]
+    total = sum(s for s, _ in small)
+    for hot in ([total // 2], [total // 2, total // 4], [total // 2, total // 19]):
+        sums = np.sort(_sums([*small, *[(s, f"hot{i}") for i, s in enumerate(hot)]], 16))
+        rest = sums[: -len(hot)] if hot[-1] * 10 > total else sums[:-1]  # hot[0] of total + hot[0] is a third of all
+        assert sums[-1] == hot[0] and rest.max() - rest.min() <= 0.01 * rest.mean() + 3
+    sums = np.sort(_sums([*[(600, f"m{i}") for i in range(17)], *[(10, f"s{i}") for i in range(580)]], 16))
+    assert sums[-1] == 1200 and sums[0] >= 0.9 * sums[:-1].mean()
+    assert sorted(_sums([(7, "a"), (1, "b")], 1)) == [8] and sorted(_sums([(7, "a"), (1, "b")], 4)) == [0, 0, 1, 7]
+
+
 def test_shards_hold_whole_groups_and_gapless_slots(spark, odd):
     docs = odd.unionByName(spark.createDataFrame([(200 + i, prose(40 + i % 50, 30), "c", None) for i in range(300)], odd.schema))
     rows = sharding.shard(docs).collect()
