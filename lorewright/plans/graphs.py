@@ -124,14 +124,25 @@ def gra_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.khop(edges, spark.createDataFrame([(1,)], "node long"), 3)
 
 
-def gra_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = concept_mentions(spark, sf_dir).select("memory_id", F.col("concept").alias("entity"))
     edges = co_ordered(spark, sf_dir)
-    drawn = G.window(G.importance(rows, edges), G.pairs_ranked(edges, rows, G.PAIR_POOL))
-    return G.balance(edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")), drawn)
+    return G.window(G.importance(rows, edges), G.pairs_ranked(edges, rows, G.PAIR_POOL))
+
+
+def gra_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = co_ordered(spark, sf_dir)
+    return G.balance(edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")), _drawn(spark, sf_dir))
+
+
+def _all_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRA-07 over all pairs, each a mention edge; those with an even source are claims too."""
+    pairs = co_ordered(spark, sf_dir).select("source", "target").distinct()
+    return G.cluster_weights(pairs, pairs.where("source % 2 = 0"))
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 400 most frequent pairs alone, as in the twin (_W)."""
     strong = co_ordered(spark, sf_dir).groupBy("source", "target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "target").limit(400)
     return G.cluster_weights(strong, strong.where("source % 2 = 0"))
 
@@ -147,11 +158,14 @@ def gra_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gra_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.communities(_weights(spark, sf_dir))
+    """All edges between drawn nodes: GRA-07 masks by the window's nodes, which bound their number."""
+    drawn = _drawn(spark, sf_dir).select(F.col("entity").cast("long").alias("node"))
+    inside = _all_weights(spark, sf_dir).join(drawn.withColumnRenamed("node", "a"), "a", "left_semi").join(drawn.withColumnRenamed("node", "b"), "b", "left_semi")
+    return G.communities(inside)
 
 
 def gra_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.propagate(_weights(spark, sf_dir), 5)
+    return G.propagate(_all_weights(spark, sf_dir), 5)
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:

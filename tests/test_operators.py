@@ -11,6 +11,7 @@ from lorewright.operators import graph as G
 from lorewright.operators import lifecycle as D
 from lorewright.operators import secure as Q
 from lorewright.operators import similar as M
+from lorewright.plans import graphs as P
 from lorewright.sources import imports as I
 
 
@@ -76,6 +77,44 @@ def test_louvain_finds_cliques_and_q_is_that_of_the_formula(spark):
     assert {r.node for r in G.propagate(w, 5).collect()} == set(got)
 
 
+def _all_pairs(sf_dir):
+    """Weights of all pairs of parts in one order: 1, and 2 more where the smaller key is even."""
+    items = pd.read_parquet(f"{sf_dir}/lineitem.parquet", columns=["l_orderkey", "l_partkey"]).drop_duplicates()
+    pairs = items.merge(items, on="l_orderkey")
+    pairs = pairs[pairs.l_partkey_x < pairs.l_partkey_y][["l_partkey_x", "l_partkey_y"]].drop_duplicates()
+    return {(int(a), int(b)): 3.0 if a % 2 == 0 else 1.0 for a, b in pairs.itertuples(index=False)}
+
+
+def test_propagation_sees_all_pairs(spark, sf_dir):
+    weights = _all_pairs(sf_dir)
+    near = {}
+    for (a, b), w in weights.items():
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    label = {n: n for n in near}
+    for _ in range(5):
+        votes = {n: {label[n]: 0.5} for n in near}
+        for n, others in near.items():
+            for m, w in others:
+                votes[n][label[m]] = votes[n].get(label[m], 0.0) + w
+        label = {n: min(v, key=lambda c: (-v[c], c)) for n, v in votes.items()}
+    assert len(weights) > 400 and {r.node: r.community for r in P.gra_propagation(spark, sf_dir).collect()} == label
+
+
+def test_louvain_sees_all_edges_of_the_window(spark, sf_dir):
+    weights = _all_pairs(sf_dir)
+    drawn = {int(r.entity) for r in P._drawn(spark, sf_dir).collect()}
+    inside = [(str(a), str(b), w) for (a, b), w in weights.items() if a in drawn and b in drawn]
+    got = {}
+    for r in P.gra_louvain(spark, sf_dir).collect():
+        got.setdefault(r.community, set()).add(r.node)
+    assert set().union(*got.values()) == {x for a, b, _ in inside for x in (a, b)}
+    expected = {}
+    for node, c in G._louvain(inside).items():
+        expected.setdefault(c, set()).add(node)
+    assert len(inside) > 400 and sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+
+
 def test_khop_and_subgraph(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "source string, target string")
     near = G.khop(e, spark.createDataFrame([("c",)], "node string"), 2)
