@@ -62,8 +62,9 @@ def same_content(notes: DataFrame) -> DataFrame:
 def near_content(notes: DataFrame, threshold: float = NEAR, bucket: int = MAX_BUCKET, dismissed: DataFrame | None = None) -> DataFrame:
     """SIM-05: pairs whose word-pair sets have a Jaccard similarity above ``threshold``, by prefix filter.
 
-    Each note stands under its rarest shingles only, as many as any similar note must share one of; shingles that more
-    than ``bucket`` notes stand under are passed over, as in the engine's own rule. Candidates are then compared whole.
+    Each note stands under its rarest shingles only, as many as any similar note must share one of, but 32 at most, so
+    pairs of long texts can be missed; shingles that more than ``bucket`` notes stand under are passed over. Both as in
+    the engine's own rule. Candidates are then compared whole.
     """
     rows = notes.where(F.length("content") >= MIN_CONTENT).select("id", F.length("content").alias("len"), X.shingles(F.col("title"), F.col("content")).alias("s")).withColumn("n", F.size("s"))
     each = rows.select("id", "n", F.explode("s").alias("t"))
