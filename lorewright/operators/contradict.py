@@ -25,9 +25,9 @@ VALUES = (
 
 
 def sentences(content: Column) -> Column:
-    """STR-18: sentences of 12 to 400 characters of the first 8000 characters, markup and the source line out."""
+    """STR-18: sentences of 12 to 400 characters of the whole content, markup and the source line out."""
     c = F.regexp_replace(F.coalesce(content, F.lit("")), r"(?m)^\s*—\s*(?:Source|Quelle):.*$", "")
-    c = F.regexp_replace(F.substring(c, 1, 8000), r"[*_`#>|]+", " ")
+    c = F.regexp_replace(c, r"[*_`#>|]+", " ")
     c = F.regexp_replace(c, r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]", "$1")
     parts = F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-ZÄÖÜ0-9])|\n+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
     return F.filter(parts, lambda s: F.length(s).between(12, 400))
@@ -91,7 +91,8 @@ def contradictions(found: DataFrame, accepted: DataFrame | None = None, limit: i
     """CON-03: pairs of notes with facts of one kind and different values about the same thing, one for each pair, newest first.
 
     Facts share at least two stems and half of the smaller set; neither sentence holds the other's value; sources differ.
-    Stems that more than ``posting`` facts have are passed over, as in the engine's own rule.
+    Stems that more than ``posting`` facts have are passed over as too common to say anything, the engine's own rule; so
+    facts whose subjects are frequent in the whole table do not meet.
     """
     fid = F.xxhash64("id", "n", "kind", "value")
     rows = found.withColumn("fid", fid)

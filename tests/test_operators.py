@@ -65,6 +65,13 @@ def test_contradictions(spark):
     assert facts.where("id = 'e'").count() == 0  # the 4 hours end a range
 
 
+def test_facts_late_in_a_long_text_are_found(spark):
+    late = "Nothing of note was said here. " * 400
+    rows = [("a", "Backup", late + "The nightly backup of the office starts at 02:00 every day.", 1), ("b", "Backup", "The nightly backup of the office starts at 03:30 every day.", 2)]
+    notes = spark.createDataFrame(rows, "id string, title string, content string, updated_at long").withColumns({"type": F.lit("semantic"), "superseded_by": F.lit(None).cast("string"), "deleted_at": F.lit(None).cast("long")})
+    assert [r.key for r in K.contradictions(K.facts(notes)).collect()] == ["a|b"]
+
+
 def test_louvain_finds_cliques_and_q_is_that_of_the_formula(spark):
     edges = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "abc" for i in range(5) for j in range(i)] + [("a0", "b0", 1.0), ("b1", "c1", 1.0)]
     w = spark.createDataFrame(edges, "a string, b string, w double")
