@@ -9,6 +9,7 @@ follows the templates.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -90,16 +91,19 @@ class LicenseIndex:
             if not len(h):
                 continue
             self.words[name] = h.tolist()
-            n = min(gram, len(h))  # a template shorter than a gram is one
+            least = math.ceil(coverage * len(h))
+            run = max(1, -(-least // (len(h) - least + 1)))  # equal words in a row that a match has at least
+            n = min(gram, run)
+            width = min(winnow, run - n + 1)
             g = _grams(h, n)
-            picked = {int(np.argmin(g[i : i + winnow])) + i for i in range(max(1, len(g) - winnow + 1))}
+            picked = {int(np.argmin(g[i : i + width])) + i for i in range(max(1, len(g) - width + 1))}
             for place in picked:
                 self.by_length[n][int(g[place])].append((name, place))
         self.keys = {n: np.array(sorted(found), np.uint64) for n, found in self.by_length.items()}
 
     def matches(self, h: np.ndarray, row: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[str, float, int, int]]]:
         """Matches by row; word numbers are counted from the row's first word."""
-        places: dict[tuple[int, str], list[int]] = defaultdict(list)
+        places: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
         for n, keys in self.keys.items():
             if len(h) < n:
                 continue
@@ -107,21 +111,23 @@ class LicenseIndex:
             at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
             for i in np.flatnonzero((keys[at] == g) & (row[: len(g)] == row[n - 1 :])).tolist():
                 for name, place in self.by_length[n][int(g[i])]:
-                    places[int(row[i]), name].append(i - place)
+                    places[int(row[i]), name].append((i - place, i))
         out: dict[int, list[tuple[str, float, int, int]]] = defaultdict(list)
-        for (r, name), diagonals in places.items():
-            begin, end, template = int(first[r]), int(first[r + 1]), self.words[name]
-            last_end, group = -1, None
-            for d in sorted(set(diagonals)):
-                if group is not None and d - group <= self.band // 2:
-                    continue  # the same occurrence
-                group = d
-                lo = max(begin, d - self.band, last_end + 1)  # words of an earlier occurrence are taken
-                hi = min(end, d + len(template) + self.band + 1)
-                matched, a, b = align(template, h[lo:hi].tolist(), d - lo, self.band)
-                if matched and matched >= self.coverage * len(template):
-                    last_end = lo + b
-                    out[r].append((name, matched / len(template), lo + a - begin, lo + b - begin))
+        for (r, name), hits in places.items():
+            begin, template = int(first[r]), self.words[name]
+            open_parts = [(begin, int(first[r + 1]), hits)]
+            while open_parts:
+                start, end, here = open_parts.pop()
+                for d in sorted({d for d, _ in here}):
+                    lo, hi = max(start, d - self.band), min(end, d + len(template) + self.band + 1)
+                    matched, a, b = align(template, h[lo:hi].tolist(), d - lo, self.band)
+                    if matched and matched >= self.coverage * len(template):
+                        a, b = lo + a, lo + b
+                        out[r].append((name, matched / len(template), a - begin, b - begin))
+                        for left, right in ((start, a), (b + 1, end)):  # hits inside the match are this occurrence
+                            if rest := [x for x in here if left <= x[1] < right]:
+                                open_parts.append((left, right, rest))
+                        break
         return out
 
 
@@ -129,7 +135,9 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", templates: dict[str, s
     """``docs`` with ``licenses``: (license, coverage, first_word, last_word) of each match, in the order of the words.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A match covers at least
-    ``coverage`` of the template's words; its occurrences of one template do not overlap. Null and empty texts have no
+    ``coverage`` of the template's words; its occurrences of one template do not overlap. An occurrence with so many of
+    the words is sure to be a candidate if the others are replaced or left out (templates are indexed by grams no longer
+    than the run of equal words it then has); words put between may hide one. Null and empty texts have no
     match. A template without words matches nothing. Other columns are carried; ``licenses`` of the input is replaced.
     """
     chosen = TEMPLATES if templates is None else templates

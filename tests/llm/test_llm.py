@@ -392,6 +392,17 @@ def test_token_counts(spark, odd):
     assert tiktoken and rollup.count_bpe(odd).where("text = 'x'").first().n_tokens == 1
 
 
+# 2 license scans: edits and neighbours
+
+
+def test_licenses_with_edits_and_back_to_back(spark):
+    texts = ["released under the mit license", "released under one mit license", "x a b c a b c a b c y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = licenses.scan_licenses(docs, templates={"mit": "Released under the MIT License.", "abc": "a b c"})
+    got = {r.doc_id: [(m.license, m.coverage, m.first_word, m.last_word) for m in r.licenses] for r in found.collect()}
+    assert got == {0: [("mit", 1.0, 0, 4)], 1: [("mit", 0.8, 0, 4)], 2: [("abc", 1.0, 1, 3), ("abc", 1.0, 4, 6), ("abc", 1.0, 7, 9)]}
+
+
 # 10 sharding
 
 
