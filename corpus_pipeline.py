@@ -32,7 +32,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say; the default targets take from no language, so none is lost.
 
-    Rows come once for each copy. Rates of one and above are never rounded below one.
+    Rows come once for each copy. A rate below one that rounds to no copy is lifted to one copy, so totals can exceed
+    the fitted ones.
     """
     mixed = mix_to_targets(docs, docs.select("doc_id", F.col("lang").alias("domain")))
     repeated = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))))
