@@ -120,7 +120,7 @@ def gra_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gra_blast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = co_ordered(spark, sf_dir).where("source % 10 = 1 AND target % 10 = 1").select("source", "target")
+    edges = co_ordered(spark, sf_dir).select("source", "target").distinct()
     return G.khop(edges, spark.createDataFrame([(1,)], "node long"), 3)
 
 
@@ -135,18 +135,12 @@ def gra_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.balance(edges.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target")), _drawn(spark, sf_dir))
 
 
-def _all_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRA-07 over all pairs, each a mention edge; those with an even source are claims too."""
     pairs = co_ordered(spark, sf_dir).select("source", "target").distinct()
     return G.cluster_weights(pairs, pairs.where("source % 2 = 0"))
 
 
-def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 400 most frequent pairs alone, as in the twin (_W)."""
-    strong = co_ordered(spark, sf_dir).groupBy("source", "target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "target").limit(400)
-    return G.cluster_weights(strong, strong.where("source % 2 = 0"))
-
-
 def gra_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(spark, sf_dir)
 
@@ -160,12 +154,12 @@ def gra_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gra_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges between drawn nodes: GRA-07 masks by the window's nodes, which bound their number."""
     drawn = _drawn(spark, sf_dir).select(F.col("entity").cast("long").alias("node"))
-    inside = _all_weights(spark, sf_dir).join(drawn.withColumnRenamed("node", "a"), "a", "left_semi").join(drawn.withColumnRenamed("node", "b"), "b", "left_semi")
+    inside = _weights(spark, sf_dir).join(drawn.withColumnRenamed("node", "a"), "a", "left_semi").join(drawn.withColumnRenamed("node", "b"), "b", "left_semi")
     return G.communities(inside)
 
 
 def gra_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.propagate(_all_weights(spark, sf_dir), 5)
+    return G.propagate(_weights(spark, sf_dir), 5)
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +198,7 @@ def gra_concept_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gra_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.hierarchy(notes(spark, sf_dir), mentions(spark, sf_dir).where("memory_id LIKE '%1'"))
+    return G.hierarchy(notes(spark, sf_dir), mentions(spark, sf_dir))
 
 
 def gra_semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +206,7 @@ def gra_semantic_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gra_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.coverage(mentions(spark, sf_dir).where("memory_id LIKE '%1'"), notes(spark, sf_dir))
+    return G.coverage(mentions(spark, sf_dir), notes(spark, sf_dir))
 
 
 def gra_entity_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,8 +243,10 @@ def gra_carried_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gra_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mentions(spark, sf_dir)
-    return G.orphans(m.select("entity").distinct(), m.where("memory_id LIKE '%11'"), claims(spark, sf_dir))
+    """Concepts that only notes carry which are not there any more."""
+    m = concept_mentions(spark, sf_dir).select("memory_id", F.col("concept").cast("string").alias("entity"))
+    there = active(notes(spark, sf_dir)).select(F.col("id").alias("memory_id"))
+    return G.orphans(m.select("entity").distinct(), m.join(there, "memory_id", "left_semi"), claims(spark, sf_dir))
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith(("sim_", "vec_", "con_", "gra_"))}
@@ -289,7 +285,7 @@ ab AS (SELECT root, min_by(reason, CASE reason WHEN 'identical-title' THEN 0 WHE
 grp AS (SELECT root, count(*) AS size FROM mem GROUP BY root),
 kp AS (SELECT root, id AS keep_id FROM (SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY len(content) DESC, updated_at DESC, id) AS r FROM mem JOIN notes ON node = id) WHERE r = 1)"""
 
-_W = f"""WITH {PAIRS_SQL}, st AS (SELECT source, target, count(*) AS n FROM pairs GROUP BY ALL ORDER BY n DESC, source, target LIMIT 400),
+_W = f"""WITH {PAIRS_SQL}, st AS (SELECT DISTINCT source, target FROM pairs),
 w AS (SELECT a, b, sum(w)::DOUBLE AS w FROM (SELECT source AS a, target AS b, 1 AS w FROM st UNION ALL SELECT source, target, 2 FROM st WHERE source % 2 = 0) GROUP BY a, b)"""
 _P = f"WITH {NOTES_SQL}, p AS (SELECT id AS node, doc_id % 23 AS community, title, content, type FROM notes)"
 _DEG = "deg AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM {e} UNION ALL SELECT target FROM {e}) GROUP BY node)"
@@ -320,7 +316,7 @@ SELECT source, target, relation, count(*) AS n FROM e GROUP BY ALL HAVING count(
     "gra_pairs_ranked": f"WITH {CONCEPTS_SQL}, {PAIRS_SQL}, m AS (SELECT concept, count(*) AS n FROM cm GROUP BY concept), p AS (SELECT source, target, count(*) AS evidence FROM pairs GROUP BY ALL) SELECT source, target, evidence, coalesce(x.n, 0) + coalesce(y.n, 0) AS carriers FROM p LEFT JOIN m x ON source = x.concept LEFT JOIN m y ON target = y.concept ORDER BY evidence DESC, carriers DESC, source, target LIMIT 200",
     "gra_khop": f"WITH RECURSIVE {CLAIMS_SQL}, e AS (SELECT source AS u, target AS v FROM claims UNION SELECT target, source FROM claims), r AS (SELECT 'customer#000000001' AS node, 0 AS d UNION SELECT v, d + 1 FROM r JOIN e ON node = u WHERE d < 3) SELECT distance, count(*) AS n FROM (SELECT node, min(d) AS distance FROM r GROUP BY node) GROUP BY distance",
     "gra_subgraph": f"WITH {CLAIMS_SQL}, k AS (SELECT 'nation_3' AS node UNION SELECT source FROM claims WHERE target = 'nation_3' UNION SELECT target FROM claims WHERE source = 'nation_3') SELECT source, target, relation FROM claims WHERE source IN (SELECT node FROM k) AND target IN (SELECT node FROM k)",
-    "gra_blast": f"WITH RECURSIVE {PAIRS_SQL}, s AS (SELECT source, target FROM pairs WHERE source % 10 = 1 AND target % 10 = 1), e AS (SELECT source AS u, target AS v FROM s UNION SELECT target, source FROM s), r AS (SELECT 1 AS node, 0 AS d UNION SELECT v, d + 1 FROM r JOIN e ON node = u WHERE d < 3) SELECT node, min(d) AS distance FROM r GROUP BY node",
+    "gra_blast": f"WITH RECURSIVE {PAIRS_SQL}, s AS (SELECT DISTINCT source, target FROM pairs), e AS (SELECT source AS u, target AS v FROM s UNION SELECT target, source FROM s), r AS (SELECT 1 AS node, 0 AS d UNION SELECT v, d + 1 FROM r JOIN e ON node = u WHERE d < 3) SELECT node, min(d) AS distance FROM r GROUP BY node",
     "gra_weights": f"{_W} SELECT a, b, w FROM w",
     "gra_modularity": f"{_W}, t AS (SELECT sum(w) AS m FROM w), i AS (SELECT a % 7 AS c, sum(w) AS s FROM w WHERE a % 7 = b % 7 GROUP BY 1), k AS (SELECT c, sum(w) AS k FROM (SELECT a % 7 AS c, w FROM w UNION ALL SELECT b % 7, w FROM w) GROUP BY c) SELECT round(sum(coalesce(s, 0) / m - (k / (2 * m)) * (k / (2 * m))), 9) AS q FROM k LEFT JOIN i USING (c), t",
     "gra_cluster_names": f"{_P}, n AS (SELECT community, count(*) AS size FROM p GROUP BY 1), b AS (SELECT community, title AS name FROM (SELECT community, title, row_number() OVER (PARTITION BY community ORDER BY len(content) DESC, node) AS r FROM p) WHERE r = 1), u AS (SELECT community, max(c) / sum(c) AS purity FROM (SELECT community, type, count(*) AS c FROM p GROUP BY ALL) GROUP BY 1) SELECT community, size, name, round(purity, 9) AS purity FROM n JOIN b USING (community) JOIN u USING (community)",
@@ -335,9 +331,9 @@ SELECT a, b, round(CASE WHEN greatest(0.9::DOUBLE * tag, 0.6::DOUBLE * title) >
 SELECT source AS a, target AS b, count(*) AS evidence, string_agg(DISTINCT relation, ',' ORDER BY relation) AS relations, CASE WHEN count(vf) = count(*) THEN min(vf) END AS valid_from, CASE WHEN count(vt) = count(*) THEN max(vt) END AS valid_to FROM f GROUP BY source, target HAVING count(*) > 1""",
     "gra_concept_network": f"""{_N}, {MENTIONS_SQL}, c AS (SELECT entity FROM mentions WHERE memory_id IN (SELECT id FROM live) GROUP BY entity HAVING count(*) >= 2)
 SELECT x.entity AS source, y.entity AS target, count(*) AS n FROM mentions x JOIN mentions y ON x.memory_id = y.memory_id AND x.entity < y.entity WHERE x.entity IN (SELECT entity FROM c) AND y.entity IN (SELECT entity FROM c) GROUP BY ALL""",
-    "gra_hierarchy": f"""WITH {NOTES_SQL}, {MENTIONS_SQL}, c AS (SELECT memory_id AS id, min(entity) AS concept FROM mentions WHERE memory_id LIKE '%1' GROUP BY 1), e AS (SELECT DISTINCT id, unnest(tags) AS tag FROM notes), n AS (SELECT tag, count(*) AS n FROM e GROUP BY tag),
+    "gra_hierarchy": f"""WITH {NOTES_SQL}, {MENTIONS_SQL}, c AS (SELECT memory_id AS id, min(entity) AS concept FROM mentions GROUP BY 1), e AS (SELECT DISTINCT id, unnest(tags) AS tag FROM notes), n AS (SELECT tag, count(*) AS n FROM e GROUP BY tag),
 r AS (SELECT id, tag FROM (SELECT id, tag, row_number() OVER (PARTITION BY id ORDER BY n, tag) AS r FROM e JOIN n USING (tag)) WHERE r = 1) SELECT id, 'root/' || type || '/' || coalesce(concept, tag, '-') || '/' || id AS path FROM notes LEFT JOIN c USING (id) LEFT JOIN r USING (id)""",
-    "gra_coverage": f"{_N}, {MENTIONS_SQL}, c AS (SELECT count(DISTINCT memory_id) AS covered FROM mentions WHERE memory_id LIKE '%1' AND memory_id IN (SELECT id FROM live)) SELECT covered, count(*) AS notes, round(100 * covered / count(*), 2) AS percent FROM live, c GROUP BY covered",
+    "gra_coverage": f"{_N}, {MENTIONS_SQL}, c AS (SELECT count(DISTINCT memory_id) AS covered FROM mentions WHERE memory_id IN (SELECT id FROM live)) SELECT covered, count(*) AS notes, round(100 * covered / count(*), 2) AS percent FROM live, c GROUP BY covered",
     "gra_entity_notes": f"WITH {MENTIONS_SQL} SELECT entity, count(*) AS n, md5(string_agg(memory_id, ',' ORDER BY memory_id)) AS notes_md5 FROM mentions GROUP BY entity",
     "gra_claims": f"WITH {CLAIMS_SQL} SELECT target, relation AS word, count(*) AS n FROM claims GROUP BY ALL",
     "gra_lens": f"{_N}, s AS ({_star_sql(_CONTENT, 'x')}), l AS (SELECT a AS id FROM s UNION SELECT b FROM s) SELECT CASE WHEN id LIKE '%9' THEN 'contradicted' WHEN superseded_by IS NOT NULL THEN 'superseded' WHEN id NOT IN (SELECT id FROM l) THEN 'isolated' ELSE 'settled' END AS lens, count(*) AS n FROM live GROUP BY 1",
@@ -345,5 +341,5 @@ r AS (SELECT id, tag FROM (SELECT id, tag, row_number() OVER (PARTITION BY id OR
     "gra_sizes": f"WITH {CLAIMS_SQL}, {_DEG.format(e='claims')} SELECT node, degree, round(least(26, 4 + 1.6::DOUBLE * sqrt(degree)), 9) AS radius, CASE WHEN degree / 50 >= 0.75 THEN 'thick' WHEN degree / 50 >= 0.45 THEN 'medium' ELSE 'thin' END AS band FROM deg",
     "gra_connections": f"{_N}, s AS ({_star_sql(_CONTENT, 'x')}), l AS (SELECT a AS id FROM s UNION SELECT b FROM s) SELECT count(*) FILTER (WHERE id IN (SELECT id FROM l)) AS connected, count(*) FILTER (WHERE id NOT IN (SELECT id FROM l)) AS isolated FROM live",
     "gra_carried_only": f"WITH {MENTIONS_SQL} SELECT memory_id AS id FROM mentions GROUP BY memory_id HAVING count(*) = 1 AND max(entity) IN ('red widget', 'small ring')",
-    "gra_orphans": f"WITH {MENTIONS_SQL} SELECT DISTINCT entity FROM mentions WHERE entity NOT IN (SELECT entity FROM mentions WHERE memory_id LIKE '%11')",
+    "gra_orphans": f"{_N}, {CONCEPTS_SQL} SELECT DISTINCT concept::VARCHAR AS entity FROM cm WHERE concept NOT IN (SELECT concept FROM cm WHERE memory_id IN (SELECT id FROM live))",
 }

@@ -45,7 +45,7 @@ def src_pending_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-22, DML-17."""
-    rows = notes(spark, sf_dir).select(F.concat(F.lit("k"), _n()).alias("key"), F.col("title").alias("value")).where(_n() < 50)
+    rows = notes(spark, sf_dir).select(F.concat(F.lit("k"), _n()).alias("key"), F.col("title").alias("value"))
     changes = rows.select("key", F.when(F.substring("key", -1, 1) != "3", "new").alias("value")).where("substring(key, -1, 1) IN ('3', '4')")
     return D.settings(rows, changes).orderBy("key")
 
@@ -222,7 +222,7 @@ ORACLE = {
     "src_by_title": f"{_N} SELECT id, 'weekly' AS title FROM notes WHERE doc_id % 9 = 0 AND deleted_at IS NULL ORDER BY updated_at DESC, id LIMIT 1",
     "src_history": f"{_N}, v AS (SELECT doc_id AS version_id, title, created_at FROM notes WHERE doc_id % 5 = 3) SELECT 'd3' AS memory_id, version_id, title, created_at, (SELECT count(*) FROM v) AS total FROM v ORDER BY created_at DESC, version_id DESC LIMIT 10 OFFSET 5",
     "src_pending_chunks": f"{_N}, {CHUNKS_SQL} SELECT model, count(*) AS n FROM chunks WHERE memory_id IN (SELECT id FROM notes WHERE deleted_at IS NULL) GROUP BY model",
-    "src_settings": f"{_N} SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 10 = 4 THEN 'new' ELSE title END AS value FROM notes WHERE doc_id < 50 AND doc_id % 10 <> 3",
+    "src_settings": f"{_N} SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 10 = 4 THEN 'new' ELSE title END AS value FROM notes WHERE doc_id % 10 <> 3",
     "flt_text": f"{_N} SELECT id FROM notes WHERE contains(lower(title), 'license') OR contains(lower(content), 'license')",
     "flt_facets": f"{_N} SELECT id FROM notes WHERE tags[1] = 'en' AND doc_id % 2 = 0 AND doc_id % 3 = 0",
     "flt_active_at": f"{_N} SELECT id FROM notes WHERE {_V}",

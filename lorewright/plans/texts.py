@@ -44,7 +44,7 @@ def str_shingles(n: DataFrame) -> DataFrame:
 
 @_note
 def str_sanitize(n: DataFrame) -> DataFrame:
-    return n.select("id", F.md5(X.sanitize_text(F.col("content"), 500).cast("binary")).alias("text_md5"), X.sanitize_title(F.col("content")).alias("title"), F.array_join(X.sanitize_tags(F.transform("tags", lambda t: F.concat(F.lit(" #"), F.upper(t)))), ",").alias("tags"))
+    return n.select("id", F.md5(X.sanitize_text(F.col("content")).cast("binary")).alias("text_md5"), X.sanitize_title(F.col("content")).alias("title"), F.array_join(X.sanitize_tags(F.transform("tags", lambda t: F.concat(F.lit(" #"), F.upper(t)))), ",").alias("tags"))
 
 
 @_note
@@ -54,8 +54,8 @@ def str_normal(n: DataFrame) -> DataFrame:
 
 @_note
 def str_stems(n: DataFrame) -> DataFrame:
-    words = F.slice(F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1, 12)
-    return n.select("id", F.array_join(F.transform(words, X.stem), " ").alias("stems"))
+    words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return n.select("id", F.size(words).alias("n"), F.md5(F.array_join(F.transform(words, X.stem), " ").cast("binary")).alias("stems_md5"))
 
 
 def str_wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,9 +267,9 @@ ORACLE = {
     "str_terms": f"{_N} SELECT id, array_to_string({terms_sql('content')}, ' ') AS terms FROM notes",
     "str_tokens": f"{_N}, w AS MATERIALIZED (SELECT id, {_words_sql('content')} AS c, {_words_sql('title')} AS t FROM notes) SELECT id, len(c) + greatest(len(c) - 1, 0) AS n, array_to_string({_PAIRED.format(w='t')}[1:8], ' ') AS tokens FROM w",
     "str_shingles": f"{_N}, w AS (SELECT id, {_CW} AS w FROM notes), s AS (SELECT id, CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END AS s FROM w) SELECT id, len(list_distinct(s)) AS n_shingles, s[1] AS first FROM s",
-    "str_sanitize": f"{_N} SELECT id, md5({_clean('content', 500)}) AS text_md5, trim(regexp_replace({_clean('content', 200)}, '[\\r\\n]+', ' ', 'g')) AS title, tags[1] || ',' || tags[2] AS tags FROM notes",
+    "str_sanitize": f"{_N} SELECT id, md5({_clean('content', 50_000)}) AS text_md5, trim(regexp_replace({_clean('content', 200)}, '[\\r\\n]+', ' ', 'g')) AS title, tags[1] || ',' || tags[2] AS tags FROM notes",
     "str_normal": f"{_N} SELECT id, trim(regexp_replace(lower(title), '{_SPACES}+', ' ', 'g')) AS title, len(trim(regexp_replace(lower(content), '{_SPACES}+', ' ', 'g'))) AS n FROM notes",
-    "str_stems": f"{_N} SELECT id, array_to_string(list_transform(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')[1:12], lambda w: regexp_replace(w, '(ung|en|er|es|em|e|s|n)$', '')), ' ') AS stems FROM notes",
+    "str_stems": f"{_N}, w AS (SELECT id, list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM notes) SELECT id, len(w) AS n, md5(array_to_string(list_transform(w, lambda x: regexp_replace(x, '(ung|en|er|es|em|e|s|n)$', '')), ' ')) AS stems_md5 FROM w",
     "str_wikilinks": f"{_N}, t AS (SELECT id, regexp_extract_all('see [[' || title || '|x]] and [[' || tags[2] || ']] and [[' || tags[2] || ']]', '\\[\\[([^\\[\\]]{{2,80}})\\]\\]', 1) AS f, tags FROM notes), u AS (SELECT id, list_filter(list_transform(f, lambda x: trim(lower(split_part(x, '|', 1)))), lambda x: x <> '') AS f FROM t) SELECT id, CASE WHEN len(f) = 3 AND f[1] <> f[2] THEN f[1] || '|' || f[2] ELSE f[len(f)] END AS links FROM u",
     "str_html_text": f"SELECT page_id, len(t) AS n, md5(t) AS text_md5 FROM (SELECT page_id, {_html_sql()} AS t FROM pages)",
     "str_todos": f"{_N} SELECT id, 'call ' || tags[1] || ' about ' || tags[2] AS todo FROM notes",
