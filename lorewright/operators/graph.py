@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.numbers import overlap
-from .similar import kept
+from ..store import written
 
 MENTION_PAIRS, MAX_CLAIMS, WINDOW_NODES, WINDOW_EDGES, RANK_POOL, PAIR_POOL = 8, 20, 500, 2000, 4000, 8000
 #: Words of the graph itself that no claim may use.
@@ -96,7 +96,7 @@ def khop(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     for step in range(1, depth + 1):
         last = seen.where(F.col("distance") == step - 1)
         new = both.join(last.select(F.col("node").alias("u")), "u").select(F.col("v").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = kept(seen.unionByName(new.select("node", F.lit(step).alias("distance")))) if step < depth else seen.unionByName(new.select("node", F.lit(step).alias("distance")))
+        seen = written(seen.unionByName(new.select("node", F.lit(step).alias("distance")))) if step < depth else seen.unionByName(new.select("node", F.lit(step).alias("distance")))
     return seen
 
 
@@ -240,12 +240,12 @@ def communities(weights: DataFrame) -> DataFrame:
 
 def propagate(weights: DataFrame, rounds: int = 10) -> DataFrame:
     """GRA-08 for whole graphs: weighted label propagation by joins; each node takes the label with most weight around it (ties: the smallest)."""
-    both = kept(weights.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionAll(weights.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
+    both = written(weights.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionAll(weights.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
     label = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
         votes = both.join(label.select(F.col("node").alias("v"), "label"), "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
         own = label.select(F.col("node").alias("u"), "label").withColumn("w", F.lit(0.5))
-        label = kept(votes.unionByName(own).groupBy("u", "label").agg(F.sum("w").alias("w")).groupBy("u").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")).withColumnRenamed("u", "node"))
+        label = written(votes.unionByName(own).groupBy("u", "label").agg(F.sum("w").alias("w")).groupBy("u").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")).withColumnRenamed("u", "node"))
     return label.withColumnRenamed("label", "community")
 
 

@@ -2,46 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..store import written
+from .joins import components
 
 NEAR, MIN_CONTENT, MIN_RATIO, MAX_BUCKET, MAX_NEAR_GROUP = 0.85, 80, 0.5, 120, 12
 COSINE = 0.92
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut a lineage that grows with each round: reliable checkpoint where the cluster names a folder, else a cached step in tests."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        path = f"{folder.rstrip('/')}/lorewright-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    return df.persist()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): root is the smallest node reached over edges (a, b), by large-star and small-star rounds."""
-    now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = state
-        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = kept(small.unionAll(smallest.select("a", F.col("m").alias("b"))).distinct())
-
-
 def _star(rows: DataFrame, key: str, reason: str) -> DataFrame:
     """Links of each member to the smallest id of its key: as many as there are members, never all pairs."""
     least = rows.groupBy(key).agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select(key, "b")
@@ -96,11 +68,11 @@ def duplicate_groups(notes: DataFrame, threshold: float = NEAR, dismissed: DataF
     Near links that alone would chain more than ``largest_near`` notes are left out. A group has its strongest reason and
     its weakest similarity; the note to keep is the longest, then the newest, then the first by id (SRT-05).
     """
-    near = kept(near_content(notes, threshold, dismissed=dismissed))
+    near = written(near_content(notes, threshold, dismissed=dismissed))
     chains = components(near.select("a", "b"))
     small = chains.withColumn("n", F.count("*").over(Window.partitionBy("root"))).where(F.col("n") <= largest_near).select(F.col("node").alias("a"))
-    links = kept(without(same_title(notes), dismissed).unionByName(without(same_content(notes), dismissed)).unionByName(near.join(small, "a", "left_semi")))
-    member = kept(components(links.select("a", "b")))
+    links = written(without(same_title(notes), dismissed).unionByName(without(same_content(notes), dismissed)).unionByName(near.join(small, "a", "left_semi")))
+    member = written(components(links.select("a", "b")))
     rank = F.when(F.col("reason") == "identical-title", 0).when(F.col("reason") == "identical-content", 1).otherwise(2)
     about = links.join(member.select(F.col("node").alias("a"), "root"), "a").groupBy("root").agg(F.min_by("reason", rank).alias("reason"), F.min("similarity").alias("similarity"))
     rows = member.join(notes.select(F.col("id").alias("node"), F.length("content").alias("len"), "updated_at"), "node")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from ..operators import reports as R
 from ..operators import search as S
 from ..operators import secure as Q
 from ..sources.tables import ACTIVITY_SQL, CHUNKS_SQL, CLAIMS_SQL, DAY_MS, MENTIONS_SQL, NOTES_SQL, NOW_MS, active, activity, chunks, claims, mentions, notes, table
+from ..store import scratch
 from ..streaming import events as E
 
 SINCE = 1704400000000
@@ -140,13 +138,8 @@ def agg_baseline_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming: each reads its input as files, in several batches, and drains it ---
 
 
-def _scratch(spark: SparkSession, kind: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorewright-")
-    return f"{base.rstrip('/')}/stream-{kind}-{uuid.uuid4().hex}"
-
-
 def _streamed(spark: SparkSession, rows: DataFrame, kind: str, order: str = "id") -> tuple[DataFrame, str]:
-    at = _scratch(spark, kind)
+    at = scratch(spark, f"stream-{kind}")
     rows.repartitionByRange(4, order).sortWithinPartitions(order).write.parquet(f"{at}/in")
     return E.file_stream(spark, rows.schema, f"{at}/in"), at
 
@@ -166,7 +159,7 @@ def _collected(stream: DataFrame, at: str) -> DataFrame:
 def stm_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file, so that the batch result does not depend on the order of files."""
     rows = activity(spark, sf_dir).select(F.col("tool").alias("key"), "at")
-    at = _scratch(spark, "throttle")
+    at = scratch(spark, "stream-throttle")
     rows.coalesce(1).write.parquet(f"{at}/in")
     return _collected(E.throttle(E.file_stream(spark, rows.schema, f"{at}/in"), 3_600_000), at)
 
@@ -174,7 +167,7 @@ def stm_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stm_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STM-07: chains sealed by a stream hold."""
     rows = activity(spark, sf_dir).select(F.col("client").alias("actor"), "id", "at", F.col("tool").alias("action"), F.col("memory_id").alias("target"), F.col("text").alias("detail"))
-    at = _scratch(spark, "sealed")
+    at = scratch(spark, "stream-sealed")
     rows.coalesce(1).write.parquet(f"{at}/in")
     return Q.verify(_collected(E.sealed(E.file_stream(spark, rows.schema, f"{at}/in")), at))
 
