@@ -17,7 +17,7 @@ def join_counted(rows: DataFrame, side: DataFrame, on: list[str], total: int, co
     The side's rows of hot keys, ``parts`` at most at any size, are broadcast, so the rows of a hot key stay where they
     are; all others are shuffled. ``total``: the number of ``rows``.
     """
-    bound = max(1, total // parts)
+    bound = max(64, total // parts)
     hot = side.where(F.col(count) > bound).drop(count)
     plain = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(side.where(F.col(count) <= bound).drop(count), on)
     return plain.unionByName(rows.join(F.broadcast(hot), on))
