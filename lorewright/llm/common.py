@@ -6,13 +6,11 @@ Conventions that every operator of this subpackage keeps:
   carried column has the name of an output column (letter case aside), the output column wins.
 * A null text counts as the empty text unless the operator's docstring says otherwise.
 * Intermediate results that must survive a lost executor are written as Parquet below
-  ``spark.checkpoint.dir`` (see :func:`scratch`), never kept by localCheckpoint.
+  ``spark.checkpoint.dir`` (see :mod:`lorewright.store`), never kept by localCheckpoint.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..store import removed, scratch, written
+
+__all__ = ["carried", "chunks", "is_held_out", "lists", "map_text", "mix", "read_table", "removed", "scratch", "small_batches", "text_bytes", "written"]
+
 #: Text bytes that one vectorised step works on; a longer text is a step of its own.
 CHUNK_BYTES = 1 << 18
 #: Rows of a batch that goes to Python; with texts of some kilobytes, a few megabytes on either side.
@@ -30,37 +32,11 @@ BATCH_ROWS = 1000
 SLICE_BYTES = 4 << 20
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset, as in local tests, a
-    temporary folder of this machine is set in its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="lorewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lorewright-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back."""
-    path = path or scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small: the usual 10,000 rows are tens of megabytes in the JVM and again in Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing will read any more."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def carried(df: DataFrame, made: list[str]) -> list[str]:
     """The columns of ``df`` that no column in ``made`` replaces."""
     taken = {name.lower() for name in made}

@@ -11,7 +11,7 @@ fingerprints at four bits or fewer then share one of these keys (pigeonhole over
 
 That is about 116 keys of 31 bits or more per distinct fingerprint. Each key's members are compared in one pass over
 the rows sorted by key; links leave as stars (member, smallest member of its part), never as all pairs. Groups above
-``block`` members are not compared there but dealt out again as pairs of blocks, so no task holds one of them.
+``block`` members are not compared there but divided further (:func:`links`), so no task holds one of them.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import components, join_counted
 from .common import CHUNK_BYTES, chunks, map_text, read_table, text_bytes, written
-from .components import components
 from .golay import near_codewords
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -203,17 +203,31 @@ def _out(k: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.ascontiguousarray(a)), pa.nulls(len(a), pa.int64()) if b is None else pa.array(np.ascontiguousarray(b))], names=["k", "a", "b"])
 
 
-def links(fps: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints (column ``simhash``, distinct) at four bits or fewer."""
-    keyed = fps.select("simhash").mapInArrow(_keyed, _KEYED)
+def _linked(keyed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the groups of (k, f) up to ``block`` members, and the rows (k, f) of the larger ones."""
     once = written(keyed.repartition("k").sortWithinPartitions("k").mapInArrow(_link(block), _LINKS))
-    edges = once.where("b is not null").select("a", "b")
-    large = once.where("b is null").select("k", F.col("a").alias("f")).distinct()
+    return once.where("b is not null").select("a", "b"), once.where("b is null").select("k", F.col("a").alias("f")).distinct()
+
+
+def links(fps: DataFrame, *, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect exactly the fingerprints (column ``simhash``, distinct) at four bits or fewer.
+
+    A group of more than ``block`` different fingerprints under one key is divided once more: of five blocks of 13 bits
+    close members share one. Only what is still above ``block`` then, fingerprints that are the same in most bits, is dealt
+    out as pairs of blocks: about n / (block / 2) copies of each of its n members.
+    """
+    edges, large = _linked(fps.select("simhash").mapInArrow(_keyed, _KEYED), block)
+    if large.isEmpty():
+        return edges
+    parts = F.explode(F.array(*[F.xxhash64("k", F.lit(i), F.shiftrightunsigned("f", 13 * i).bitwiseAND(0x1FFF)) for i in range(5)]))
+    more, large = _linked(large.select(parts.alias("k"), "f"), block)
+    edges = edges.unionAll(more)
     if large.isEmpty():
         return edges
-    count = large.groupBy("k").agg(F.ceil(F.count("*") / F.lit(max(1, block // 2))).alias("m"))
-    dealt = large.join(count, "k").withColumn("i", F.pmod(F.xxhash64("f"), F.greatest("m", F.lit(2))))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("m", F.lit(2)) - 1))).where("i != j")
+    large = written(large)
+    count = large.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / F.lit(max(1, block // 2))), F.lit(2)).alias("m"), F.count("*").alias("n"))
+    dealt = join_counted(large, count, ["k"], large.count()).withColumn("i", F.pmod(F.xxhash64("f"), F.col("m")))
+    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))).where("i != j")
     dealt = dealt.select(F.xxhash64("k", F.least("i", "j"), F.greatest("i", "j")).alias("k"), "f")
     return edges.unionAll(dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_link(None), _LINKS).select("a", "b"))
 
@@ -226,12 +240,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     without any id has a null one. Only the two named columns are read.
     """
     found = written(fingerprints(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__said")), text="__said", carry_text=False))
-    fps = found.groupBy("simhash").agg(F.min("__id").alias("least"))
+    fps = written(found.groupBy("simhash").agg(F.min("__id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(fps, block=block))
-    rooted = fps.join(roots, fps.simhash == roots.node, "left").select("simhash", "least", F.coalesce("root", "simhash").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("simhash", "component_id")
-    return found.join(classes, "simhash").select(F.col("__id").alias(doc_id), "simhash", "component_id")
+    rooted = written(fps.join(roots, fps.simhash == roots.node, "left").select("simhash", "least", "copies", F.coalesce("root", "simhash").alias("root")))
+    sizes = rooted.agg(F.count("*").alias("prints"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    classes = join_counted(rooted, named, ["root"], sizes.prints).select("simhash", "component_id", F.col("copies").alias("n"))
+    return join_counted(found, classes, ["simhash"], sizes.rows).select(F.col("__id").alias(doc_id), "simhash", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
