@@ -3,17 +3,18 @@
 A pattern is a window of 13 consecutive words of a benchmark item (an item of fewer words, but not none, is
 one shorter pattern). The alphabet of the search is the word: for each pattern length a shift table, indexed by
 a block of two neighbouring words, tells how far the search may jump; where the shift is zero, a bucket of
-patterns that end in this block is looked up, and the words themselves are compared. All segments of a chunk of
-texts advance in step, so that every jump is one numpy gather.
+patterns that end in this block, and of those the ones with the same first word, are looked up, and the words themselves
+are compared. All segments of a chunk of texts advance in step, so that every jump is one numpy gather.
 
-The documents are read in one pass and never shuffled. Patterns are shipped to the tasks in blocks of at most
-``block_bytes`` of benchmark text; more blocks mean more chained passes over the rows, never a larger broadcast.
+The documents are read in one pass and never shuffled. Patterns are arrays: the benchmark's words in a row, and the places
+where windows begin, sorted by the codes of their last block and first word. They come in blocks of at most about
+``block_bytes`` of benchmark text (a longer item is a block of its own). The driver fetches and builds one block at a time;
+a task holds one block at a time beside a few megabytes of texts, and takes these through all blocks.
 """
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,161 +23,231 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import carried, chunks, lists, map_text, mix, read_table, text_bytes
-from .words import scan
+from .words import Tokens, scan
 
 WINDOW = 13
 #: Word positions that one lane of the search owns.
 SEGMENT = 128
-SHIFT_BITS = 18
-_GAP = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: Slots of a shift table as a power of two: least and most.
+SHIFT_BITS = (16, 22)
+#: Benchmark text of a block.
+BLOCK_BYTES = 4 << 20
 _FOLD = np.uint64(0xD6E8FEB86659FD93)
 
 
+class Words:
+    """The words of consecutive texts: bytes (A-Z lower-cased), span, hash, and the first word of each text."""
+
+    def __init__(self, texts: pa.Array):
+        data, offs = text_bytes(texts)
+        parts: list[Tokens] = []
+        first, lower, at = [], [], 0
+        for a, b in chunks(offs):
+            t = scan(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            first.append(np.searchsorted(t.row, np.arange(b - a), "left") + at)
+            at += len(t.hash)
+            t.start, t.end = t.start + offs[a], t.end + offs[a]
+            lower.append(t.lower)
+            parts.append(t)
+        self.lower = np.concatenate([*lower, np.zeros(8, np.uint8)])  # eight bytes more, so that eight may be read at each place
+        self.start, self.end = (np.concatenate([getattr(t, name) for t in parts] or [np.zeros(0, np.int64)]).astype(np.int64) for name in ("start", "end"))
+        self.hash = np.concatenate([t.hash for t in parts] or [np.zeros(0, np.uint64)])
+        self.first = np.append(np.concatenate([*first, np.zeros(0, np.int64)]), at).astype(np.int64)
+
+
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number, the first byte the lowest."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+def _same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray, m: int) -> np.ndarray:
+    """Whether the ``m`` words of ``a`` from each of ``i`` on are, byte for byte, those of ``b`` from ``j`` on."""
+    same = np.ones(len(i), bool)
+    for k in range(m):
+        live = np.flatnonzero(same)
+        if not len(live):
+            break
+        x, y = i[live] + k, j[live] + k
+        size = a.end[x] - a.start[x]
+        equal = size == b.end[y] - b.start[y]
+        left, right = a.start[x], b.start[y]
+        for at in range(0, int(size[equal].max(initial=0)), 8):
+            look = np.flatnonzero(equal & (size > at))
+            if not len(look):
+                break
+            rest = np.minimum(size[look] - at, 8).astype(np.uint64)
+            equal[look] = (_eight(a.lower)[left[look] + at] ^ _eight(b.lower)[right[look] + at]) << (np.uint64(64) - np.uint64(8) * rest) == 0
+        same[live] = equal
+    return same
+
+
 class Patterns:
-    """Shift tables and suffix buckets of the patterns of one block of benchmark items."""
+    """Shift tables and suffix buckets of the windows of one block of benchmark items (id, text)."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in items:
-            words = [w for w in _GAP.split(text.encode().lower()) if w]
-            for i in range(max(0, min(len(words), 1) if len(words) <= window else len(words) - window + 1)):
-                owners[b" ".join(words[i : i + window])].add(item)
-        by_length: dict[int, list[bytes]] = defaultdict(list)
-        for pattern in sorted(owners):
-            by_length[pattern.count(b" ") + 1].append(pattern)
-        self.owners = {p: sorted(v) for p, v in owners.items()}
-        self.tables = [_Table(m, found) for m, found in sorted(by_length.items())]
-
-    def occurrences(self, data: np.ndarray, offs: np.ndarray):
-        """Tokens, and every occurrence as (row, first word, words, pattern), of one chunk of texts."""
-        tokens = scan(data, offs)
-        first = np.searchsorted(tokens.row, np.arange(len(offs)), "left")
-        found = []
+        self.ids = sorted({i for i, _ in items})
+        number = {name: n for n, name in enumerate(self.ids)}
+        owner = np.array([number[i] for i, _ in items], np.int64)
+        self.words = Words(pa.array([t for _, t in items], pa.large_string()))
+        size = np.diff(self.words.first)
+        self.tables: list[_Table] = []
+        for m in np.unique(np.minimum(size[size > 0], window)).tolist():
+            mine = np.flatnonzero(np.minimum(size, window) == m)
+            count = size[mine] - m + 1
+            place = np.repeat(self.words.first[mine], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            self.tables.append(_Table(m, self.words, place, np.repeat(owner[mine], count)))
+
+    def occurrences(self, said: Words) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(first word, number of the item's id, words) of every occurrence in the texts, by pattern length."""
         for table in self.tables:
-            found += table.search(tokens, first)
-        return tokens, found
+            yield *table.search(said, self.words), table.m
 
 
 class _Table:
-    def __init__(self, m: int, patterns: list[bytes]):
+    def __init__(self, m: int, words: Words, place: np.ndarray, owner: np.ndarray):
         self.m, self.block = m, 1 if m == 1 else 2
-        body = b"\n".join(patterns)
-        offs = np.concatenate(([0], np.cumsum([len(p) + 1 for p in patterns]))).astype(np.int64)
-        offs[-1] -= 1
-        tokens = scan(np.frombuffer(body, np.uint8), offs)
-        words = tokens.hash.reshape(len(patterns), m)
-        self.shift = np.full(1 << SHIFT_BITS, m - self.block + 1, np.uint8 if m < 250 else np.int64)
+        self.bits = int(np.clip(np.ceil(np.log2(max(1, 4 * m * len(place)))), *SHIFT_BITS))
+        self.shift = np.full(1 << self.bits, m - self.block + 1, np.uint8 if m < 250 else np.int64)
         for last in range(self.block - 1, m):
-            code = self._code(words[:, last - 1] if self.block == 2 else None, words[:, last])
+            code = self._code(words.hash, place + last)
             np.minimum.at(self.shift, code, m - 1 - last)
-        self.buckets: dict[int, list[bytes]] = defaultdict(list)
-        for code, pattern in zip(self._code(words[:, -2] if self.block == 2 else None, words[:, -1]).tolist(), patterns, strict=True):
-            self.buckets[code].append(pattern)
-
-    def _code(self, before: np.ndarray | None, word: np.ndarray) -> np.ndarray:
-        value = word if before is None else mix(before * _FOLD ^ word)
-        return (value >> np.uint64(64 - SHIFT_BITS)).astype(np.int64)
-
-    def search(self, tokens, first: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-        lo, hi = first[:-1] + self.m - 1, first[1:]  # last words that a window of each row can have
+        key = self._key(code, words.hash[place])
+        order = np.argsort(key, kind="stable")
+        self.keys, self.place, self.owner = key[order], place[order], owner[order].astype(np.int32)
+
+    @staticmethod
+    def _key(code: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The bucket of a window: its last block, then its first word."""
+        return (code.astype(np.uint64) << np.uint64(64 - SHIFT_BITS[1])) | (first >> np.uint64(SHIFT_BITS[1]))
+
+    def _code(self, h: np.ndarray, last: np.ndarray) -> np.ndarray:
+        value = h[last] if self.block == 1 else mix(h[last - 1] * _FOLD ^ h[last])
+        return (value >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def search(self, said: Words, known: Words) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        lo, hi = said.first[:-1] + self.m - 1, said.first[1:]  # last words that a window of each row can have
         rows = np.flatnonzero(lo < hi)
         if not len(rows):
-            return []
+            return none, none
         lo, hi = lo[rows], hi[rows]
         lanes = (hi - lo + SEGMENT - 1) // SEGMENT
         nth = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         at = np.repeat(lo, lanes) + nth * SEGMENT
         end = np.minimum(at + SEGMENT, np.repeat(hi, lanes))
-        hits = []
+        first, owner = [none], [none]
         while len(at):
-            code = self._code(tokens.hash[at - 1] if self.block == 2 else None, tokens.hash[at])
+            code = self._code(said.hash, at)
             step = self.shift[code].astype(np.int64)
             zero = step == 0
             if zero.any():
-                hits.append((at[zero], code[zero]))
+                place = at[zero] - self.m + 1
+                key = self._key(code[zero], said.hash[place])
+                a, b = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
+                for cut in self._cuts(b - a):  # a bucket may be large; its candidates come in parts
+                    x, y = self._bucket(a[cut], b[cut])
+                    start = place[cut][x]
+                    true = _same_words(said, start, known, self.place[y], self.m)
+                    first.append(start[true])
+                    owner.append(self.owner[y[true]].astype(np.int64))
             at = at + np.maximum(step, 1)
             live = at < end
             at, end = at[live], end[live]
-        out = []
-        for where, codes in hits:
-            for last, code in zip(where.tolist(), codes.tolist(), strict=True):
-                bucket = self.buckets.get(code)
-                if bucket:
-                    start = last - self.m + 1
-                    said = _GAP.sub(b" ", tokens.lower[tokens.start[start] : tokens.end[last]].tobytes())
-                    out += [(int(tokens.row[start]), start, self.m, p) for p in bucket if p == said]
-        return out
-
-
-_MADE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
-
-
-def _search(patterns: Patterns):
-    def work(texts: pa.Array) -> list[pa.Array]:
-        data, offs = text_bytes(texts)
-        n_words, spans, items, span_n, item_n = [], [], [], [], []
-        for a, b in chunks(offs):
-            tokens, found = patterns.occurrences(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-            n_words.append(np.bincount(tokens.row, minlength=b - a))
-            first = np.searchsorted(tokens.row, np.arange(b - a), "left")
-            per_row: dict[int, list] = defaultdict(list)
-            for row, start, m, pattern in found:
-                per_row[row].append((start - int(first[row]), start - int(first[row]) + m, pattern))
-            for row in range(b - a):
-                merged: list[list[int]] = []
-                owners: set[str] = set()
-                for lo, hi, pattern in sorted(per_row.get(row, ())):
-                    owners.update(patterns.owners[pattern])
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
-                spans += [x for span in merged for x in span]
-                span_n.append(2 * len(merged))
-                items += sorted(owners)
-                item_n.append(len(owners))
+        return np.concatenate(first), np.concatenate(owner)
+
+    @staticmethod
+    def _cuts(n: np.ndarray, most: int = 1 << 20) -> Iterator[slice]:
+        for a, b in chunks(np.concatenate(([0], np.cumsum(n))), most):
+            yield slice(a, b)
+
+    @staticmethod
+    def _bucket(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which range, member) of all members of the ranges."""
+        n = b - a
+        x = np.repeat(np.arange(len(n)), n)
+        return x, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - a, n)
+
+
+class _Found:
+    """What the blocks found in a group of texts: the cover of its words, and the ids by row."""
+
+    def __init__(self, texts: pa.Array):
+        self.said = Words(texts)
+        self.change = np.zeros(len(self.said.hash) + 1, np.int32)
+        self.pairs: set[tuple[int, str]] = set()
+
+    def look(self, patterns: Patterns) -> None:
+        for first, owner, m in patterns.occurrences(self.said):
+            np.add.at(self.change, first, 1)
+            np.add.at(self.change, first + m, -1)
+            row = np.searchsorted(self.said.first, first, "right") - 1
+            both = np.unique(np.stack([row, owner], axis=1), axis=0)
+            self.pairs.update((r, patterns.ids[o]) for r, o in both.tolist())
+
+    def columns(self) -> list[pa.Array]:
+        first, n = self.said.first, len(self.said.first) - 1
+        hit = np.cumsum(self.change[:-1]) > 0
+        before = np.concatenate(([False], hit[:-1]))
+        edge = np.zeros(len(hit), bool)
+        edge[first[:-1][first[:-1] < len(hit)]] = True  # a span does not go on in the next text
+        start = np.flatnonzero(hit & (~before | edge))
+        end = np.flatnonzero(np.append(hit[:-1] & (~hit[1:] | edge[1:]), hit[-1:])) + 1
+        row = np.searchsorted(first, start, "right") - 1
+        spans = np.stack([start - first[row], end - first[row]], axis=1).ravel()
+        items = sorted(self.pairs)
+        per = np.bincount(np.array([r for r, _ in items], np.int64), minlength=n)
         return [
-            pa.array(np.concatenate(n_words) if n_words else np.zeros(0), pa.int64()),
-            lists(np.array(spans, np.int64), np.array(span_n, np.int64), pa.int64()),
-            lists(pa.array(items, pa.string()), np.array(item_n, np.int64), pa.string()),
+            pa.array(np.diff(first), pa.int64()),
+            lists(spans.astype(np.int64), 2 * np.bincount(row, minlength=n), pa.int64()),
+            lists(pa.array([i for _, i in items], pa.string()), per, pa.string()),
         ]
 
-    return work
+
+_MADE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
     """The items, in blocks of bounded size; each is fetched on its own."""
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("item is not null and text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-int(size) // block_bytes))
     if n == 1:
-        return [[(r.item, r.text) for r in rows.collect()]]
+        yield [(r.item, r.text) for r in rows.collect()]
+        return
     part = F.pmod(F.xxhash64("item", "text"), F.lit(2 * n))  # twice as many, as hashing fills them unevenly
-    return [[(r.item, r.text) for r in rows.where(part == i).collect()] for i in range(2 * n)]
+    for i in range(2 * n):
+        yield [(r.item, r.text) for r in rows.where(part == i).collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = 16 << 20, carry_text: bool = True) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry_text: bool = True) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit``, ``hit_spans`` (word spans, end exclusive, flat), ``items``, ``contaminated``.
 
     A word is hit if it lies inside an occurrence of a window; a document is contaminated if it has a hit word and
     at least one word in twenty is hit. Null or empty texts have no words and are not contaminated. Benchmark rows
     with a null id or text, or without a word, have no window. Repeated rows are judged one by one. Other columns
-    are carried (the text only if ``carry_text``); a column named like one of the new ones is replaced.
+    are carried (the text only if ``carry_text``); a column named like one of the new ones is replaced. One item is never
+    divided between blocks.
     """
-    out = docs
-    blocks = _blocks(benchmark, item, item_text, block_bytes)
-    for i, block in enumerate(blocks):
-        patterns = docs.sparkSession.sparkContext.broadcast(block)
-
-        def make(patterns=patterns):
-            return _search(Patterns(patterns.value, window))
-
-        if i:
-            out = out.withColumnsRenamed({"hit_spans": "__spans", "items": "__items"})
-        out = map_text(out, text, make, _MADE, carry_text or i + 1 < len(blocks))
-        if i:
-            both = F.array_union(F.col("__items"), F.col("items"))
-            out = out.withColumn("hit_spans", _union_spans("__spans", "hit_spans")).withColumn("items", F.array_sort(both)).drop("__spans", "__items")
+    context = docs.sparkSession.sparkContext
+    shared = [context.broadcast(Patterns(block, window)) for block in _blocks(benchmark, item, item_text, block_bytes)]  # the driver keeps them on its disk
+
+    def make():
+        one = shared[0].value if len(shared) == 1 else None
+
+        def work(texts: pa.Array) -> list[pa.Array]:
+            found = _Found(texts)
+            if one is not None:
+                found.look(one)
+            else:
+                for block in shared:
+                    found.look(block.value)
+                    if hasattr(block, "_path"):  # one block is in memory at a time; the next value is read from the executor's disk
+                        vars(block).pop("_value", None)
+            return found.columns()
+
+        return work
+
+    out = map_text(docs, text, make, _MADE, carry_text)
     signed = F.transform("hit_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
     out = out.withColumn("n_hit", F.aggregate(signed, F.lit(0).cast("bigint"), lambda a, b: a + b))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
@@ -184,22 +255,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     return out.select(*[f"`{c}`" for c in keep], "n_words", "n_hit", "hit_spans", "items", "contaminated")
 
 
-@F.udf(T.ArrayType(T.LongType()))
-def _merge_spans(a, b):
-    merged: list[list[int]] = []
-    for lo, hi in sorted([*zip(a[::2], a[1::2], strict=True), *zip(b[::2], b[1::2], strict=True)]):
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], hi)
-        else:
-            merged.append([lo, hi])
-    return [x for span in merged for x in span]
-
-
-def _union_spans(a: str, b: str):
-    """Only used past the first block of a benchmark that is too large for one."""
-    return _merge_spans(F.col(a), F.col(b))
-
-
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, read_table(spark, sf_dir, "benchmark"), carry_text=False)
