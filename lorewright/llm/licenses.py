@@ -5,6 +5,9 @@ from hash to template and place. A document's n-grams are looked up in it; hits
 and a local alignment of the template within a band around this diagonal reports the share of the template's words
 that are matched, and the span of the document's words they lie in. Documents are read once and not shuffled; the index
 follows the templates.
+
+Templates of few words have no run of equal words to count on. All their single words are indexed, and a band of diagonals
+is a candidate if it has as many hits as the coverage asks for; so nothing that an alignment would accept is missed.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
 }
 GRAM, WINNOW, BAND, COVERAGE = 3, 2, 8, 0.8
+#: Templates of so many words at most are looked for by single words.
+SHORT = 16
 _FOLD = np.uint64(0x9FB21C651E98DF25)
 _MATCH = pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
@@ -79,19 +84,25 @@ def align(template: list[int], words: list[int], diagonal: int, band: int) -> tu
 
 
 class LicenseIndex:
-    """The inverted index: hash of a winnowed n-gram to (template, place)."""
+    """The inverted index: hash of a winnowed n-gram, or of a short template's word, to (template, place)."""
 
     def __init__(self, templates: dict[str, str], gram: int = GRAM, winnow: int = WINNOW, band: int = BAND, coverage: float = COVERAGE):
         self.band, self.coverage, self.gram = band, coverage, gram
         self.words: dict[str, list[int]] = {}
         self.by_length: dict[int, dict[int, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.short: list[str] = []
+        single: list[tuple[int, int, int]] = []
         for name, text in sorted(templates.items()):
             data = np.frombuffer(text.encode(), np.uint8)
             h = scan(data, np.array([0, len(data)])).hash
             if not len(h):
                 continue
             self.words[name] = h.tolist()
-            least = math.ceil(coverage * len(h))
+            if len(h) <= SHORT:
+                single += [(word, len(self.short), place) for place, word in enumerate(h.tolist())]
+                self.short.append(name)
+                continue
+            least = self.least(name)
             run = max(1, -(-least // (len(h) - least + 1)))  # equal words in a row that a match has at least
             n = min(gram, run)
             width = min(winnow, run - n + 1)
@@ -100,10 +111,53 @@ class LicenseIndex:
             for place in picked:
                 self.by_length[n][int(g[place])].append((name, place))
         self.keys = {n: np.array(sorted(found), np.uint64) for n, found in self.by_length.items()}
+        single.sort()
+        self.single = np.array([x[0] for x in single], np.uint64)
+        self.single_template, self.single_place = np.array([x[1] for x in single], np.int64), np.array([x[2] for x in single], np.int64)
+        self.needed = np.array([self.least(name) for name in self.short], np.int64)
+
+    def least(self, name: str) -> int:
+        return max(1, math.ceil(self.coverage * len(self.words[name]) - 1e-9))
+
+    def _short_hits(self, h: np.ndarray, row: np.ndarray) -> dict[tuple[int, str], list[tuple[int, int]]]:
+        """(diagonal, word) of the single-word hits in bands of diagonals with enough of them, by row and template."""
+        found: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
+        if not len(self.short) or not len(h):
+            return found
+        lo, hi = np.searchsorted(self.single, h, "left"), np.searchsorted(self.single, h, "right")
+        word = np.flatnonzero(hi > lo)
+        n = (hi - lo)[word]
+        entry = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo[word], n)
+        word = np.repeat(word, n)
+        template, diagonal = self.single_template[entry], word - self.single_place[entry]
+        # a row's diagonals follow those of the row before, so a band may touch the next row; it only makes a candidate more
+        step = len(h) + SHORT + 2 * self.band + 2
+        key = template * step + diagonal + SHORT
+        order = np.argsort(key, kind="stable")
+        key, word, template, diagonal = key[order], word[order], template[order], diagonal[order]
+        last = np.searchsorted(key, key + 2 * self.band, "right")
+        enough = np.flatnonzero(last - np.arange(len(key)) >= self.needed[template])
+        change = np.zeros(len(key) + 1, np.int64)
+        np.add.at(change, enough, 1)
+        np.add.at(change, last[enough], -1)
+        for i in np.flatnonzero(np.cumsum(change[:-1]) > 0).tolist():
+            found[int(row[word[i]]), self.short[template[i]]].append((int(diagonal[i]), int(word[i])))
+        return found
+
+    def _centers(self, name: str, hits: list[tuple[int, int]]) -> list[int]:
+        """Middles of the bands to align: around each hit; for a short template, above each one with enough hits in its band."""
+        at = sorted(d for d, _ in hits)
+        if len(self.words[name]) > SHORT:
+            return sorted(set(at))
+        least, out = self.least(name), []
+        for i, d in enumerate(at):
+            if i + least <= len(at) and at[i + least - 1] - d <= 2 * self.band and (not out or out[-1] != d + self.band):
+                out.append(d + self.band)
+        return out
 
     def matches(self, h: np.ndarray, row: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[str, float, int, int]]]:
         """Matches by row; word numbers are counted from the row's first word."""
-        places: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
+        places = self._short_hits(h, row)
         for n, keys in self.keys.items():
             if len(h) < n:
                 continue
@@ -118,10 +172,10 @@ class LicenseIndex:
             open_parts = [(begin, int(first[r + 1]), hits)]
             while open_parts:
                 start, end, here = open_parts.pop()
-                for d in sorted({d for d, _ in here}):
+                for d in self._centers(name, here):
                     lo, hi = max(start, d - self.band), min(end, d + len(template) + self.band + 1)
                     matched, a, b = align(template, h[lo:hi].tolist(), d - lo, self.band)
-                    if matched and matched >= self.coverage * len(template):
+                    if matched >= self.least(name):
                         a, b = lo + a, lo + b
                         out[r].append((name, matched / len(template), a - begin, b - begin))
                         for left, right in ((start, a), (b + 1, end)):  # hits inside the match are this occurrence
@@ -135,10 +189,11 @@ def scan_licenses(docs: DataFrame, *, text: str = "text", templates: dict[str, s
     """``docs`` with ``licenses``: (license, coverage, first_word, last_word) of each match, in the order of the words.
 
     Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased. A match covers at least
-    ``coverage`` of the template's words; its occurrences of one template do not overlap. An occurrence with so many of
-    the words is sure to be a candidate if the others are replaced or left out (templates are indexed by grams no longer
-    than the run of equal words it then has); words put between may hide one. Null and empty texts have no
-    match. A template without words matches nothing. Other columns are carried; ``licenses`` of the input is replaced.
+    ``coverage`` of the template's words; its occurrences of one template do not overlap. A template of up to 16 words is
+    found wherever an alignment on any diagonal accepts it. A longer one is sure to be a candidate if its other words are
+    replaced or left out (it is indexed by grams no longer than the run of equal words it then has); words put between may
+    hide one only where they cut all such runs. Null and empty texts have no match. A template without words matches
+    nothing. Other columns are carried; ``licenses`` of the input is replaced.
     """
     chosen = TEMPLATES if templates is None else templates
 
