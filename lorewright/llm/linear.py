@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, mix, text_bytes
+from .common import chunks, lists, mix, small_batches, text_bytes
 from .words import scan
 
 #: Width of the hashed feature space.
@@ -60,26 +60,33 @@ def train_ftrl(slots: list[np.ndarray], values: list[np.ndarray], labels: np.nda
 SCALE = 10.0
 
 
-def _fit(rows: list[tuple[int, str, str]], classes: list[str], bits: int, epochs: int) -> np.ndarray:
-    """One weight vector per class (one against the rest) from (rank, label, text); a single class gives a bias alone."""
-    slots, values = [], []
-    data, offs = text_bytes(pa.array([text for _, _, text in rows], pa.large_string()))
-    for a, b in chunks(offs):
-        slot, row, count = features(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], bits)
-        key, times = np.unique(row * (1 << bits) + slot, return_counts=True)
-        cut = np.searchsorted(key >> bits, np.arange(b - a + 1))
-        for i in range(b - a):
-            part = slice(cut[i], cut[i + 1])
-            slots.append(np.append(key[part] & ((1 << bits) - 1), 1 << bits))
-            values.append(np.append(times[part] * (SCALE / max(1, count[i])), 1.0))
-    return np.stack([train_ftrl(slots, values, np.array([float(label == c) for _, label, _ in rows]), bits=bits, epochs=epochs) for c in classes])
+_COUNTED = T.StructType([T.StructField("label", T.StringType()), T.StructField("rank", T.LongType()), T.StructField("said", T.LongType()), T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType()))])
+
+
+def _features_of(bits: int):
+    """Rows (label, rank, hash of the text, text) as distinct slots and values: bounded by the feature space, however long the text."""
+
+    def run(batches):
+        for batch in batches:
+            data, offs = text_bytes(batch.column(3))
+            for a, b in chunks(offs):
+                slot, row, count = features(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], bits)
+                key, times = np.unique(row * (1 << bits) + slot, return_counts=True)
+                per = np.bincount(key >> bits, minlength=b - a)
+                slots = lists((key & ((1 << bits) - 1)).astype(np.int32), per, pa.int32())
+                values = lists((times * (SCALE / np.maximum(1, count))[key >> bits]).astype(np.float32), per, pa.float32())
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), slots, values], names=_COUNTED.fieldNames())
+
+    return run
 
 
 def fit(labelled: DataFrame, *, per_class: int, bits: int = BITS, epochs: int = 3) -> tuple[list[str], np.ndarray | None]:
-    """Classes in order and their weights, from columns ``label``, ``text``, ``rank`` (a hash that orders the rows).
+    """Classes in order and their weights (one against the rest), from columns ``label``, ``text``, ``rank`` (a hash that orders the rows).
 
-    At most ``per_class`` rows of each label are used, the first by ``rank``; this bound is what one task holds.
-    The number of classes must be small, as each gets a weight vector. No rows: no classes and None.
+    At most ``per_class`` rows of each label are used, the first by ``rank``. What the one fitting task holds is bounded by
+    it: a row is its hashed features by then, at most ``2**bits`` of them. The number of classes must be small, as each gets
+    a weight vector. No rows: no classes and None. A single class gives a bias alone.
     """
     labelled = labelled.where("label is not null").select(F.col("label").cast("string").alias("label"), F.coalesce("text", F.lit("")).alias("text"), "rank")
     counts = labelled.groupBy("label").agg(F.count("*").alias("n")).collect()
@@ -91,22 +98,26 @@ def fit(labelled: DataFrame, *, per_class: int, bits: int = BITS, epochs: int =
     keep = F.lit(False)
     for label, part in share.items():
         keep = keep | ((F.col("label") == label) & (F.col("rank") <= int(-(2**63) + min(part * 2**64, 2**64 - 1))))
-    few = labelled.where(keep).groupBy("label", "rank").agg(F.min("text").alias("text")).select("label", "rank", "text")  # copies of a row count once
+    small_batches(labelled.sparkSession)
+    hashed = labelled.where(keep).select("label", "rank", F.xxhash64("text").alias("said"), "text").mapInArrow(_features_of(bits), _COUNTED)
+    few = hashed.groupBy("label", "rank").agg(F.min_by(F.struct("slots", "values"), "said").alias("x")).select("label", "rank", "x.slots", "x.values")  # copies of a row count once
 
     def train(batches):
-        rows = []
+        rows: list[tuple] = []
         for batch in batches:
-            rows += zip(*(batch.column(i).to_pylist() for i in (1, 0, 2)), strict=True)
-        rows.sort()
+            slots, values = batch.column(2), batch.column(3)
+            for i, (label, rank) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                rows.append((rank, label, np.append(slots[i].values.to_numpy(), 1 << bits).astype(np.int64), np.append(values[i].values.to_numpy(), 1.0).astype(float)))
+        rows.sort(key=lambda r: r[:2])
         taken: dict[str, int] = {}
         first = []
         for row in rows:
             taken[row[1]] = taken.get(row[1], 0) + 1
             if taken[row[1]] <= per_class:
                 first.append(row)
-        rows = first
-        if len(rows):
-            w = _fit(rows, classes, bits, epochs)
+        if first:
+            slots, values = [r[2] for r in first], [r[3] for r in first]
+            w = [train_ftrl(slots, values, np.array([float(r[1] == c) for r in first]), bits=bits, epochs=epochs) for c in classes]
             yield pa.RecordBatch.from_pydict({"w": [x.tobytes() for x in w], "i": list(range(len(w)))}, schema=pa.schema([("w", pa.binary()), ("i", pa.int32())]))
 
     got = few.coalesce(1).mapInArrow(train, T.StructType([T.StructField("w", T.BinaryType()), T.StructField("i", T.IntegerType())])).collect()
