@@ -7,11 +7,14 @@ The index (:mod:`.runindex`) is built in many small blocks, and only over text t
 2. Pieces whose owner occurs twice or more are cut out of their texts. Equal pieces are collapsed to one with a count.
 3. Pieces are dealt out by owner, so that all places of a window meet, and a run-length index of each block of owners
    streams the matching statistics and gives the windows that occur elsewhere. A piece counted twice or more repeats as
-   a whole. Owners with very many different pieces are dealt out by single windows instead.
+   a whole. An owner with more places than a block holds is not indexed as one: its pieces are cut once more, by the least
+   of other hashes of their windows' grams, and dealt out by both; and so on. What is left after ``LEVELS`` cuts, windows
+   that are the same in nearly every gram, is compared window by window.
 4. The spans go back to the texts, are merged, and what remains is hashed.
 
-Texts are shuffled twice (the second time only those with such pieces). Nothing is collected, and a list never holds
-more than one text has.
+Texts are shuffled twice (the second time only those with such pieces), short ones never. Copies of one text, places of one
+owner and places of one piece are joined such that a hot one is no bottleneck. Nothing is collected, and a list never
+holds more than one text has.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import PARTS, join_counted
 from .common import chunks, mix, read_table, removed, scratch, small_batches, text_bytes, written
 from .runindex import RunIndex
 
@@ -35,11 +39,14 @@ _GRAM = 32
 _LONGEST = 512
 #: Bytes of pieces that are indexed together.
 BLOCK_BYTES = 1 << 20
-#: Different pieces of one owner that are indexed together at most.
-OWNER_PIECES = 20_000
+#: Places of one owner that are indexed together at most: about as many bytes as a block has.
+OWNER_PLACES = BLOCK_BYTES // (LENGTH + _LONGEST)
+#: How often the pieces of an owner with more places are cut again.
+LEVELS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_PIECES = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("c", T.LongType()), ("d", T.LongType()), ("at", T.LongType()), ("piece", T.BinaryType()))])
-_SPANS = T.StructType([T.StructField("h", T.LongType()), T.StructField("c", T.LongType()), T.StructField("spans", T.ArrayType(T.IntegerType()))])
+_PIECES = "h long, c long, d long, e long, at long, n long, big boolean, piece binary"
+_SPANS = "h long, c long, n long, spans array<int>"
+_PARTS = "k long, q long, h long, c long, off int, n long, piece binary"
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -109,66 +116,71 @@ def pieces_of(data: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple
 
 
 def _owners(length: int):
-    """Owner and place of each piece; twice, if the piece may repeat in itself. A place is 32 bits of position, 10 of the number of windows, 22 of the text's other hash."""
+    """Owner and place of each piece; twice, if the piece may repeat in itself. A place is the first window, then ten bits for their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_bytes(batch.column(0))
-            d, check = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            d, e = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
             for a, b in chunks(offs):
                 row, h, at, n, itself = pieces_of(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], length)
                 row, h, at, n = (np.concatenate((x, x[itself])) for x in (row, h, at, n))
-                place = (at << 32) | (n << 22) | (check[a + row] & 0x3FFFFF)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d[a + row]), pa.array(place)], names=["h", "d", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d[a + row]), pa.array(e[a + row]), pa.array((at << 10) | n)], names=["h", "d", "e", "p"])
 
     return run
 
 
+def _digest(piece: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(piece) - (1 << 63)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    arrow = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+    return pa.RecordBatch.from_arrays([pa.array(x, arrow[k]) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
+
+def _batched(rows: Iterator[tuple], schema: str, size) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of some megabytes by ``size(row)``."""
+    out: list[tuple] = []
+    held = 0
+    for row in rows:
+        out.append(row)
+        held += size(row)
+        if held > 4 << 20:
+            yield _batch(out, schema)
+            out, held = [], 0
+    if out:
+        yield _batch(out, schema)
+
+
 def _cut(length: int):
-    """Pieces of each text at its places; a place that was made for another text with the same first hash is skipped."""
+    """Pieces of each text at its places."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
-            out: list[tuple] = []
-            size = 0
-            for text, d, check, owners, places in rows:
+            for text, d, e, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 said = text.encode()
-                for h, p in zip(owners, places, strict=True):
-                    if (p & 0x3FFFFF) == (check & 0x3FFFFF):
-                        at = p >> 32
-                        piece = said[at : at + (p >> 22 & 0x3FF) + length - 1]
-                        out.append((h, xxhash.xxh3_64_intdigest(piece) - (1 << 63), d, at, piece))
-                        size += len(piece)
-                if size > 4 << 20:
-                    yield _batch(out)
-                    out, size = [], 0
-            if out:
-                yield _batch(out)
+                for place in places:
+                    at = place["p"] >> 10
+                    piece = said[at : at + (place["p"] & 0x3FF) + length - 1]
+                    yield place["h"], _digest(piece), d, e, at, 1, place["big"], piece
 
-    return run
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    h, c, d, at, piece = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, c, d, at)] + [pa.array(piece, pa.binary())], names=["h", "c", "d", "at", "piece"])
+    return lambda batches: _batched(pieces(batches), _PIECES, lambda row: len(row[-1]) + 64)
 
 
 def _index(length: int, block_bytes: int):
     """Over rows (h, c, n, piece) sorted by h: the spans of windows of each piece that occur elsewhere too."""
 
-    def spans(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def spans(rows: list[tuple]) -> Iterator[tuple]:
         found = dict(RunIndex([r[3] for r in rows], length).repeated())
         for i, r in enumerate(rows):
             if r[2] > 1:
-                found[i] = np.array([0, len(r[3]) - length + 1])
-        if found:
-            ids = sorted(found)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[i][0] for i in ids], pa.int64()), pa.array([rows[i][1] for i in ids], pa.int64()), pa.array([found[i].tolist() for i in ids], pa.list_(pa.int32()))], names=["h", "c", "spans"]
-            )
+                yield *r[:3], [0, len(r[3]) - length + 1]
+            elif i in found:
+                yield *r[:3], found[i].tolist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
@@ -181,35 +193,71 @@ def _index(length: int, block_bytes: int):
         if held:
             yield from spans(held)
 
-    return run
+    return lambda batches: _batched(run(batches), _SPANS, lambda row: 40 + 4 * len(row[3]))
+
+
+def _cut_again(length: int, level: int):
+    """Pieces (h, c, n, piece) cut where the least of other gram hashes of the windows changes."""
+    salt = np.uint64((0xD1B54A32D192ED03 * (2 * level + 1)) % (1 << 64))
+    width = length - _GRAM + 1
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for h, c, n, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                owner = _least(mix(_gram_hashes(np.frombuffer(piece, np.uint8)) ^ salt), width)
+                cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
+                both = mix(owner[cuts[:-1]] ^ np.uint64(h % (1 << 64))).view(np.int64).tolist()
+                for a, b, key in zip(cuts[:-1].tolist(), cuts[1:].tolist(), both, strict=True):
+                    part = piece[a : b + length - 1]
+                    yield key, _digest(part), h, c, a, n, part
+
+    return lambda batches: _batched(parts(batches), _PARTS, lambda row: len(row[-1]) + 64)
 
 
 def _windows(length: int):
-    """Single windows of pieces: (h, c, at, window)."""
+    """Single windows of pieces, by a 128-bit hash."""
+    schema = "h long, c long, n long, i int, w binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for h, c, n, piece in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                k = len(piece) - length + 1
-                windows = [piece[i : i + length] for i in range(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([h] * k, pa.int64()), pa.array([c] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([hashlib.blake2b(w, digest_size=16).digest() for w in windows], pa.binary())], names=["h", "c", "n", "i", "w"])
+                for i in range(len(piece) - length + 1):
+                    yield h, c, n, i, hashlib.blake2b(piece[i : i + length], digest_size=16).digest()
+
+    return schema, lambda batches: _batched(windows(batches), schema, lambda row: 100)
 
-    return run
 
+def repeated_windows(cut: DataFrame, *, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, owner_places: int = OWNER_PLACES, levels: int = LEVELS, level: int = 0) -> DataFrame:
+    """(h, c, n, spans) of the distinct pieces that have a window which occurs elsewhere.
 
-def repeated_windows(pieces: DataFrame, *, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, owner_pieces: int = OWNER_PIECES) -> DataFrame:
-    """(h, c, spans) of the distinct pieces (h, c, n, piece) that have a window which occurs elsewhere."""
-    many = pieces.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > owner_pieces).select("h")
-    some = not many.isEmpty()
-    few = pieces.join(many, "h", "left_anti") if some else pieces
-    few = few.select("h", "c", "n", "piece").repartition("h").sortWithinPartitions("h", "c")
-    spans = few.mapInArrow(_index(length, block_bytes), _SPANS)
-    if some:  # every window on its own: equal ones meet by their hash and are counted before they are shuffled
-        single = written(pieces.join(many, "h", "left_semi").select("h", "c", "n", "piece").mapInArrow(_windows(length), "h long, c long, n long, i int, w binary"))
-        again = single.groupBy("w").agg(F.sum("n").alias("times")).where("times > 1").select("w")
-        there = single.join(again, "w").select("h", "c", F.array("i", F.col("i") + 1).alias("spans"))
-        spans = spans.unionAll(there.groupBy("h", "c").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    return spans
+    ``cut`` has rows (h, c, n, piece, big): owner, hash and bytes of a piece, how often it stands there, and whether its
+    owner has more than ``owner_places`` rows. ``n`` of the result is the sum over the rows of the piece.
+    """
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("h", "c").agg(F.sum("n").alias("n"), F.first("piece").alias("piece"))
+
+    spans = once(cut.where("NOT big")).repartition("h").sortWithinPartitions("h", "c").mapInArrow(_index(length, block_bytes), _SPANS)
+    hot = cut.where("big")
+    if hot.isEmpty():
+        return spans
+    hot = once(hot).select("h", "c", "n", "piece")
+    if level == levels:  # every window on its own: equal ones meet by their hash and are counted before they are shuffled
+        schema, windows = _windows(length)
+        single = written(hot.mapInArrow(windows, schema))
+        again = single.groupBy("w").agg(F.sum("n").alias("times"), F.count("*").alias("rows")).where("times > 1").select("w", "rows")
+        there = join_counted(single, again, ["w"], single.count(), "rows").select("h", "c", "n", F.array("i", F.col("i") + 1).alias("spans"))
+    else:
+        part = written(hot.mapInArrow(_cut_again(length, level), _PARTS))
+        total = part.count()
+        owners = part.groupBy("k").agg(F.count("*").alias("rows")).select("k", "rows", (F.col("rows") > owner_places).alias("big"))
+        again = join_counted(part, owners, ["k"], total, "rows").select(F.col("k").alias("h"), F.col("q").alias("c"), "n", "piece", "big")
+        found = repeated_windows(written(again), length=length, block_bytes=block_bytes, owner_places=owner_places, levels=levels, level=level + 1)
+        # n is at least the number of rows of a part, as each stands for one place or more
+        found = found.select(F.col("h").alias("k"), F.col("c").alias("q"), F.col("n").alias("rows"), "spans")
+        back = join_counted(part.select("k", "q", "h", "c", "n", "off"), found, ["k", "q"], total, "rows")
+        there = back.select("h", "c", "n", F.transform("spans", lambda x: x + F.col("off")).alias("spans"))
+    return spans.unionByName(there.groupBy("h", "c").agg(F.first("n").alias("n"), F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -233,40 +281,54 @@ def _removed(text: str, flat: list[list[int]] | None, ats: list[int] | None, len
     return [x for s in spans for x in s], b"".join(kept)
 
 
-def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, owner_places: int = OWNER_PLACES, **limits) -> DataFrame:
     """One row per row of ``docs``: its id, ``n_bytes``, ``removed`` (flat byte spans, end exclusive) and ``kept_sha256``.
 
     Texts are judged as UTF-8 bytes; a span may cut a character. A null text is empty; one under ``length`` bytes has
     no window. Copies of a text cover each other. Rows may repeat and ids may be null. Only the two named columns are read.
+    Texts are told apart by two 64-bit hashes. ``limits`` goes to :func:`repeated_windows`.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     said = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("__id"), said.alias("text"), F.xxhash64(said).alias("d"), F.xxhash64(F.lit("check"), said).alias("check"))
-    owners = rows.where(F.octet_length("text") >= length).select("text", "d", "check").mapInArrow(_owners(length), "h long, d long, p long")
-    spark, once = docs.sparkSession, scratch(docs.sparkSession)
-    owners = written(owners, once)
-    twice = owners.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = owners.join(twice, "h").groupBy("d").agg(F.collect_set(F.struct("h", "p")).alias("places"))
-    found = rows.join(places, "d", "left").select("__id", "d", "check", "text", F.col("places.h").alias("owners"), F.col("places.p").alias("places"))
-    plain = F.octet_length("text").cast("bigint")
-    found = written(found.select("__id", "d", "check", plain.alias("n_bytes"), F.when(F.col("owners").isNull(), F.sha2("text", 256)).alias("whole"), F.when(F.col("owners").isNotNull(), F.col("text")).alias("text"), "owners", "places"))
+    size = F.octet_length(said).cast("bigint")
+    rows = docs.where(size >= length).select(F.col(doc_id).alias("__id"), said.alias("text"), size.alias("n_bytes"), F.xxhash64(said).alias("d"), F.xxhash64(F.lit("check"), said).alias("e"))
+    short = docs.where(size < length).select(F.col(doc_id).alias("__id"), size.alias("n_bytes"), F.sha2(said, 256).alias("whole"))
+    once = scratch(spark)
+    owners = written(rows.select("text", "d", "e").mapInArrow(_owners(length), "h long, d long, e long, p long"), once)
+    total = owners.count()
+    twice = owners.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("big", F.col("n") > owner_places)
+    places = join_counted(owners, twice, ["h"], total).groupBy("d", "e").agg(F.collect_set(F.struct("h", "p", "big")).alias("places"))
+    # a text has one first piece, so its copies are counted there; those of a hot text are spread over ``m`` tasks
+    copies = owners.where(F.col("p") < 1 << 10).groupBy("d", "e").agg(F.count("*").alias("n"))
+    bound = max(64, total // PARTS)
+    hot = written(copies.where(F.col("n") > bound).select("d", "e", F.ceil(F.col("n") / bound).cast("int").alias("m")))  # as many rows as PARTS at most; so are the sums of m
+
+    def for_all_copies(side: DataFrame) -> DataFrame:
+        spread = side.join(F.broadcast(hot), ["d", "e"], "left")
+        return spread.withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1))).drop("m")
+
+    lot = F.pmod(F.xxhash64("__id", F.spark_partition_id(), F.monotonically_increasing_id()), F.coalesce("m", F.lit(1))).cast("int")
+    found = rows.join(F.broadcast(hot), ["d", "e"], "left").withColumn("s", lot).drop("m").join(for_all_copies(places), ["d", "e", "s"], "left")
+    found = written(found.select("__id", "d", "e", "s", "n_bytes", F.when(F.col("places").isNull(), F.sha2("text", 256)).alias("whole"), F.when(F.col("places").isNotNull(), F.col("text")).alias("text"), "places"))
+    some = found.where("places is not null")
+    cut = written(some.select("text", "d", "e", "places").mapInArrow(_cut(length), _PIECES))
     removed(spark, once)
-    some = found.where("owners is not null")
-    cut = written(some.select("text", "d", "check", "owners", "places").mapInArrow(_cut(length), _PIECES))
-    pieces = cut.groupBy("h", "c").agg(F.count("*").alias("n"), F.first("piece").alias("piece"))
-    spans = repeated_windows(pieces, length=length)
-    back = cut.select("h", "c", "d", "at").distinct().join(spans, ["h", "c"])
-    per_text = back.groupBy("d").agg(F.collect_list(F.struct("at", "spans")).alias("marks"))
+    spans = repeated_windows(cut.select("h", "c", "n", "piece", "big"), length=length, owner_places=owner_places, **limits)
+    back = join_counted(cut.select("h", "c", "d", "e", "at").distinct(), spans, ["h", "c"], cut.count())
+    per_text = for_all_copies(back.groupBy("d", "e").agg(F.collect_list(F.struct("at", "spans")).alias("marks")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [_removed(*row, length) for row in zip(*(batch.column(i).to_pylist() for i in (1, 3, 2)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in done], pa.list_(pa.int64())), pa.array([hashlib.sha256(k).hexdigest() for _, k in done], pa.string())], names=["d", "removed", "kept_sha256"])
-
-    marked = some.select("d", "__id", "n_bytes", "text").join(per_text, "d", "left")
-    ends = marked.select(F.struct("__id", "n_bytes").alias("d"), "text", F.col("marks.at").alias("ats"), F.col("marks.spans").alias("flat")).mapInArrow(finish, T.StructType([T.StructField("d", T.StructType([T.StructField("__id", docs.schema[doc_id].dataType), T.StructField("n_bytes", T.LongType())])), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("kept_sha256", T.StringType())]))
-    ends = ends.select("d.*", "removed", "kept_sha256")
-    untouched = found.where("owners is null").select("__id", "n_bytes", F.array().cast("array<bigint>").alias("removed"), F.col("whole").alias("kept_sha256"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in done], pa.list_(pa.int64())), pa.array([hashlib.sha256(k).hexdigest() for _, k in done], pa.string())], names=["row", "removed", "kept_sha256"])
+
+    marked = some.select("d", "e", "s", "__id", "n_bytes", "text").join(per_text, ["d", "e", "s"], "left")
+    row = T.StructType([T.StructField("__id", docs.schema[doc_id].dataType), T.StructField("n_bytes", T.LongType())])
+    made = T.StructType([T.StructField("row", row), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("kept_sha256", T.StringType())])
+    ends = marked.select(F.struct("__id", "n_bytes").alias("row"), "text", F.col("marks.at").alias("ats"), F.col("marks.spans").alias("flat")).mapInArrow(finish, made).select("row.*", "removed", "kept_sha256")
+    untouched = found.where("places is null").select("__id", "n_bytes", "whole").unionByName(short)
+    untouched = untouched.select("__id", "n_bytes", F.array().cast("array<bigint>").alias("removed"), F.col("whole").alias("kept_sha256"))
     return untouched.unionByName(ends).withColumnRenamed("__id", doc_id)
 
 

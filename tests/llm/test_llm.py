@@ -305,13 +305,12 @@ def repeated_texts():
     ]
 
 
-@pytest.mark.parametrize("owner_pieces", [substrings.OWNER_PIECES, 1])
-def test_removed_bytes_are_those_of_all_windows(spark, owner_pieces, monkeypatch):
+@pytest.mark.parametrize(("owner_places", "levels"), [(substrings.OWNER_PLACES, substrings.LEVELS), (3, 2), (1, 1), (1, 0)])
+def test_removed_bytes_are_those_of_all_windows(spark, owner_places, levels):
     texts = repeated_texts()
-    monkeypatch.setattr(substrings.repeated_windows, "__kwdefaults__", {**substrings.repeated_windows.__kwdefaults__, "owner_pieces": owner_pieces, "block_bytes": 3000})
     docs = spark.createDataFrame(rows_of(texts) + [(None, texts[1])], SCHEMA)
     expected = brute.removed_windows([*texts, texts[1]])
-    got = {(-1 if r.doc_id is None else r.doc_id): r for r in substrings.dedup_substrings(docs).collect()}
+    got = {(-1 if r.doc_id is None else r.doc_id): r for r in substrings.dedup_substrings(docs, owner_places=owner_places, levels=levels, block_bytes=3000).collect()}
     for i, (n, gone, spans, sha) in enumerate(expected):
         r = got[i if i < len(texts) else -1]
         assert (r.n_bytes, sum(r.removed[1::2]) - sum(r.removed[::2]), len(r.removed) // 2, r.kept_sha256) == (n, gone, spans, sha), i
