@@ -241,18 +241,18 @@ def repeated_windows(cut: DataFrame, *, length: int = LENGTH, block_bytes: int =
     hot = cut.where("big")
     if hot.isEmpty():
         return spans
-    hot = once(hot).select("h", "c", "n", "piece")
+    spans, hot = written(spans), once(hot).select("h", "c", "n", "piece")
     if level == levels:  # every window on its own: equal ones meet by their hash and are counted before they are shuffled
         schema, windows = _windows(length)
         single = written(hot.mapInArrow(windows, schema))
-        again = single.groupBy("w").agg(F.sum("n").alias("times"), F.count("*").alias("rows")).where("times > 1").select("w", "rows")
+        again = written(single.groupBy("w").agg(F.sum("n").alias("times"), F.count("*").alias("rows")).where("times > 1").select("w", "rows"))
         there = join_counted(single, again, ["w"], single.count(), "rows").select("h", "c", "n", F.array("i", F.col("i") + 1).alias("spans"))
     else:
         part = written(hot.mapInArrow(_cut_again(length, level), _PARTS))
         total = part.count()
-        owners = part.groupBy("k").agg(F.count("*").alias("rows")).select("k", "rows", (F.col("rows") > owner_places).alias("big"))
+        owners = written(part.groupBy("k").agg(F.count("*").alias("rows")).select("k", "rows", (F.col("rows") > owner_places).alias("big")))
         again = join_counted(part, owners, ["k"], total, "rows").select(F.col("k").alias("h"), F.col("q").alias("c"), "n", "piece", "big")
-        found = repeated_windows(written(again), length=length, block_bytes=block_bytes, owner_places=owner_places, levels=levels, level=level + 1)
+        found = written(repeated_windows(written(again), length=length, block_bytes=block_bytes, owner_places=owner_places, levels=levels, level=level + 1))
         # n is at least the number of rows of a part, as each stands for one place or more
         found = found.select(F.col("h").alias("k"), F.col("c").alias("q"), F.col("n").alias("rows"), "spans")
         back = join_counted(part.select("k", "q", "h", "c", "n", "off"), found, ["k", "q"], total, "rows")
@@ -314,7 +314,7 @@ def dedup_substrings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     some = found.where("places is not null")
     cut = written(some.select("text", "d", "e", "places").mapInArrow(_cut(length), _PIECES))
     removed(spark, once)
-    spans = repeated_windows(cut.select("h", "c", "n", "piece", "big"), length=length, owner_places=owner_places, **limits)
+    spans = written(repeated_windows(cut.select("h", "c", "n", "piece", "big"), length=length, owner_places=owner_places, **limits))
     back = join_counted(cut.select("h", "c", "d", "e", "at").distinct(), spans, ["h", "c"], cut.count())
     per_text = for_all_copies(back.groupBy("d", "e").agg(F.collect_list(F.struct("at", "spans")).alias("marks")))
 
