@@ -6,6 +6,7 @@ Each row is worked on alone and in blocks of frames, so memory follows one text,
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -39,6 +40,14 @@ def to_wav(payload: bytes, rate: int = RATE) -> bytes:
 
 
 def from_wav(media: bytes) -> bytes:
+    """The samples of a mono file of 8-bit ones; ``ValueError`` for any other bytes."""
+    try:
+        return _samples(media)
+    except (wave.Error, EOFError, struct.error) as e:
+        raise ValueError(f"not a WAV file: {e}") from e
+
+
+def _samples(media: bytes) -> bytes:
     with wave.open(io.BytesIO(media), "rb") as f:
         if f.getsampwidth() != 1 or f.getnchannels() != 1:
             raise ValueError("not a mono file of 8-bit samples")
@@ -48,11 +57,12 @@ def from_wav(media: bytes) -> bytes:
 def _spectra(samples: np.ndarray) -> Iterator[np.ndarray]:
     """Power spectra of overlapping frames, the last one filled up with silence, in blocks of frames."""
     n = max(1, -(-(len(samples) - FRAME) // HOP) + 1)
-    x = np.zeros((n - 1) * HOP + FRAME)
-    x[: len(samples)] = samples.astype(float) - 128.0
-    frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     for a in range(0, n, BLOCK_FRAMES):
-        s = np.fft.rfft(frames[a : a + BLOCK_FRAMES] * _WINDOW, axis=1)
+        frames = min(BLOCK_FRAMES, n - a)
+        said = samples[a * HOP : (a + frames - 1) * HOP + FRAME]
+        x = np.zeros((frames - 1) * HOP + FRAME)
+        x[: len(said)] = said.astype(float) - 128.0
+        s = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * _WINDOW, axis=1)
         yield s.real**2 + s.imag**2
 
 
@@ -109,13 +119,19 @@ def encode_wav(docs: DataFrame, *, text: str = "text", carry_text: bool = True)
 def wav_features(rows: DataFrame, *, media: str = "media") -> DataFrame:
     """``rows`` with ``payload`` (the samples read back from the WAV column) and ``fingerprint`` (see :func:`fingerprint`).
 
-    A null or empty media value has a null payload and an empty fingerprint. Other columns are carried; those two of
-    the input are replaced.
+    A media value that is null, empty, or no mono WAV file of 8-bit samples has a null payload and an empty fingerprint.
+    Other columns are carried; those two of the input are replaced.
     """
 
+    def read(file: bytes) -> bytes | None:
+        try:
+            return from_wav(file) if file else None
+        except ValueError:
+            return None
+
     def make():
         def work(files: pa.Array) -> list[pa.Array]:
-            payloads = [from_wav(m) if m else None for m in _rows(files)]
+            payloads = [read(m) for m in _rows(files)]
             found = [fingerprint(np.frombuffer(p, np.uint8)) if p else np.zeros(0, np.int64) for p in payloads]
             return [pa.array(payloads, pa.binary()), lists(np.concatenate([*found, np.zeros(0, np.int64)]), np.array([len(x) for x in found], np.int64), pa.int64())]
 
