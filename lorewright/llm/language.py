@@ -15,6 +15,8 @@ from .common import chunks, is_held_out, map_text, read_table, small_batches
 
 #: n-grams of a profile, and those of a document that are compared with it.
 RANKS = 300
+#: Characters of a longer text that are counted at once.
+BLOCK_CHARS = 1 << 20
 _EDGE = 0x110000  # stands for the space between words; no code point
 _GRAMS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 _UNKNOWN = "und"
@@ -63,6 +65,36 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([g[u] for g, u in zip(grams, uses, strict=True)]), np.concatenate([n[u] for n, u in zip((one[x], two[y], three[z]), uses, strict=True)])
 
 
+def _long_counted(text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_counted(_codes(text))``, over blocks of ``size`` characters: memory follows the block and the n-grams."""
+    grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tail = np.array([_EDGE], np.int64)
+    said = False
+    for start in range(0, len(text), size):
+        part = text[start : start + size]
+        points = np.frombuffer(part.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        letter = _letters()[points]
+        said |= bool(letter.any())
+        points = np.concatenate((tail, np.where(letter, points, _EDGE), np.full(int(start + size >= len(text)), _EDGE)))
+        keep = np.ones(len(points), bool)
+        keep[1:] = (points[1:] != _EDGE) | (points[:-1] != _EDGE)
+        keep[: len(tail)] = True
+        codes, old = points[keep], len(tail)
+        # n-grams that end in this block; the codes of the block before are there for their beginnings
+        one, two, three = codes[old:], codes[max(0, old - 1) :], codes[max(0, old - 2) :]
+        triples = (three[:-2] | (three[1:-1] + 1) << 21 | (three[2:] + 1) << 42)[three[1:-1] != _EDGE]
+        new, m = np.unique(np.concatenate((one[one != _EDGE], two[:-1] | (two[1:] + 1) << 21, triples)), return_counts=True)
+        merged, at = np.unique(np.concatenate((grams, new)), return_inverse=True)
+        grams, n = merged, np.bincount(at, np.concatenate((n, m))).astype(np.int64)
+        tail = codes[-2:]
+    return (grams, n) if said else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def counted(text: str, size: int = BLOCK_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of a text and their counts; none without a letter."""
+    return _long_counted(text, size) if len(text) > size else _counted(_codes(text))
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts by language of each few megabytes of text, added up in the task while they are few."""
     held: dict[str, dict[int, int]] = {}
@@ -80,7 +112,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             into = held.setdefault(lang, {})
             sizes = np.cumsum([0, *map(len, texts)])
             for a, b in chunks(sizes):
-                grams, n = _counted(_codes("\n".join(texts[a:b])))
+                grams, n = counted("\n".join(texts[a:b]))
                 for g, k in zip(grams.tolist(), n.tolist(), strict=True):
                     into[g] = into.get(g, 0) + k
         if sum(map(len, held.values())) > 500_000:
@@ -112,10 +144,9 @@ class Profiles:
             self.place[np.searchsorted(self.grams, profiles[lang]), i] = np.arange(len(profiles[lang]))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        codes = _codes(text) if text else np.zeros(0, np.int64)
-        if not len(codes) or not self.langs:
+        grams, n = counted(text) if text and self.langs else (np.zeros(0, np.int64),) * 2
+        if not len(grams):
             return _UNKNOWN, 0.0
-        grams, n = _counted(codes)
         top = grams[np.lexsort((grams, -n))[: self.ranks]]
         at = np.searchsorted(self.grams, top)
         known = self.grams[np.minimum(at, len(self.grams) - 1)] == top
@@ -130,6 +161,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], *, text: str = "te
 
     Whole texts are ranked. A null text, one without a letter, or any text where no language was learned, is ``und``
     with score 0. Languages at the same distance: the first by name. Other columns are carried; those two are replaced.
+    Texts of any length are counted in blocks of characters.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # ``ranks`` numbers for each language
 
