@@ -1,15 +1,18 @@
 """Operator 9, token counts: delta-maintained rollups by source, language and tokenizer version.
 
 A batch of changes is turned into signed deltas (documents, tokens, bytes) and summed by key before anything is stored.
-Each batch has a folder of its own, named by its id and written in one Spark commit: a batch that is there is not
-applied again, and a retry of one that was cut off replaces it. Totals are the sums over all committed batches, so the
-order of batches does not matter, and a reader sees whole batches only.
+Each try of a batch has a folder of its own below the batch's id, written in one Spark commit; of a batch's finished tries
+the first by name counts alone. So a batch that is there is not applied again, one that was cut off leaves nothing, and two
+writers of one batch at a time do no harm. Totals are the sums over all committed batches, so the order of batches does not
+matter, and a reader sees whole batches only.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import join_counted
 from .common import chunks, map_text, read_table, scratch, text_bytes, written
 from .words import scan
 
@@ -34,52 +38,65 @@ _STORED = "source string, lang string, tokenizer string, docs long, tokens long,
 class Rollup:
     """Additive totals in a folder of any store that Spark writes to.
 
-    ``batches/<id>`` holds the summed deltas of a batch, ``bases/<number>`` the sums of the batches whose ids it lists. A
-    folder counts once Spark has put its ``_SUCCESS`` there; the newest base counts alone.
+    ``batches/<id>/<try>`` holds the summed deltas of a try of a batch, ``bases/<number>`` the sums of the batches whose ids
+    it lists. A folder counts once Spark has put its ``_SUCCESS`` there; the newest base counts alone. The driver lists the
+    folders since the last compaction, never the ids before it.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _committed(self, kind: str) -> list[str]:
-        """Names of the finished folders."""
-        there = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+    def _names(self, path: str) -> list[str]:
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = there.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(there):
-            return []
-        names = [x.getPath().getName() for x in fs.listStatus(there)]
-        return sorted(n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}/_SUCCESS")))
+        return sorted(x.getPath().getName() for x in fs.listStatus(there)) if fs.exists(there) else []
+
+    def _finished(self, path: str) -> list[str]:
+        """Names of the finished folders below a path."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [n for n in self._names(path) if fs.exists(hadoop(f"{path}/{n}/_SUCCESS"))]
+
+    def _batches(self) -> dict[str, str]:
+        """Folder of the try that counts of each committed batch whose folder is still there."""
+        tries = {n: self._finished(f"{self.path}/batches/{n}") for n in self._names(f"{self.path}/batches")}
+        return {n: f"{self.path}/batches/{n}/{done[0]}" for n, done in tries.items() if done}
 
     def _base(self) -> DataFrame | None:
-        found = self._committed("bases")
+        found = self._finished(f"{self.path}/bases")
         return self.spark.read.schema(f"{_STORED}, absorbed string").parquet(f"{self.path}/bases/{found[-1]}") if found else None
 
-    def _absorbed(self) -> set[str]:
+    def _absorbed(self, ids: list[str]) -> set[str]:
+        """Those of the ids that the newest base holds."""
         base = self._base()
-        return set() if base is None else {r.absorbed for r in base.where("absorbed is not null").select("absorbed").collect()}
+        return set() if base is None or not ids else {r.absorbed for r in base.where(F.col("absorbed").isin(ids)).select("absorbed").distinct().collect()}
 
     def committed(self, batch_id: str) -> bool:
-        return batch_id in self._committed("batches") or batch_id in self._absorbed()
+        return bool(self._finished(f"{self.path}/batches/{batch_id}")) or batch_id in self._absorbed([batch_id])
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
-        """Commit a batch; False if it is there already. See :func:`deltas` for the columns."""
+        """Commit a batch; False if it is there already. See :func:`deltas` for the columns.
+
+        A batch must say the same at every try.
+        """
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_-]*", batch_id):
             raise ValueError(f"a batch id has letters, digits, - and _ only: {batch_id!r}")
         if self.committed(batch_id):
             return False
         summed = deltas(changes).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-        summed.write.mode("overwrite").parquet(f"{self.path}/batches/{batch_id}")
+        summed.write.parquet(f"{self.path}/batches/{batch_id}/{uuid.uuid4().hex}")
         return True
 
     def _summed(self) -> tuple[DataFrame, set[str]]:
-        absorbed, base = self._absorbed(), self._base()
-        fresh = [n for n in self._committed("batches") if n not in absorbed]
+        """Sums of all committed batches, and the ids of those that the newest base does not hold."""
+        batches, base = self._batches(), self._base()
+        fresh = set(batches) - self._absorbed(list(batches))
         rows = self.spark.createDataFrame([], _STORED)
         if base is not None:
             rows = base.where("absorbed is null").drop("absorbed")
         if fresh:
-            rows = rows.unionByName(self.spark.read.schema(_STORED).parquet(*[f"{self.path}/batches/{n}" for n in fresh]))
-        return rows.groupBy(*KEYS).agg(*[F.sum(c).cast("bigint").alias(c) for c in SUMS]), absorbed | set(fresh)
+            rows = rows.unionByName(self.spark.read.schema(_STORED).parquet(*[batches[n] for n in sorted(fresh)]))
+        return rows.groupBy(*KEYS).agg(*[F.sum(c).cast("bigint").alias(c) for c in SUMS]), fresh
 
     def totals(self) -> DataFrame:
         """Sums over all committed batches; keys whose sums are all zero are left out. No batch: no rows."""
@@ -91,10 +108,13 @@ class Rollup:
         The folders of the batches may be deleted afterwards. Their ids stay known, so none is applied again. One
         compaction runs at a time.
         """
-        rows, ids = self._summed()
-        names = self.spark.createDataFrame([(n,) for n in sorted(ids)], "absorbed string")
-        number = len(self._committed("bases"))
-        rows.unionByName(names, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/bases/{number:012d}")
+        rows, fresh = self._summed()
+        names = self.spark.createDataFrame([(n,) for n in sorted(fresh)], "absorbed string")
+        base = self._base()
+        if base is not None:
+            names = names.unionByName(base.where("absorbed is not null").select("absorbed"))
+        last = self._names(f"{self.path}/bases")
+        rows.unionByName(names, allowMissingColumns=True).write.mode("overwrite").parquet(f"{self.path}/bases/{int(last[-1]) + 1 if last else 0:012d}")
 
 
 def deltas(changes: DataFrame) -> DataFrame:
@@ -130,6 +150,24 @@ def count_words(docs: DataFrame, *, text: str = "text", carry_text: bool = True)
     return map_text(docs, text, make, T.StructType([T.StructField("n_tokens", T.LongType())]), carry_text)
 
 
+#: Characters of a longer text that are encoded at once.
+PIECE_CHARS = 1 << 18
+#: A word ends before a space that another one follows, so the pattern never goes over this place.
+_BREAK = re.compile(r"[A-Za-z](?= [A-Za-z])")
+
+
+def _pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
+    """Parts of a text that are encoded as the whole is; about ``size`` characters where it has words."""
+    start = 0
+    while len(text) - start > size:
+        found = _BREAK.search(text, start + size)
+        if not found:
+            break
+        yield text[start : found.end()]
+        start = found.end()
+    yield text[start:]
+
+
 def count_bpe(docs: DataFrame, *, vocabulary: str = VOCABULARY, text: str = "text", carry_text: bool = True) -> DataFrame:
     """``docs`` with ``n_tokens`` of a byte-level BPE vocabulary, over whole texts; null: 0. The file must be on every executor."""
 
@@ -141,7 +179,7 @@ def count_bpe(docs: DataFrame, *, vocabulary: str = VOCABULARY, text: str = "tex
         encoding = tiktoken.Encoding("counting", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def work(texts: pa.Array) -> list[pa.Array]:
-            return [pa.array([len(encoding.encode_ordinary(t)) if t else 0 for t in texts.to_pylist()], pa.int64())]
+            return [pa.array([sum(len(encoding.encode_ordinary(part)) for part in _pieces(t)) if t else 0 for t in texts.to_pylist()], pa.int64())]
 
         return work
 
@@ -149,14 +187,19 @@ def count_bpe(docs: DataFrame, *, vocabulary: str = VOCABULARY, text: str = "tex
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three batches over all documents, two of them tried twice: loads under two tokenizers, then exact BPE counts for estimates."""
-    docs = read_table(spark, sf_dir, "documents").select("source", "lang", F.col("text").alias("t"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"))
-    counts = written(count_bpe(count_words(docs, text="t").withColumnRenamed("n_tokens", "words"), text="t", carry_text=False).select("source", "lang", "bytes", "words", "n_tokens"))
+    """Four batches over all documents, two of them tried twice: loads under two tokenizers, then, for the second one, exact
+    counts for the estimates, and deletes of the documents whose text another one with a smaller id has."""
+    said = F.coalesce("text", F.lit(""))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("text").alias("t"), F.octet_length(said).cast("bigint").alias("bytes"), F.xxhash64(said).alias("h"), F.xxhash64(F.lit("check"), said).alias("g"))
+    counts = written(count_bpe(count_words(docs, text="t").withColumnRenamed("n_tokens", "words"), text="t", carry_text=False).select("doc_id", "source", "lang", "bytes", "h", "g", "words", "n_tokens"))
+    firsts = counts.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = join_counted(counts, firsts, ["h", "g"], counts.count()).where("doc_id > first")
     estimate = F.ceil(F.col("bytes") / 4)
     rollup = Rollup(spark, scratch(spark))
     words = counts.select(F.lit("insert").alias("op"), "source", "lang", F.lit("words-1").alias("tokenizer"), F.col("words").alias("tokens"), "bytes")
     guess = counts.select(F.lit("insert").alias("op"), "source", "lang", F.lit("bpe50k-1").alias("tokenizer"), estimate.alias("tokens"), "bytes")
     exact = counts.select(F.lit("revise").alias("op"), "source", "lang", F.lit("bpe50k-1").alias("tokenizer"), F.col("n_tokens").alias("tokens"), "bytes", estimate.alias("old_tokens"), F.col("bytes").alias("old_bytes"))
-    for batch_id, changes in (("load-words", words), ("load-bpe", guess), ("load-bpe", guess), ("exact-bpe", exact), ("load-words", words)):
+    gone = copies.select(F.lit("delete").alias("op"), "source", "lang", F.lit("bpe50k-1").alias("tokenizer"), F.col("n_tokens").alias("tokens"), "bytes")
+    for batch_id, changes in (("load-words", words), ("load-bpe", guess), ("load-bpe", guess), ("exact-bpe", exact), ("drop-copies", gone), ("load-words", words)):
         rollup.apply(batch_id, changes)
     return rollup.totals()
