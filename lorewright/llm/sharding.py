@@ -5,19 +5,27 @@ Groups are sets of equal texts. They are summed up before anything is shuffled;
 bundles. So the packing sees at most ``2 * units`` items however large the corpus is, and packs them by
 decreasing size, each into the bin with the tightest remaining capacity, found in a balanced tree. Groups above a
 shard's share have shards of their own; for the others, the capacity is the smallest at which the bins left are enough.
+
+With a given capacity, :func:`pack_groups` packs every group on its own, at any number of groups, into as few shards as it
+can: cells of some ten thousand groups are packed side by side, and the bins that have room left are packed anew, together
+with those of other cells, as long as that saves bins.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import join_counted
 from .common import carried, read_table, written
 
 SHARDS, UNITS = 16, 8192
+#: Groups that one task packs, and the fill from which on a bin is not opened again.
+CELL, FULL = 50_000, 0.98
 #: Number of parts that the rows of a shard are counted in for gapless slots.
 SLOT_PARTS = 1024
 
@@ -175,15 +183,48 @@ def pack_into(items: list[tuple[int, str]], shards: int) -> dict[str, int]:
     return out | {name: shards - left + i for name, i in found.items()}
 
 
+def _packed(capacity: int, done: int):
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        bins = pack(list(zip(rows.bytes.tolist(), rows.unit.tolist(), strict=True)), capacity)
+        return pd.DataFrame({"unit": rows.unit, "bin": [f"{done}.{rows.cell.iloc[0]}.{bins[u]}" for u in rows.unit], "bytes": rows.bytes})
+
+    return fill
+
+
+def pack_groups(groups: DataFrame, capacity: int, *, cell: int = CELL, full: float = FULL) -> DataFrame:
+    """(__group, shard) for groups (__group, bytes): best-fit-decreasing into few shards of ``capacity`` bytes, numbered from 0.
+
+    No group is divided; one above the capacity has a shard of its own. All groups are packed as one where they are no
+    more than ``cell``; else in cells dealt out by hash, whose bins with room left are the items of the next round.
+    """
+    items, where, done = groups.select(F.col("__group").alias("unit"), "bytes"), None, 0
+    while True:
+        cells = max(1, -(-items.count() // cell))
+
+        dealt = items.withColumn("cell", F.pmod(F.xxhash64("unit", F.lit(done)), F.lit(cells)))
+        placed = written(dealt.groupBy("cell").applyInPandas(_packed(capacity, done), "unit string, bin string, bytes long"))
+        here = placed.select("unit", "bin")
+        # a unit of an earlier round is a bin; what was in it goes where the bin goes
+        where = here.select(F.col("unit").alias("__group"), "bin") if where is None else written(where.withColumnRenamed("bin", "unit").join(here, "unit", "left").select("__group", F.coalesce("bin", "unit").alias("bin")))
+        bins = placed.groupBy("bin").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("units"))
+        left = written(bins.where(F.col("bytes") < full * capacity).select(F.col("bin").alias("unit"), "bytes"))
+        before, after = (items.count(), left.count()) if cells > 1 else (0, 0)
+        if cells == 1 or after < 2 or after > 0.9 * before:
+            number = F.row_number().over(Window.orderBy("bin")) - 1  # as many rows as there are shards
+            return where.join(where.select("bin").distinct().select("bin", number.alias("shard")), "bin").select("__group", "shard")
+        items, done = left, done + 1
+
+
 def _group(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def shard(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, units: int = UNITS, carry_text: bool = True) -> DataFrame:
-    """``docs`` with ``size`` (UTF-8 bytes plus one), ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in its shard).
+def shard(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, units: int = UNITS, capacity: int | None = None, carry_text: bool = True) -> DataFrame:
+    """``docs`` with ``size`` (UTF-8 bytes plus one), ``shard`` (from 0) and ``slot`` (gapless from 0 in its shard).
 
-    The law is ``bytes``: shard sizes are as near to equal as whole groups allow; a group of equal texts is never
-    divided, so one that is larger than a shard's share makes its shard larger. Null texts are a group with the empty
+    The law is ``bytes``: the sizes of the ``shards`` shards are as near to equal as whole groups allow; a group of equal
+    texts is never divided, so one that is larger than a shard's share makes its shard larger. With a ``capacity`` there
+    are instead as few shards as best-fit-decreasing needs of that many bytes each. Null texts are a group with the empty
     ones. Slots follow hashed parts of the ids; rows that repeat an id get slots in any order. Other columns are
     carried; ``size``, ``shard`` and ``slot`` of the input are replaced. An empty table stays empty.
     """
@@ -191,28 +232,36 @@ def shard(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards
     said = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keep = [c for c in carried(docs, ["size", "shard", "slot"]) if carry_text or c != text]
     rows = docs.select(*[f"`{c}`" for c in keep], (F.octet_length(said) + 1).cast("bigint").alias("size"), _group(said).alias("__group"))
-    groups = written(rows.groupBy("__group").agg(F.sum("size").alias("bytes")))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    floor = max(1, -(-total // units))
-    bundle = F.concat(F.lit("~"), F.pmod(F.xxhash64("__group"), F.lit(units)).cast("string"))
-    summed = groups.withColumn("unit", F.when(F.col("bytes") >= floor, F.col("__group")).otherwise(bundle)).groupBy("unit").agg(F.sum("bytes").alias("bytes"))
-    placed = pack_into([(r.bytes, r.unit) for r in summed.collect()], shards)  # 2 * units rows at most
-    table = spark.createDataFrame(list(placed.items()), T.StructType([T.StructField("unit", T.StringType()), T.StructField("shard", T.IntegerType())]))
-    own = F.broadcast(table.where("unit not like '~%'").select(F.col("unit").alias("__group"), F.col("shard").alias("__own")))
-    shared = F.broadcast(table.where("unit like '~%'").select(F.col("unit").alias("__unit"), F.col("shard").alias("__shared")))
-    out = rows.join(own, "__group", "left").withColumn("__unit", bundle).join(shared, "__unit", "left")
-    out = out.withColumn("shard", F.coalesce("__own", "__shared"))
-    out = out.withColumn("__part", F.pmod(F.xxhash64(F.col(doc_id).cast("string"), "__group"), F.lit(SLOT_PARTS)).cast("int"))
+    if not carry_text:
+        rows = written(rows)  # narrow; the texts are read once
+    groups = written(rows.groupBy("__group").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
+    parts = SLOT_PARTS
+    if capacity is not None:
+        sizes = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        placed = written(pack_groups(groups, capacity).join(groups.select("__group", "n"), "__group"))
+        count = placed.agg(F.coalesce(F.max("shard") + 1, F.lit(1))).first()[0]
+        parts = max(1, min(parts, (1 << 20) // int(count)))
+        out = join_counted(rows, placed, ["__group"], sizes.rows)
+    else:
+        total = groups.agg(F.sum("bytes")).first()[0] or 0
+        floor = max(1, -(-total // units))
+        bundle = F.concat(F.lit("~"), F.pmod(F.xxhash64("__group"), F.lit(units)).cast("string"))
+        summed = groups.withColumn("unit", F.when(F.col("bytes") >= floor, F.col("__group")).otherwise(bundle)).groupBy("unit").agg(F.sum("bytes").alias("bytes"))
+        placed = pack_into([(r.bytes, r.unit) for r in summed.collect()], shards)  # 2 * units rows at most
+        table = spark.createDataFrame(list(placed.items()), T.StructType([T.StructField("unit", T.StringType()), T.StructField("shard", T.IntegerType())]))
+        own = F.broadcast(table.where("unit not like '~%'").select(F.col("unit").alias("__group"), F.col("shard").alias("__own")))
+        shared = F.broadcast(table.where("unit like '~%'").select(F.col("unit").alias("__unit"), F.col("shard").alias("__shared")))
+        out = rows.join(own, "__group", "left").withColumn("__unit", bundle).join(shared, "__unit", "left")
+        out = out.withColumn("shard", F.coalesce("__own", "__shared"))
+    out = out.withColumn("__part", F.pmod(F.xxhash64(F.col(doc_id).cast("string"), "__group"), F.lit(parts)).cast("int"))
     return _slots(out, ["shard", "__part"], [F.col(doc_id), F.col("__group")]).select(*[f"`{c}`" for c in keep], "size", "shard", "slot")
 
 
 def _slots(rows: DataFrame, part: list[str], order: list[Column]) -> DataFrame:
     """Gapless numbers in each value of the first key: a number within the part after the rows of the parts before."""
-    from pyspark.sql import Window
-
     counts = rows.groupBy(*part).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(part[0]).orderBy(part[1]).rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.broadcast(counts.select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))  # shards * SLOT_PARTS rows at most
+    starts = F.broadcast(counts.select(*part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))  # 2**20 rows at most
     numbered = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*part).orderBy(*order)))
     return numbered.join(starts, part).withColumn("slot", (F.col("__before") + F.col("__nth") - 1).cast("bigint"))
 
