@@ -29,7 +29,7 @@ PER_DOMAIN = 800
 FLATTEN = 0.7
 STEPS, TOLERANCE = 200, 1e-6
 #: A fit ends where its residual has fallen by less than this share over ``PATIENCE`` steps: no rates come nearer.
-PROGRESS, PATIENCE = 1e-4, 5
+PROGRESS, PATIENCE = 2e-3, 5
 #: A domain whose total misses its target by more than this share is reported.
 MISS = 0.01
 #: Domains at most: each has a weight vector of a megabyte.
@@ -117,7 +117,8 @@ def fit_rates(table: DataFrame, targets: np.ndarray, *, steps: int = STEPS, tole
     several lengths in one pass and takes the best: shares of the step in the metric of the domains' Gram matrix over
     the documents whose rate is not zero (exact while no further rate meets zero), and the plain gradient with the inverse
     of the first matrix's largest eigenvalue as its length, which never makes things worse. The fit ends within
-    ``tolerance``, or where it comes no nearer: then nonnegative rates that meet the targets do not exist.
+    ``tolerance``, or where a step gains little: then nonnegative rates that meet the targets do not exist, and the very
+    best ones would put all weight on the few documents that are purest.
     """
     table = table.select("n_tokens", "posteriors")
     k = len(targets)
