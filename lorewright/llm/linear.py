@@ -60,11 +60,11 @@ def train_ftrl(slots: list[np.ndarray], values: list[np.ndarray], labels: np.nda
 SCALE = 10.0
 
 
-_COUNTED = T.StructType([T.StructField("label", T.StringType()), T.StructField("rank", T.LongType()), T.StructField("said", T.LongType()), T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.FloatType()))])
+_COUNTED = T.StructType([T.StructField("label", T.StringType()), T.StructField("rank", T.LongType()), T.StructField("said", T.LongType()), T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("times", T.ArrayType(T.IntegerType())), T.StructField("n", T.LongType())])
 
 
 def _features_of(bits: int):
-    """Rows (label, rank, hash of the text, text) as distinct slots and values: bounded by the feature space, however long the text."""
+    """Rows (label, rank, hash of the text, text) as distinct slots, their counts and the number of n-grams: bounded by the feature space, however long the text."""
 
     def run(batches):
         for batch in batches:
@@ -74,9 +74,9 @@ def _features_of(bits: int):
                 key, times = np.unique(row * (1 << bits) + slot, return_counts=True)
                 per = np.bincount(key >> bits, minlength=b - a)
                 slots = lists((key & ((1 << bits) - 1)).astype(np.int32), per, pa.int32())
-                values = lists((times * (SCALE / np.maximum(1, count))[key >> bits]).astype(np.float32), per, pa.float32())
+                times = lists(times.astype(np.int32), per, pa.int32())
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), slots, values], names=_COUNTED.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), slots, times, pa.array(count.astype(np.int64))], names=_COUNTED.fieldNames())
 
     return run
 
@@ -100,14 +100,14 @@ def fit(labelled: DataFrame, *, per_class: int, bits: int = BITS, epochs: int =
         keep = keep | ((F.col("label") == label) & (F.col("rank") <= int(-(2**63) + min(part * 2**64, 2**64 - 1))))
     small_batches(labelled.sparkSession)
     hashed = labelled.where(keep).select("label", "rank", F.xxhash64("text").alias("said"), "text").mapInArrow(_features_of(bits), _COUNTED)
-    few = hashed.groupBy("label", "rank").agg(F.min_by(F.struct("slots", "values"), "said").alias("x")).select("label", "rank", "x.slots", "x.values")  # copies of a row count once
+    few = hashed.groupBy("label", "rank").agg(F.min_by(F.struct("slots", "times", "n"), "said").alias("x")).select("label", "rank", "x.slots", "x.times", "x.n")  # copies of a row count once
 
     def train(batches):
         rows: list[tuple] = []
         for batch in batches:
-            slots, values = batch.column(2), batch.column(3)
-            for i, (label, rank) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                rows.append((rank, label, np.append(slots[i].values.to_numpy(), 1 << bits).astype(np.int64), np.append(values[i].values.to_numpy(), 1.0).astype(float)))
+            slots, times = batch.column(2), batch.column(3)
+            for i, (label, rank, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 4)), strict=True)):
+                rows.append((rank, label, np.append(slots[i].values.to_numpy(), 1 << bits).astype(np.int64), np.append(times[i].values.to_numpy() * (SCALE / max(1, n)), 1.0)))
         rows.sort(key=lambda r: r[:2])
         taken: dict[str, int] = {}
         first = []
