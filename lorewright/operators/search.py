@@ -1,12 +1,12 @@
 """Ranked retrieval (RET-*): word, vector and concept legs, fused by reciprocal rank, boosted, filtered, paged.
 
-A query is one string; its terms are known before the plan is built. So the word leg needs no posting shuffle: one pass
-gives the corpus statistics (one row), a second one the scores, both with the terms as literals. A posting table for many
-queries at once is :func:`postings`.
+A query is one string; its terms are known before the plan is built. The word leg reads their postings alone from a kept
+index (:mod:`.index`) where there is one; without it the notes are cut into words, and only the terms' hits go on.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from .index import WeightIndex, WordIndex, folded
 
 K1, B = 1.2, 0.75
 
@@ -85,67 +86,62 @@ def query_pieces(query: str, longest: int = 48, most: int = 4000) -> list[str]:
     return [p for p in found if len(p) >= 3][:most]
 
 
-def postings(notes: DataFrame) -> DataFrame:
-    """RET-01: (term, id, tf, length), the inverted index as a table; bucket it by term when it is kept."""
-    tokens = notes.select("id", X.index_tokens(F.col("title"), F.col("content"), F.col("tags")).alias("tokens"))
-    return tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-
-
 def _literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def _counts(tokens: Column, terms: list[str]) -> Column:
-    def count(word: str) -> Column:
-        return F.size(F.filter(tokens, lambda t: t == word))
-
-    return F.array(*[count(word) for word in terms])
-
-
-def _counted(notes: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, deleted_at, length, tf): tokens of each note and how often each term is among them."""
-    folded = [t.translate(str.maketrans(X.ACCENTED, X.PLAIN)) for t in terms]
-    tokens = notes.select("id", "deleted_at", X.index_tokens(F.col("title"), F.col("content"), F.col("tags")).alias("tokens"))
-    return tokens.select("id", "deleted_at", F.size("tokens").alias("length"), _counts(F.col("tokens"), folded).alias("tf"))
-
+def corpus_statistics(index: WordIndex, terms: list[str]) -> dict[str, float]:
+    """For the distinct terms: number and mean length of the notes, deleted ones too, in how many each term is, and of the
+    live notes those with all terms and those with any. A few numbers, fetched."""
+    n, mean = index.sizes
+    terms = list(dict.fromkeys(folded(t) for t in terms))
+    found = index.lookup(terms)
+    by_note = found.groupBy("id", "live").agg(F.collect_set("term").alias("terms"))  # as many as the query has, at most
+    alive = by_note.where("live")
+    counts = by_note.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    both = alive.agg(F.lit(None).cast("string").alias("term"), F.count("*").alias("n")).unionAll(alive.where(F.size("terms") == len(terms)).agg(F.lit("").alias("term"), F.count("*").alias("n")))
+    got = {r.term: float(r.n) for r in counts.unionAll(both).collect()}
+    return {"n_docs": n, "avg_length": mean, "any": got.get(None, 0.0), "full": got.get("", 0.0)} | {f"df:{t}": got.get(t, 0.0) for t in terms}
 
-def corpus_statistics(notes: DataFrame, terms: list[str]) -> dict[str, float]:
-    """One row over all notes, deleted ones too: their number and mean length, in how many each term is, and of the live
-    notes those with all terms and those with any. It is fetched, so that the scores need no second look at it."""
-    rows = _counted(notes, terms)
-    every, some = F.col("deleted_at").isNull(), F.lit(False)
-    for i in range(len(terms)):
-        every, some = every & (F.col("tf")[i] > 0), some | (F.col("tf")[i] > 0)
-    got = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"), F.count_if(every).alias("full"), F.count_if(some & F.col("deleted_at").isNull()).alias("any"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    return {k: float(v or 0) for k, v in got.asDict().items()}
 
-
-def bm25(notes: DataFrame, terms: list[str], stats: dict[str, float] | None = None) -> DataFrame:
+def bm25(notes: DataFrame, terms: list[str], stats: dict[str, float] | None = None, index: WordIndex | None = None) -> DataFrame:
     """RET-02: (id, bm25, matched) of the notes that have a term. Statistics include deleted notes, results do not."""
     terms = list(dict.fromkeys(terms))
     if not terms:
         return notes.limit(0).select("id", F.lit(0.0).alias("bm25"), F.lit(0).alias("matched"))
-    stats = stats or corpus_statistics(notes, terms)
-    n, mean = F.lit(stats["n_docs"]), F.lit(stats["avg_length"] or 1.0)
-    score, matched = F.lit(0.0), F.lit(0)
-    for i in range(len(terms)):
-        tf, df = F.col("tf")[i], F.lit(stats[f"df{i}"])
-        idf = F.log((n - df + 0.5) / (df + 0.5) + 1)
-        score = score + F.when(tf > 0, idf * ((tf * (K1 + 1)) / (tf + K1 * (1 - B + B * (F.col("length") / mean))))).otherwise(0.0)
-        matched = matched + (tf > 0).cast("int")
-    return _counted(notes, terms).where("deleted_at IS NULL").select("id", score.alias("bm25"), matched.alias("matched")).where("matched > 0")
-
-
-def bm25_and_or(notes: DataFrame, terms: list[str], limit: int, stats: dict[str, float] | None = None) -> DataFrame:
+    index = index or WordIndex(notes)
+    stats = stats or corpus_statistics(index, terms)
+    n, mean = stats["n_docs"], stats["avg_length"]
+    df = {t: stats[f"df:{t}"] for t in map(folded, terms)}
+    idf = F.lit(0.0)
+    for term, times in df.items():
+        idf = F.when(F.col("term") == term, F.log(F.lit((n - times + 0.5) / (times + 0.5) + 1))).otherwise(idf)
+    gain = idf * ((F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * (F.col("length") / F.lit(mean)))))
+    return index.lookup(terms).where("live").groupBy("id").agg(F.sum(gain).alias("bm25"), F.count("*").cast("int").alias("matched"))
+
+
+def bm25_and_or(notes: DataFrame, terms: list[str], limit: int, stats: dict[str, float] | None = None, index: WordIndex | None = None) -> DataFrame:
     """RET-03: if enough notes have all the terms, only those; else all, the best ``limit`` by score, then id."""
     terms = list(dict.fromkeys(terms))
-    stats = stats or (corpus_statistics(notes, terms) if terms else {"full": 0.0})
-    scored = bm25(notes, terms, stats)
+    index = index or WordIndex(notes)
+    stats = stats or (corpus_statistics(index, terms) if terms else {"full": 0.0})
+    scored = bm25(notes, terms, stats, index)
     if stats["full"] >= limit:
-        scored = scored.where(F.col("matched") == len(terms))
+        scored = scored.where(F.col("matched") == len(set(map(folded, terms))))
     return scored.orderBy(F.desc("bm25"), "id").limit(limit)
 
 
+def bm25_of_queries(index: WordIndex, queries: DataFrame) -> DataFrame:
+    """RET-02 for a table of queries (query_id, terms): (query_id, id, bm25), by one join of their terms with the postings."""
+    n, mean = index.sizes
+    every = index.all()
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", X.fold_accents))).alias("term"))
+    df = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.select("term", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+    gain = F.col("idf") * ((F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * (F.col("length") / F.lit(mean)))))
+    return every.where("live").join(asked.join(idf, "term"), "term").groupBy("query_id", "id").agg(F.sum(gain).alias("bm25"))
+
+
 def vector_leg(chunks: DataFrame, query_vector: list[float], model: str, keep: DataFrame | None = None) -> DataFrame:
     """RET-04: (id, similarity) of each note's best chunk, inside the band below the best note. ``keep``: ids that may appear."""
     near = N.cosine(F.col("embedding"), F.array(*[F.lit(float(v)) for v in query_vector]))
@@ -162,9 +158,16 @@ def entity_leg(mentions: DataFrame, query: str) -> DataFrame:
     return mentions.where(F.col("entity").isin(query_pieces(query))).select(F.col("memory_id").alias("id")).distinct()
 
 
-def ranked(rows: DataFrame, leg: str, *order: Column) -> DataFrame:
-    """WIN-01: 1-based ranks of a leg whose candidates are few (it is cut by depth, band or concept before)."""
-    return rows.select("id", F.lit(leg).alias("leg"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
+def ranked(rows: DataFrame, leg: str, *order: Column, part: Column | None = None) -> DataFrame:
+    """WIN-01: 1-based ranks of a leg. A leg without a bound gives a ``part`` that rises with the order: rows are numbered
+    in their part, after those of the parts before, so no task sees the whole leg."""
+    if part is None:
+        return rows.select("id", F.lit(leg).alias("leg"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    rows = rows.withColumn("__part", part)
+    nth = rows.select("id", "__part", F.row_number().over(Window.partitionBy("__part").orderBy(*order)).alias("nth"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each part
+    starts = rows.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return nth.join(starts, "__part").select("id", F.lit(leg).alias("leg"), (F.col("start") + F.col("nth")).cast("int").alias("rank"))
 
 
 def fuse(legs: DataFrame, vector_weight: Column | float = 1.0) -> DataFrame:
@@ -219,7 +222,7 @@ def search_filter(s: Search) -> Column:
     return keep
 
 
-def search(notes: DataFrame, s: Search, *, chunks: DataFrame | None = None, query_vector: list[float] | None = None, model: str = "m0", mentions: DataFrame | None = None, policy: Column | None = None) -> DataFrame:
+def search(notes: DataFrame, s: Search, *, chunks: DataFrame | None = None, query_vector: list[float] | None = None, model: str = "m0", mentions: DataFrame | None = None, policy: Column | None = None, index: WordIndex | None = None) -> DataFrame:
     """RET-07, RET-09 to RET-11, SRT-01 to SRT-03: the whole search.
 
     Returns one page: id, score, the parts of the score, ``matched_terms``, ``expired``, ``superseded`` and ``total``, the
@@ -232,18 +235,19 @@ def search(notes: DataFrame, s: Search, *, chunks: DataFrame | None = None, quer
         legs, spoke, weight = [], False, 1.0
         if "bm25" in s.legs:
             terms = list(dict.fromkeys(content_terms(query)))
-            stats = corpus_statistics(notes, terms) if terms else {"full": 0.0, "any": 0.0}
+            index = index or WordIndex(notes)
+            stats = corpus_statistics(index, terms) if terms else {"full": 0.0, "any": 0.0}
             spoke = stats["any"] > 0
-            depth = max(500, 2 * (s.offset + s.limit))
-            legs.append(ranked(bm25_and_or(notes, terms, depth, stats), "bm25", F.desc("bm25"), F.col("id")))
+            depth = min(10_000, max(500, 2 * (s.offset + s.limit)))
+            legs.append(ranked(bm25_and_or(notes, terms, depth, stats, index), "bm25", F.desc("bm25"), F.col("id")))
         if "entity" in s.legs and mentions is not None:
             named = entity_leg(mentions, query).join(live.select("id"), "id", "left_semi")
             spoke = spoke or not named.isEmpty()
-            legs.append(ranked(named, "entity", F.col("id")))
+            legs.append(ranked(named, "entity", F.col("id"), part=F.substring("id", 1, 4)))
         vectors = None
         if "vector" in s.legs and chunks is not None and query_vector is not None:
             vectors = vector_leg(chunks, query_vector, model, live)
-            legs.append(ranked(vectors, "vector", F.desc("similarity"), F.col("id")))
+            legs.append(ranked(vectors, "vector", F.desc("similarity"), F.col("id"), part=F.floor(-1000 * F.col("similarity"))))
             if spoke:  # a weak vector leg has no vote beside another leg
                 top = vectors.agg(F.max("top").alias("top")).first().top
                 weight = 1.0 if top is not None and top >= N.VECTOR_FLOOR else 0.0
@@ -274,35 +278,39 @@ def search(notes: DataFrame, s: Search, *, chunks: DataFrame | None = None, quer
     return page.crossJoin(F.broadcast(total)).withColumn("matched_terms", terms).drop("content")
 
 
-def hybrid(notes: DataFrame, query: str, top_k: int = 5, cosine_weight: float = 0.5, ngram: int = 1, dense: DataFrame | None = None, dense_weight: float = 0.5) -> DataFrame:
-    """RET-12 to RET-14: TF-IDF cosine and min-max BM25, title tokens counted twice; ``dense`` (id, cosine) adds a mapped vector score."""
+def hybrid(notes: DataFrame, query: str, top_k: int = 5, cosine_weight: float = 0.5, ngram: int = 1, dense: DataFrame | None = None, dense_weight: float = 0.5, index: WeightIndex | None = None) -> DataFrame:
+    """RET-12 to RET-14: TF-IDF cosine and min-max BM25, title tokens counted twice; ``dense`` (id, cosine) adds a mapped vector score.
+
+    A kept ``index`` (of the same notes and ``ngram``) has the norms of all notes; a query then reads the postings of its
+    own terms and one row of each note that has one.
+    """
     terms = _driver_tokens(query, ngram)
     if not terms:
         return notes.orderBy(F.desc("updated_at"), "id").limit(top_k).select("id", F.lit(1.0).alias("score"), F.lit(1.0).alias("cosine"), F.lit(1.0).alias("bm25"))
+    index = index or WeightIndex.of(notes, ngram)
+    n, mean = index.sizes
     distinct = list(dict.fromkeys(terms))
-    text = F.concat_ws(" ", "title", "title", "content", F.array_join("tags", " "))
-    # everything below comes from this one count, so the texts are cut into words once and the exchange is used again
-    tf = notes.select("id", F.explode(X.client_tokens(text, ngram)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    length = notes.select("id", "updated_at").join(tf.groupBy("id").agg(F.sum("tf").alias("length")), "id", "left").fillna(0, ["length"])
-    sums = length.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(sums)).select("term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf"), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf_bm25"), "avg_length")
-    # terms of the query with their counts; those that no note has weigh as if their frequency were zero
-    asked = notes.sparkSession.createDataFrame([(t, terms.count(t), terms.count(t) / len(terms)) for t in distinct], "term string, times int, q_tf double")
-    asked = F.broadcast(asked.join(weights.select("term", "idf"), "term", "left").crossJoin(F.broadcast(sums)).select("term", "times", (F.col("q_tf") * F.coalesce("idf", F.log((F.col("n_docs") + 1) / 1) + 1)).alias("q")))
-    q_norm = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    rows = tf.join(weights, "term").join(length, "id").join(asked, "term", "left")
-    w = F.col("tf") / F.col("length") * F.col("idf")
-    gain = F.col("idf_bm25") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * (F.col("length") / F.col("avg_length")))) * F.col("times")
-    scored = rows.groupBy("id").agg(F.sum(w * w).alias("ww"), F.sum(w * F.col("q")).alias("wq"), F.sum(gain).alias("raw"))
-    scored = length.select("id", "updated_at").join(scored, "id", "left").crossJoin(F.broadcast(q_norm))
-    scored = scored.select("id", "updated_at", F.coalesce(F.col("wq") / (F.sqrt("ww") * F.col("q_norm")), F.lit(0.0)).alias("cosine"), F.coalesce("raw", F.lit(0.0)).alias("raw"))
-    ends = scored.agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
+    found = index.lookup(distinct)
+    df = {r.term: r.n for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}
+    # terms that no note has weigh as if their frequency were zero
+    asked = [(t, math.log((n + 1) / (df.get(t, 0) + 1)) + 1, math.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5) + 1), terms.count(t)) for t in distinct]
+    q_norm = math.sqrt(sum((times / len(terms) * idf) ** 2 for _, idf, _, times in asked))
+    idf, idf_bm25, times = F.lit(0.0), F.lit(0.0), F.lit(0)
+    for t, a, b, k in asked:
+        idf, idf_bm25, times = (F.when(F.col("term") == t, v).otherwise(c) for c, v in ((idf, a), (idf_bm25, b), (times, k)))
+    dot = F.col("tf") / F.col("length") * idf * (times / len(terms) * idf)
+    gain = idf_bm25 * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * (F.col("length") / F.lit(mean or 1.0)))) * times
+    hits = found.groupBy("id").agg(F.sum(dot).alias("wq"), F.sum(gain).alias("raw"))
+    if dense is not None:
+        hits = hits.join(dense.select("id", F.col("cosine").alias("dense")), "id", "full_outer")
+    raw = F.coalesce("raw", F.lit(0.0))
+    scored = hits.join(index.docs, "id").select("id", "updated_at", F.coalesce(F.col("wq") / (F.sqrt("ww") * q_norm), F.lit(0.0)).alias("cosine"), raw.alias("raw"), *(["dense"] if dense is not None else []))
+    # the notes without a term, if there are any, have the lowest score: zero
+    ends = scored.agg(F.when(F.count_if(F.col("raw") > 0) < n, 0.0).otherwise(F.min("raw")).alias("low"), F.coalesce(F.max("raw"), F.lit(0.0)).alias("high"))
     spread = F.col("high") - F.col("low")
     scored = scored.crossJoin(F.broadcast(ends)).withColumn("bm25", F.when(spread > 1e-9, (F.col("raw") - F.col("low")) / spread).otherwise((F.col("raw") > 0).cast("double")))
     score = cosine_weight * F.col("cosine") + (1 - cosine_weight) * F.col("bm25")
     if dense is not None:
-        scored = scored.join(dense.select("id", F.col("cosine").alias("dense")), "id", "left")
         score = F.when(F.col("dense").isNull(), score).otherwise((1 - dense_weight) * score + dense_weight * (F.col("dense") + 1) / 2)
     return scored.withColumn("score", score).where("score > 1e-9").orderBy(F.desc("score"), F.desc("updated_at"), "id").limit(top_k).select("id", "score", "cosine", "bm25")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import reports as R
 from ..operators import search as S
 from ..operators import secure as Q
-from ..sources.tables import ACTIVITY_SQL, CHUNKS_SQL, CLAIMS_SQL, DAY_MS, MENTIONS_SQL, NOTES_SQL, NOW_MS, active, activity, chunks, claims, mentions, notes, table
+from ..sources.tables import ACTIVITY_SQL, CHUNKS_SQL, CLAIMS_SQL, DAY_MS, MENTIONS_SQL, NOTES_SQL, NOW_MS, active, activity, chunks, claims, mentions, notes, table, word_index
 from ..store import scratch
 from ..streaming import events as E
 
@@ -102,7 +102,7 @@ def agg_distinct_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = notes(spark, sf_dir)
-    hits = S.search(n, S.Search(query="apache license", now_ms=NOW_MS, limit=50, legs=frozenset({"bm25"}))).select("id", "score")
+    hits = S.search(n, S.Search(query="apache license", now_ms=NOW_MS, limit=50, legs=frozenset({"bm25"})), index=word_index(spark, sf_dir)).select("id", "score")
     return R.dossier(n, hits, "src7", mentions(spark, sf_dir))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import search as S
-from ..sources.tables import CHUNKS_SQL, MENTIONS_SQL, NOTES_SQL, NOW_MS, active, chunks, mentions, notes, table
+from ..sources.tables import CHUNKS_SQL, MENTIONS_SQL, NOTES_SQL, NOW_MS, active, chunks, mentions, notes, table, weight_index, word_index
 
 QUERY = "red widget apache license ertion"
 ALL = frozenset({"bm25", "vector", "entity"})
@@ -48,11 +48,11 @@ bm AS (
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(S.bm25(notes(spark, sf_dir), TERMS).orderBy(F.desc(F.round("bm25", 9)), "id").limit(20), "bm25")
+    return _rounded(S.bm25(notes(spark, sf_dir), TERMS, index=word_index(spark, sf_dir)).orderBy(F.desc(F.round("bm25", 9)), "id").limit(20), "bm25")
 
 
 def and_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(S.bm25_and_or(notes(spark, sf_dir), ["apache", "license"], 5), "bm25")
+    return _rounded(S.bm25_and_or(notes(spark, sf_dir), ["apache", "license"], 5, index=word_index(spark, sf_dir)), "bm25")
 
 
 def vector_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def entity_leg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search(spark: SparkSession, sf_dir: str, **asked) -> DataFrame:
     s = S.Search(query=asked.pop("query", QUERY), now_ms=NOW_MS, **asked)
-    found = S.search(notes(spark, sf_dir), s, chunks=chunks(spark, sf_dir), query_vector=query_vector(spark, sf_dir), mentions=mentions(spark, sf_dir))
+    found = S.search(notes(spark, sf_dir), s, chunks=chunks(spark, sf_dir), query_vector=query_vector(spark, sf_dir), mentions=mentions(spark, sf_dir), index=word_index(spark, sf_dir))
     return _rounded(found, "score", "rerank").withColumn("similarity", F.round("similarity", 6)).withColumn("matched_terms", F.array_join("matched_terms", " "))
 
 
@@ -155,7 +155,7 @@ FROM hit ORDER BY hit.score DESC, hit.updated_at DESC, id LIMIT {limit} OFFSET {
 
 
 def tfidf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(S.hybrid(active(notes(spark, sf_dir)), QUERY, top_k=20), "score", "cosine", "bm25")
+    return _rounded(S.hybrid(active(notes(spark, sf_dir)), QUERY, top_k=20, index=weight_index(spark, sf_dir)), "score", "cosine", "bm25")
 
 
 def naive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def dense_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET-13."""
     live = active(notes(spark, sf_dir))
     dense = S.vector_leg(chunks(spark, sf_dir), query_vector(spark, sf_dir), "m0", live).select("id", F.col("similarity").alias("cosine"))
-    return _rounded(S.hybrid(live, QUERY, top_k=20, dense=dense), "score", "cosine", "bm25")
+    return _rounded(S.hybrid(live, QUERY, top_k=20, dense=dense, index=weight_index(spark, sf_dir)), "score", "cosine", "bm25")
 
 
 def rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,21 +174,27 @@ def rerank_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-24 over each set of legs, for queries that are titles of notes: the note is what should be found."""
-    rows = notes(spark, sf_dir)
-    asked = [(f"q{i}", r.id, r.title) for i, r in enumerate(active(rows).where("length(title) > 20").orderBy(F.md5("id"), "id").select("id", "title").limit(5).collect())]
-    relevant = spark.createDataFrame([(q, i, "lexical") for q, i, _ in asked], "query_id string, id string, category string")
+    """AGG-24 over two sets of legs. Queries are the titles of the live notes whose number 50 divides; the note itself is
+    what should be found, and those that carry a concept of that name come as the second leg."""
+    from pyspark.sql import Window
+
+    rows = active(notes(spark, sf_dir)).select("id", "title")
+    number = F.substring("id", 2, 20).cast("long")
+    asked = rows.where((number % 50 == 0) & (F.length("title") > 20)).select(F.col("id").alias("query_id"), X.content_terms(F.col("title")).alias("terms"))
+    relevant = asked.select("query_id", F.col("query_id").alias("id"), F.lit("lexical").alias("category"))
+    found = S.bm25_of_queries(word_index(spark, sf_dir), asked)
+    w = Window.partitionBy("query_id")
+    words = found.select("query_id", "id", F.row_number().over(w.orderBy(F.desc(F.round("bm25", 9)), "id")).alias("rank")).where("rank <= 500")
+    live = rows.select("id")
+    named = asked.select("query_id", F.explode("terms").alias("word")).join(mentions(spark, sf_dir).select(F.col("memory_id").alias("id"), F.explode(F.array_distinct(F.split("entity", " "))).alias("word")), "word")
+    named = named.join(live, "id", "left_semi").select("query_id", "id").distinct()
+    concepts = named.select("query_id", "id", F.row_number().over(w.orderBy("id")).alias("rank"))
+    both = words.unionAll(concepts).groupBy("query_id", "id").agg(F.sum(1 / (60 + F.col("rank"))).alias("rrf"))
+    fused = both.select("query_id", "id", F.row_number().over(w.orderBy(F.desc(F.round("rrf", 9)), "id")).alias("rank"))
     out = None
-    for name, legs in (("words", frozenset({"bm25"})), ("words+concepts", frozenset({"bm25", "entity"}))):
-        hits = None
-        for q, _, title in asked:
-            page = S.search(rows, S.Search(query=title, now_ms=NOW_MS, legs=legs), mentions=mentions(spark, sf_dir)).select("id", "score", "updated_at")
-            from pyspark.sql import Window
-
-            one = page.select(F.lit(q).alias("query_id"), "id", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("updated_at"), "id")).alias("rank"))
-            hits = one if hits is None else hits.unionAll(one)
-        found = S.metrics(hits, relevant).select(F.lit(name).alias("legs"), "*")
-        out = found if out is None else out.unionAll(found)
+    for name, hits in (("words", words), ("words+concepts", fused)):
+        measured = S.metrics(hits, relevant).select(F.lit(name).alias("legs"), "category", *[F.round(c, 9).alias(c) for c in ("hit_at_1", "recall_at_5", "precision_at_5", "mrr")], "queries")
+        out = measured if out is None else out.unionAll(measured)
     return out
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.index import WeightIndex, WordIndex
+from ..store import scratch
+
 #: The instant that stands for "now" wherever a query needs one.
 NOW_MS = 1735689600000
 DAY_MS = 86_400_000
@@ -47,6 +50,30 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple, object] = {}
+
+
+def kept_index(spark: SparkSession, sf_dir: str, kind: str, build):
+    """The index ``build(path)`` over the notes of a folder, built once for each state of its files and kept in the shared folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = fs.getFileStatus(path)
+    files = fs.listStatus(path) if status.isDirectory() else [status]
+    state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, kind, state)
+    if key not in _INDEXES:
+        _INDEXES[key] = build(scratch(spark, f"index-{kind}"))
+    return _INDEXES[key]
+
+
+def word_index(spark: SparkSession, sf_dir: str) -> WordIndex:
+    return kept_index(spark, sf_dir, "words", lambda path: WordIndex.keep(notes(spark, sf_dir), path))
+
+
+def weight_index(spark: SparkSession, sf_dir: str) -> WeightIndex:
+    return kept_index(spark, sf_dir, "weights", lambda path: WeightIndex.keep(active(notes(spark, sf_dir)), path))
+
+
 def active(rows: DataFrame) -> DataFrame:
     return rows.where("deleted_at IS NULL")
 

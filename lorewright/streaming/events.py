@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.search import postings
+from ..operators.index import postings
 from ..operators.secure import GENESIS, seal_rows
 
 
