@@ -120,7 +120,7 @@ def unusable(content: Column) -> Column:
     """CLS-05: the reason a text carries no knowledge, or null."""
     raw = F.regexp_replace(F.coalesce(content, F.lit("")), r"^\s+|\s+$", "")
     words = F.regexp_extract_all(F.regexp_replace(raw, TAG, " "), F.lit(r"\p{L}[\p{L}\-']{2,}"), F.lit(0))
-    lines = F.filter(F.transform(F.split(raw, r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(raw, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     forms = F.array_sort(F.transform(lines, lambda x: F.substring(F.regexp_replace(F.regexp_replace(x, r"\d+", "#"), r"\s+", " "), 1, 60)))
     most = _longest_run(forms)
     distinct = F.size(F.array_distinct(F.transform(words, F.lower)))

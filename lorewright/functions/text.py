@@ -60,7 +60,7 @@ def chunk_text(c: Column, size: int = 1200, overlap: int = 150) -> Column:
 
     A fold over the paragraphs; a null or blank text has no chunk.
     """
-    paragraphs = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), F.trim), lambda p: F.length(p) > 0)
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\n\s*\n"), lambda x: F.trim(x)), lambda p: F.length(p) > 0)
 
     def pack(pieces: Column, glue: str, carry: int) -> Column:
         start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))

@@ -185,7 +185,7 @@ def related_tags(rows: DataFrame, topic: str, most: int = 8) -> DataFrame:
 
 def key_sentence(content: Column, topic: str) -> Column:
     """STR-17: a sentence of 20 characters or more, with the topic's word if there is one, cut at 220 characters."""
-    rows = F.filter(F.transform(F.split(F.regexp_replace(content, r"[*_`#>]+", ""), r"(?<=[.!?])(?<!\b(?:z|d|u|bzw|ca|Dr|Nr|St|vs|etc)\.)\s+|\n+"), F.trim), lambda s: F.length(s) >= 20)
+    rows = F.filter(F.transform(F.split(F.regexp_replace(content, r"[*_`#>]+", ""), r"(?<=[.!?])(?<!\b(?:z|d|u|bzw|ca|Dr|Nr|St|vs|etc)\.)\s+|\n+"), lambda x: F.trim(x)), lambda s: F.length(s) >= 20)
     about = F.filter(rows, lambda s: F.lower(s).contains(topic.lower()))
     pick = F.coalesce(F.get(about, 0), F.get(rows, 0))
     return F.when(F.length(pick) <= 220, pick).otherwise(F.concat(F.regexp_replace(F.substring(pick, 1, 220), r"\s+\S*$", ""), F.lit("…")))

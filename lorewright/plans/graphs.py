@@ -10,7 +10,7 @@ from ..operators import graph as G
 from ..operators import similar as M
 from ..sources.tables import CHUNKS_SQL, CLAIMS_SQL, CONCEPTS_SQL, MENTIONS_SQL, NOTES_SQL, PAIRS_SQL, active, chunks, claims, co_ordered, concept_mentions, mentions, notes
 from .retrieval import query_vector
-from .texts import _CW, _SPACES
+from .texts import _CW, _SPACES, concepts_sql
 
 
 def sim_exact_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +290,19 @@ w AS (SELECT a, b, sum(w)::DOUBLE AS w FROM (SELECT source AS a, target AS b, 1
 _P = f"WITH {NOTES_SQL}, p AS (SELECT id AS node, doc_id % 23 AS community, title, content, type FROM notes)"
 _DEG = "deg AS (SELECT node, count(*) AS degree FROM (SELECT source AS node FROM {e} UNION ALL SELECT target FROM {e}) GROUP BY node)"
 
+def _propagation(rounds: int) -> str:
+    steps = [f"{_W}, both_ AS (SELECT a AS u, b AS v, w FROM w UNION ALL SELECT b, a, w FROM w), l0 AS (SELECT DISTINCT u AS node, u AS label FROM both_)"]
+    for i in range(rounds):
+        votes = f"SELECT u, label, sum(w) AS w FROM (SELECT u, label, w FROM both_ JOIN l{i} ON v = node UNION ALL SELECT node, label, 0.5 FROM l{i}) GROUP BY ALL"
+        steps.append(f"l{i + 1} AS MATERIALIZED (SELECT u AS node, label FROM ({votes}) QUALIFY row_number() OVER (PARTITION BY u ORDER BY w DESC, label) = 1)")
+    return ", ".join(steps) + f" SELECT node, label AS community FROM l{rounds}"
+
+
+_HEADED = "'# ' || substr(title, 1, 20) || chr(10) || content"
+
 ORACLE = {
+    "gra_concepts": f"{_N}, k AS (SELECT unnest({concepts_sql(_HEADED)}) AS entity FROM notes) SELECT entity, count(*) AS n FROM k GROUP BY entity",
+    "gra_propagation": _propagation(5),
     "sim_exact_title": f"{_N} {_star_sql(_TITLE, 'identical-title')}",
     "sim_exact_content": f"{_N} {_star_sql(_CONTENT, 'identical-content')}",
     "sim_near_jaccard": f"{_N}, {_NEAR} SELECT a, b, round(similarity, 9) AS similarity FROM near",

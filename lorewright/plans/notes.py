@@ -10,7 +10,7 @@ from ..operators import filters as L
 from ..operators import graph as G
 from ..operators import lifecycle as D
 from ..sources.tables import ACTIVITY_SQL, CHUNKS_SQL, MENTIONS_SQL, NOTES_SQL, NOW_MS, active, activity, chunks, mentions, notes
-
+from .texts import chunks_sql, type_sql
 
 
 def _n():
@@ -216,6 +216,8 @@ _N = f"WITH {NOTES_SQL}"
 _V = "coalesce(valid_from, created_at) <= 1704500000000 AND (valid_to IS NULL OR valid_to > 1704500000000)"
 _PAT = "pat AS (SELECT CASE WHEN doc_id % 8 = 0 THEN 'new' || doc_id ELSE id END AS id, CASE WHEN doc_id % 3 = 0 THEN 'x ' || title END AS title, CASE WHEN doc_id % 5 = 0 THEN 'replaced' END AS content FROM notes WHERE doc_id % 4 = 0)"
 ORACLE = {
+    "dml_reclassify": f"{_N}, live AS (SELECT * FROM notes WHERE deleted_at IS NULL), {type_sql('live')}, h AS (SELECT type, 1 AS b, 0 AS a FROM r UNION ALL SELECT k[1], 0, 1 FROM r) SELECT type, sum(b)::BIGINT AS before, sum(a)::BIGINT AS after FROM h GROUP BY type",
+    "dml_index": f"{_N}, k AS (SELECT id, list_concat([title || chr(10) || array_to_string(tags, ' ')], {chunks_sql('content')}) AS k FROM notes) SELECT id AS memory_id, len(k) AS n, list_max(list_transform(k, lambda x: len(x))) AS longest FROM k",
     "src_list": f"{_N} SELECT id, title, updated_at FROM notes WHERE deleted_at IS NULL AND type = 'semantic' AND list_contains(tags, 'en') ORDER BY updated_at DESC, id LIMIT 20 OFFSET 5",
     "src_all": f"{_N} SELECT id, deleted_at FROM notes WHERE deleted_at IS NOT NULL",
     "src_multi_get": f"{_N}, a(id, pos) AS (VALUES ('d7', 0), ('d3', 1), ('d12', 2), ('nope', 3), ('d1', 4)) SELECT pos, id, title FROM a JOIN notes USING (id)",

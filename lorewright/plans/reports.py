@@ -11,6 +11,7 @@ from ..operators import secure as Q
 from ..sources.tables import ACTIVITY_SQL, CHUNKS_SQL, CLAIMS_SQL, DAY_MS, MENTIONS_SQL, NOTES_SQL, NOW_MS, active, activity, chunks, claims, mentions, notes, table, word_index
 from ..store import scratch
 from ..streaming import events as E
+from .retrieval import TOKENS_SQL, search_sql
 
 SINCE = 1704400000000
 
@@ -204,7 +205,19 @@ def _section(where: str, at: str) -> str:
     return f"""{_N}, r AS (SELECT * FROM notes WHERE {where}) SELECT id, title, type, {at} AS "at", (SELECT count(*) FROM r) AS total FROM r ORDER BY {at} DESC, id LIMIT 12"""
 
 
+_HITS = search_sql(limit=50, legs=frozenset({"bm25"}), query="apache license")
+_DOSSIER = f"""WITH {NOTES_SQL}, hits AS ({_HITS}), ev AS (SELECT id, score FROM hits WHERE score >= 0.25 * (SELECT max(score) FROM hits) UNION ALL SELECT id, 0 FROM notes WHERE list_contains(tags, 'src7')),
+best AS (SELECT id, max(score) AS score FROM ev GROUP BY id), d AS (SELECT n.*, round(score, 9) AS score FROM best JOIN notes n USING (id) WHERE deleted_at IS NULL AND superseded_by IS NULL ORDER BY best.score DESC, updated_at DESC, id LIMIT 30)"""
+_ABBREVIATED = "regexp_replace(regexp_replace(content, '[*_`#>]+', '', 'g'), '\\b(z|d|u|bzw|ca|Dr|Nr|St|vs|etc)\\.(\\s)', '\\1' || chr(2) || '\\2', 'g')"
+_SAID = f"list_filter(list_transform(string_split(replace(regexp_replace({_ABBREVIATED}, '([.!?])\\s+|\\n+', '\\1' || chr(1), 'g'), chr(2), '.'), chr(1)), lambda x: trim(x)), lambda x: len(x) >= 20)"
+
 ORACLE = {
+    "rpt_dossier": f"{_DOSSIER} SELECT id, title, type, score FROM d",
+    "rpt_dossier_tags": f"{_DOSSIER} SELECT tag, count(*) AS n FROM (SELECT unnest(list_distinct(tags)) AS tag FROM d) WHERE tag <> 'src7' GROUP BY tag ORDER BY n DESC, tag LIMIT 8",
+    "rpt_dossier_markdown": f"""{_DOSSIER}, k AS (SELECT id, title, type, score, {_SAID} AS said FROM d), p AS (SELECT *, coalesce(list_filter(said, lambda x: contains(lower(x), 'src7'))[1], said[1]) AS pick FROM k)
+SELECT '# src7' || chr(10) || chr(10) || string_agg('- **' || title || '** (' || type || ') ' || coalesce(CASE WHEN len(pick) <= 220 THEN pick ELSE regexp_replace(substr(pick, 1, 220), '\\s+\\S*$', '') || '…' END, ''), chr(10) ORDER BY score DESC, id) AS markdown FROM p""",
+    "stm_incremental_index": f"{_N}, {TOKENS_SQL}, t AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM tok) GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM t GROUP BY term HAVING count(*) > 20",
+    "stm_windowed": "SELECT strftime(ts::DATE, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL",
     "rpt_counts": f"{_N}, {CHUNKS_SQL}, m AS (SELECT model, count(*) AS total FROM chunks GROUP BY model) SELECT count(*) FILTER (WHERE deleted_at IS NULL) AS active, count(deleted_at) AS trashed, model, total, total AS embedded FROM notes, m GROUP BY model, total",
     "rpt_briefing_created": _section(f"deleted_at IS NULL AND created_at > {SINCE}", "created_at"),
     "rpt_briefing_changed": _section(f"deleted_at IS NULL AND superseded_by IS NULL AND created_at <= {SINCE} AND updated_at > {SINCE}", "updated_at"),
@@ -224,7 +237,8 @@ ORACLE = {
 SELECT axis, band, count(*) AS n, round(count(*) / (SELECT count(*) FROM d), 9) AS share FROM x GROUP BY ALL""",
     "rpt_shelf": f"{_N}, g AS (SELECT type || '/' || tags[2] AS shelf, count(*) AS n FROM notes GROUP BY 1), t AS (SELECT sum(n) AS total FROM g), s AS (SELECT CASE WHEN n / total < 0.012 THEN (SELECT count(*) FROM g, t WHERE n / total < 0.012) || ' smaller shelves' ELSE shelf END AS shelf, n, total FROM g, t) SELECT shelf, sum(n)::BIGINT AS n, round(sum(n) / max(total), 9) AS share FROM s GROUP BY shelf",
     "rpt_shelf_lid": f"{_N}, g AS (SELECT tags[1] AS shelf, count(*) / (SELECT count(*) FROM notes) AS share FROM notes GROUP BY 1) SELECT round(100 * max(share), 2) AS largest, round(sum(CASE WHEN share <= 0.1 THEN share ELSE 0 END), 6) AS under_lid FROM g",
-    "agg_path_prefix": "SELECT '/home/u/vault' AS prefix",
+    "agg_path_prefix": f"""{_N}, p AS (SELECT list_filter(string_split('/home/u/' || CASE WHEN id = 'd5' THEN 'x' ELSE 'vault' END || '/' || tags[2] || '/' || id, '/'), lambda x: x <> '') AS s FROM notes), e AS (SELECT i, s[i] AS p, count(*) AS n FROM p, unnest(range(1, len(s) + 1)) AS t(i) GROUP BY ALL),
+top AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY i ORDER BY n DESC, p DESC) = 1), held AS (SELECT i, p, bool_and(n >= 0.95 * (SELECT count(*) FROM p)) OVER (ORDER BY i) AS held FROM top) SELECT '/' || string_agg(p, '/' ORDER BY i) AS prefix FROM held WHERE held""",
     "agg_time_range": f"{_N} SELECT min(coalesce(valid_from, created_at)) AS first, max(greatest(coalesce(valid_from, created_at), updated_at, coalesce(valid_to, 0))) AS last FROM notes",
     "agg_distinct_values": f"{_A} SELECT DISTINCT 'actor' AS kind, client AS value FROM activity UNION SELECT DISTINCT 'action', tool FROM activity",
     "rpt_health": f"{_N}, {CHUNKS_SQL}, {MENTIONS_SQL} SELECT count(*) AS notes, sum(strlen(content))::BIGINT AS bytes, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(DISTINCT entity) FROM mentions) AS concepts FROM notes",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +96,30 @@ def only_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENDING = "'(ung|en|er|es|em|e|s|n)$'"
 
 
-def search_sql(filters: str = "true", limit: int = 10, offset: int = 0, as_of_ms: int | None = None, legs: frozenset[str] = ALL) -> str:
+def _rerank_sql(query: str) -> tuple[str, str, str, str]:
+    """RET-08: the score over ``intitle``, ``intext`` and ``tagst``, and the SQL of these three lists."""
+    words = S.words_of(query)
+    cover, title_cover, tag = [], [], []
+    for w in words:
+        st = re.sub("(ung|en|er|es|em|e|s|n)$", "", w)
+        loose = f"WHEN len(list_filter(intext, lambda d: starts_with(d, '{st}') OR starts_with('{st}', d))) > 0 THEN 0.6::DOUBLE" if len(st) >= 4 else ""
+        cover.append(f"CASE WHEN list_contains(intext, '{st}') THEN 1::DOUBLE {loose} ELSE 0::DOUBLE END")
+        title_cover.append(f"CASE WHEN list_contains(intitle, '{st}') THEN 1::DOUBLE ELSE 0::DOUBLE END")
+        tag.append(f"list_contains(tagst, '{st}')")
+    q = query.lower()
+    stems = lambda c: f"list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: regexp_replace(w, {_ENDING}, ''))"
+    score = f"""greatest(0, least(1, ({" + ".join(cover)}) / {len(words)} * 0.6 + least(({" + ".join(title_cover)}) / {len(words)}, 1) * 0.2
+         + CASE WHEN contains(lower(content), '{q}') THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(title), '{q}') THEN 0.25 ELSE 0 END + CASE WHEN {" OR ".join(tag)} THEN 0.1 ELSE 0 END))::DOUBLE"""
+    return score, stems("title"), f"list_concat({stems('content')}, {stems('title')})", f"list_transform(tags, lambda t: regexp_replace(lower(t), {_ENDING}, ''))"
+
+
+def search_sql(filters: str = "true", limit: int = 10, offset: int = 0, as_of_ms: int | None = None, legs: frozenset[str] = ALL, query: str = QUERY) -> str:
     now = NOW_MS if as_of_ms is None else as_of_ms
     expired = "false" if as_of_ms is not None else f"coalesce(valid_to < {now}, false)"
-    words = S.words_of(QUERY)
-    pieces = _strings(S.query_pieces(QUERY))
+    said = S.expand_query(query)
+    words, asked = S.words_of(said), S.content_terms(said)
+    bm25 = BM25_SQL.replace(_strings(TERMS), _strings(asked))
+    pieces = _strings(S.query_pieces(said))
     parts = ["SELECT id, 'bm25' AS leg, row_number() OVER (ORDER BY bm25 DESC, id) AS rank FROM bmd"]
     others = "SELECT id FROM bmd"
     if "entity" in legs:
@@ -106,22 +127,12 @@ def search_sql(filters: str = "true", limit: int = 10, offset: int = 0, as_of_ms
         others += " UNION ALL SELECT id FROM ent"
     if "vector" in legs:
         parts.append("SELECT id, 'vector', row_number() OVER (ORDER BY similarity DESC, id) FROM band")
-    cover, title_cover, tag = [], [], []
-    import re
-
-    for w in words:
-        st = re.sub("(ung|en|er|es|em|e|s|n)$", "", w)
-        loose = f"WHEN len(list_filter(intext, lambda d: starts_with(d, '{st}') OR starts_with('{st}', d))) > 0 THEN 0.6::DOUBLE" if len(st) >= 4 else ""
-        cover.append(f"CASE WHEN list_contains(intext, '{st}') THEN 1::DOUBLE {loose} ELSE 0::DOUBLE END")
-        title_cover.append(f"CASE WHEN list_contains(intitle, '{st}') THEN 1::DOUBLE ELSE 0::DOUBLE END")
-        tag.append(f"list_contains(tagst, '{st}')")
-    q = QUERY.lower()
+    rerank, in_title, in_text, of_tags = _rerank_sql(said)
     terms = " || ".join(f"CASE WHEN contains(lower(title), '{w}') OR contains(lower(content), '{w}') THEN '{w} ' ELSE '' END" for w in words)
-    stems = lambda c: f"list_transform(list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: regexp_replace(w, {_ENDING}, ''))"
     return f"""
-WITH {NOTES_SQL}, {CHUNKS_SQL}, {MENTIONS_SQL}, {BM25_SQL},
-fullm AS (SELECT count(*) AS full_ FROM bm WHERE matched = {len(TERMS)}),
-bmd AS (SELECT id, bm25 FROM bm, fullm WHERE full_ < {max(500, 2 * (offset + limit))} OR matched = {len(TERMS)} ORDER BY bm25 DESC, id LIMIT {max(500, 2 * (offset + limit))}),
+WITH {NOTES_SQL}, {CHUNKS_SQL}, {MENTIONS_SQL}, {bm25},
+fullm AS (SELECT count(*) AS full_ FROM bm WHERE matched = {len(asked)}),
+bmd AS (SELECT id, bm25 FROM bm, fullm WHERE full_ < {max(500, 2 * (offset + limit))} OR matched = {len(asked)} ORDER BY bm25 DESC, id LIMIT {max(500, 2 * (offset + limit))}),
 ent AS (SELECT DISTINCT memory_id AS id FROM mentions WHERE list_contains({pieces}, entity) AND memory_id IN (SELECT id FROM notes WHERE deleted_at IS NULL)),
 qv AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
 vs AS (SELECT memory_id AS id, max(list_cosine_similarity(embedding, v)) AS similarity FROM chunks, qv WHERE model = 'm0' AND memory_id IN (SELECT id FROM notes WHERE deleted_at IS NULL) GROUP BY 1),
@@ -134,12 +145,10 @@ fused AS (
          min(CASE WHEN leg = 'bm25' THEN rank END) AS bm25_rank, min(CASE WHEN leg = 'vector' THEN rank END) AS vector_rank, min(CASE WHEN leg = 'entity' THEN rank END) AS entity_rank
   FROM legs, wt GROUP BY id),
 st AS (
-  SELECT f.*, n.* EXCLUDE (id), {stems("title")} AS intitle, list_concat({stems("content")}, {stems("title")}) AS intext,
-         list_transform(tags, lambda t: regexp_replace(lower(t), {_ENDING}, '')) AS tagst
+  SELECT f.*, n.* EXCLUDE (id), {in_title} AS intitle, {in_text} AS intext, {of_tags} AS tagst
   FROM fused f JOIN notes n USING (id) WHERE deleted_at IS NULL),
 rr AS (
-  SELECT *, greatest(0, least(1, ({" + ".join(cover)}) / {len(words)} * 0.6 + least(({" + ".join(title_cover)}) / {len(words)}, 1) * 0.2
-         + CASE WHEN contains(lower(content), '{q}') THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(title), '{q}') THEN 0.25 ELSE 0 END + CASE WHEN {" OR ".join(tag)} THEN 0.1 ELSE 0 END))::DOUBLE AS rerank
+  SELECT *, {rerank} AS rerank
   FROM st),
 hit AS (
   SELECT id, title, content, updated_at, bm25_rank, vector_rank, entity_rank, rerank, {expired} AS expired, superseded_by IS NOT NULL AS superseded,
@@ -204,7 +213,28 @@ QUERIES = {
     "ret_dense_hybrid": dense_hybrid, "ret_naive_baseline": naive, "ret_rerank": rerank_all, "ret_ablation_metrics": ablation,
 }
 
+def _ablation_sql() -> str:
+    from .texts import terms_sql
+
+    fold = f"list_distinct(list_transform(terms, lambda t: translate(lower(t), '{X.ACCENTED}', '{X.PLAIN}')))"
+    measures = lambda name, hits: f"""SELECT '{name}' AS legs, category, round(avg(CASE WHEN first = 1 THEN 1 ELSE 0 END), 9)::DOUBLE AS hit_at_1, round(avg(found), 9)::DOUBLE AS recall_at_5, round(avg(found / 5), 9)::DOUBLE AS precision_at_5, round(avg(coalesce(1 / first, 0)), 9)::DOUBLE AS mrr, count(*) AS queries
+FROM (SELECT a.query_id, 'lexical' AS category, count(CASE WHEN rank <= 5 THEN 1 END) AS found, min(rank) AS first FROM asked a LEFT JOIN {hits} h ON h.query_id = a.query_id AND h.id = a.query_id GROUP BY a.query_id) GROUP BY category"""
+    return f"""WITH {NOTES_SQL}, {MENTIONS_SQL}, {TOKENS_SQL}, stat AS (SELECT count(*) AS n, avg(len(toks)) AS al FROM tok),
+tf AS (SELECT id, deleted_at, length, term, count(*) AS tf FROM (SELECT id, deleted_at, len(toks) AS length, unnest(toks) AS term FROM tok) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT id AS query_id, {terms_sql('title')} AS terms FROM notes WHERE deleted_at IS NULL AND doc_id % 50 = 0 AND len(title) > 20), qx AS (SELECT query_id, unnest({fold}) AS term FROM asked),
+sc AS (SELECT query_id, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * ((tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (length / al))))) AS s FROM qx JOIN tf USING (term) JOIN df USING (term), stat WHERE deleted_at IS NULL GROUP BY ALL),
+words AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank FROM sc QUALIFY rank <= 500),
+named AS (SELECT DISTINCT query_id, memory_id AS id FROM (SELECT query_id, unnest(terms) AS word FROM asked) JOIN (SELECT memory_id, unnest(string_split(entity, ' ')) AS word FROM mentions) USING (word) WHERE memory_id IN (SELECT id FROM notes WHERE deleted_at IS NULL)),
+concepts AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM named),
+both_ AS (SELECT query_id, id, sum(1 / (60 + rank)) AS rrf FROM (SELECT * FROM words UNION ALL SELECT * FROM concepts) GROUP BY ALL),
+fused AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) AS rank FROM both_)
+{measures('words', 'words')} UNION ALL {measures('words+concepts', 'fused')}"""
+
+
+_RERANK = _rerank_sql("apache license en")
 ORACLE = {
+    "ret_ablation_metrics": _ablation_sql(),
+    "ret_rerank": f"WITH {NOTES_SQL}, st AS (SELECT *, {_RERANK[1]} AS intitle, {_RERANK[2]} AS intext, {_RERANK[3]} AS tagst FROM notes WHERE deleted_at IS NULL), rr AS (SELECT id, round({_RERANK[0]}, 9) AS rerank FROM st) SELECT * FROM rr WHERE rerank > 0.15",
     "ret_bm25_topk": f"WITH {NOTES_SQL}, {BM25_SQL} SELECT id, round(bm25, 9) AS bm25, matched FROM bm ORDER BY round(bm25, 9) DESC, id LIMIT 20",
     "ret_and_or": f"WITH {NOTES_SQL}, {BM25_SQL.replace(_strings(TERMS), _strings(['apache', 'license']))}, f AS (SELECT count(*) AS c FROM bm WHERE matched = 2) SELECT id, round(bm25, 9) AS bm25, matched FROM bm, f WHERE c < 5 OR matched = 2 ORDER BY bm.bm25 DESC, id LIMIT 5",
     "ret_vector_band": f"""WITH {NOTES_SQL}, {CHUNKS_SQL}, qv AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),

@@ -260,10 +260,57 @@ def _share(c: str) -> str:
     return f"CASE WHEN len({c}) > 0 THEN (len({c}) - len(regexp_replace({c}, '{C.TAG}', '', 'g'))) / len({c}) ELSE 0 END"
 
 
+def chunks_sql(c: str) -> str:
+    """STR-04 as a fold over the paragraphs, or over their sentences where one is long; the open chunk is the last of the list."""
+    paragraphs = f"list_filter(list_transform(regexp_split_to_array(coalesce({c}, ''), '\\n\\s*\\n'), lambda p: trim(p, ' ')), lambda p: len(p) > 0)"
+    cut = "list_filter(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: len(s) > 0)"
+    sentences = f"flatten(list_transform({paragraphs}, lambda p: CASE WHEN len(p) <= 1200 THEN [p] ELSE {cut} END))"
+
+    def pack(pieces: str, glue: str, fresh: str) -> str:
+        fits = f"len(a[-1]) + {2 if glue != ' ' else 1} + len(x[1]) <= 1200"
+        join = "chr(10) || chr(10)" if glue != " " else "' '"
+        return f"CASE WHEN len({pieces}) = 0 THEN []::VARCHAR[] ELSE list_reduce(list_transform({pieces}, lambda y: [y]), lambda a, x: CASE WHEN {fits} THEN list_concat(a[1 : len(a) - 1], [a[-1] || {join} || x[1]]) ELSE list_concat(a, [{fresh}]) END) END"
+
+    long = f"len(list_filter({paragraphs}, lambda p: len(p) > 1200)) > 0"
+    return f"CASE WHEN {long} THEN {pack(sentences, ' ', "right(a[-1], 150) || ' ' || x[1]")} ELSE {pack(paragraphs, 'n', 'x[1]')} END"
+
+
+def concepts_sql(c: str) -> str:
+    """STR-16."""
+    fence = "(?ms)^\\s*(```|~~~)[^\\n]*$.*?(^\\s*(```|~~~)[^\\n]*$|\\z)"
+    lines = f"string_split(regexp_replace(coalesce({c}, ''), '{fence}', '', 'g'), chr(10))"
+    named = f"flatten(list_transform({lines}, lambda x: list_concat(list_filter([regexp_extract(x, '^#{{1,6}}[ \\t]+(.+?)[ \\t]*#*[ \\t]*$', 1)], lambda h: h <> ''), regexp_extract_all(x, '\\[\\[([^\\[\\]]{{2,80}})\\]\\]', 1))))"
+    flat = f"list_transform({named}, lambda x: lower(trim(regexp_replace(split_part(x, '|', 1), '\\s+', ' ', 'g'))))"
+    frame = "[" + ", ".join(f"'{w}'" for w in X.FRAME_WORDS) + "]"
+    real = f"list_filter({flat}, lambda n: len(n) BETWEEN 4 AND 40 AND regexp_matches(n, '^[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}} .''&-]*$') AND regexp_matches(n, '\\p{{L}}') AND len(string_split(n, ' ')) <= 4 AND NOT (ends_with(n, '.') AND len(regexp_replace(string_split(n, ' ')[-1], '\\.$', '')) > 3) AND NOT list_contains({frame}, n))"
+    return f"list_filter({real}, lambda n, i: list_position({real}, n) = i)[1:40]"
+
+
 _RAW = "regexp_replace(content, '^\\s+|\\s+$', '', 'g')"
 _SHIFTED = f"(updated_at + {NOW_MS - 1704067200000 - 40 * N.DAY_MS})"
 
+def type_sql(rows: str, taken: str = "false") -> str:
+    """CLS-01 over rows (id, title, content, tags, ...): column ``k`` with type and reason; ``taken``: whether the path is that of a document."""
+    return f"""c AS (SELECT *, {_STEPS} AS steps, {_BULLETS} AS bul, coalesce({_first_sql('lower(title)', C.HOW_TO)}, {_first_sql('substr(lower(content), 1, 400)', C.HOW_TO)}) AS how, {_first_sql('lower(title)', C.EVENTS)} AS ev FROM {rows}),
+r AS (SELECT *, CASE WHEN steps >= 3 THEN ['procedural', steps || ' numbered steps'] WHEN how IS NOT NULL AND (steps >= 1 OR bul >= 3 OR contains(lower(title), how)) THEN ['procedural', 'says ' || how]
+ WHEN ev IS NOT NULL THEN ['episodic', ev || ' in the title'] WHEN regexp_matches(title, '{_DATE}') THEN ['episodic', 'date in the title'] WHEN len(list_filter(tags, lambda t: list_contains({q(C.EVENTS)}, lower(t)))) > 0 THEN ['episodic', 'tag of an event']
+ WHEN {_share('content')} > 0.25 THEN ['reference', 'mostly markup'] WHEN {taken} THEN ['reference', 'taken from .pdf'] ELSE ['semantic', 'plain text'] END AS k FROM c)"""
+
+
+def unusable_sql(rows: str) -> str:
+    """CLS-05 over rows (id, content): table ``u`` (id, reason)."""
+    return f"""a AS (SELECT id, {_RAW} AS raw FROM {rows}),
+b AS (SELECT id, raw, regexp_extract_all(regexp_replace(raw, '{C.TAG}', ' ', 'g'), '\\p{{L}}[\\p{{L}}\\-'']{{2,}}') AS w, list_filter(list_transform(regexp_split_to_array(raw, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM a),
+f AS (SELECT id, max(c) AS most FROM (SELECT id, form, count(*) AS c FROM (SELECT id, substr(regexp_replace(regexp_replace(unnest(l), '\\d+', '#', 'g'), '\\s+', ' ', 'g'), 1, 60) AS form FROM b) GROUP BY ALL) GROUP BY id),
+u AS (SELECT b.id, CASE WHEN len(raw) < 20 THEN 'nearly empty' WHEN {_share('raw')} > 0.4 THEN 'mostly markup' WHEN len(raw) > 300 AND len(w) < 20 THEN 'many characters, few words'
+ WHEN len(l) >= 8 AND most / len(l) > 0.7 THEN 'one form of line' WHEN len(w) >= 40 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) < 0.12 THEN 'few different words' END AS reason FROM b LEFT JOIN f USING (id))"""
+
+
+_MARKED = "'## ' || substr(title, 1, 30) || chr(10) || '```' || chr(10) || '# hidden name' || chr(10) || '```' || chr(10) || 'see [[' || tags[2] || '|s]] in [[Overview]]' || chr(10) || content"
+
 ORACLE = {
+    "str_concepts": f"{_N} SELECT id, array_to_string({concepts_sql(_MARKED)}, '|') AS concepts FROM notes",
+    "str_chunks": f"{_N}, k AS (SELECT id, {chunks_sql('content')} AS k FROM notes) SELECT id, i - 1 AS seq, k[i] AS chunk FROM k, unnest(range(1, len(k) + 1)) AS t(i)",
     "str_terms": f"{_N} SELECT id, array_to_string({terms_sql('content')}, ' ') AS terms FROM notes",
     "str_tokens": f"{_N}, w AS MATERIALIZED (SELECT id, {_words_sql('content')} AS c, {_words_sql('title')} AS t FROM notes) SELECT id, len(c) + greatest(len(c) - 1, 0) AS n, array_to_string({_PAIRED.format(w='t')}[1:8], ' ') AS tokens FROM w",
     "str_shingles": f"{_N}, w AS (SELECT id, {_CW} AS w FROM notes), s AS (SELECT id, CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END AS s FROM w) SELECT id, len(list_distinct(s)) AS n_shingles, s[1] AS first FROM s",
@@ -276,22 +323,14 @@ ORACLE = {
     "str_source": f"{_N} SELECT id, 'file' AS kind, tags[2] || '.md' AS name, '/home/u/' || tags[2] || '.md' AS path, 'md' AS ext FROM notes",
     "str_file_names": f"{_N}, f AS (SELECT id, CASE WHEN trim(nm) = '' THEN 'note' ELSE trim(nm) END AS name FROM (SELECT id, substr(trim(regexp_replace(regexp_replace(substr(title, 1, 12), '[\\\\/:*?\"<>|\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 80) AS nm FROM notes)), r AS (SELECT id, name, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS n FROM f) SELECT id, name || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS file FROM r",
     "str_synonyms": f"{_N} SELECT id, 'gesichert sicherung snapshot rechnung host' AS added FROM notes",
-    "cls_type": f"""{_N}, c AS (SELECT *, {_STEPS} AS steps, {_BULLETS} AS bul, coalesce({_first_sql('lower(title)', C.HOW_TO)}, {_first_sql('substr(lower(content), 1, 400)', C.HOW_TO)}) AS how, {_first_sql('lower(title)', C.EVENTS)} AS ev FROM notes),
-r AS (SELECT id, CASE WHEN steps >= 3 THEN ['procedural', steps || ' numbered steps'] WHEN how IS NOT NULL AND (steps >= 1 OR bul >= 3 OR contains(lower(title), how)) THEN ['procedural', 'says ' || how]
- WHEN ev IS NOT NULL THEN ['episodic', ev || ' in the title'] WHEN regexp_matches(title, '{_DATE}') THEN ['episodic', 'date in the title'] WHEN len(list_filter(tags, lambda t: list_contains({q(C.EVENTS)}, lower(t)))) > 0 THEN ['episodic', 'tag of an event']
- WHEN {_share('content')} > 0.25 THEN ['reference', 'mostly markup'] WHEN id LIKE '%7' THEN ['reference', 'taken from .pdf'] ELSE ['semantic', 'plain text'] END AS k FROM c)
-SELECT id, k[1] AS type, k[2] AS reason FROM r""",
+    "cls_type": _N + ", " + type_sql("notes", "id LIKE '%7'") + " SELECT id, k[1] AS type, k[2] AS reason FROM r",
     "cls_shape": f"{_N} SELECT id, {_STEPS} AS steps, {_BULLETS} AS bullets FROM notes",
     "cls_markup": f"SELECT page_id, round({_share('html')}, 9) AS share FROM pages",
     "cls_carrier": f"""{_N}, p AS (SELECT id, doc_id, content, tags, CASE WHEN doc_id % 2 = 0 THEN ['.json', '.py', '.md', '.xyz', ''][doc_id % 5 + 1] ELSE '' END AS e FROM notes)
 SELECT id, CASE WHEN doc_id % 3 <> 0 THEN 'notes' WHEN e = '.json' THEN 'data' WHEN e = '.py' THEN 'code' WHEN e = '.md' THEN 'files' WHEN e = '.xyz' THEN 'other'
  WHEN regexp_matches(content, '(?s)^\\s*(export |import |function |const |let |interface |type |\\w+\\s*\\([^)]*\\)\\s*\\{{|//|#include|SELECT |UPDATE |INSERT |\\{{.*":)') OR regexp_matches(trim(content), '(?s)^\\s*[\\{{\\[].*["''].*["''][,\\}}\\]]') THEN 'code' ELSE 'other' END AS carrier FROM p""",
     "cls_topics": f"{_N}, t AS (SELECT id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(title || ' shop' || chr(10) || content, '(?i)\\b({w})\\b') THEN '{k}' END" for k, w in C.TOPICS.items()) + "], lambda x: x IS NOT NULL) AS f FROM notes) SELECT topic, count(*) AS n FROM (SELECT unnest(CASE WHEN len(f) = 0 THEN ['no topic'] ELSE f END) AS topic FROM t) GROUP BY topic",
-    "cls_unusable": f"""{_N}, a AS (SELECT id, {_RAW} AS raw FROM notes),
-b AS (SELECT id, raw, regexp_extract_all(regexp_replace(raw, '{C.TAG}', ' ', 'g'), '\\p{{L}}[\\p{{L}}\\-'']{{2,}}') AS w, list_filter(list_transform(regexp_split_to_array(raw, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM a),
-f AS (SELECT id, max(c) AS most FROM (SELECT id, form, count(*) AS c FROM (SELECT id, substr(regexp_replace(regexp_replace(unnest(l), '\\d+', '#', 'g'), '\\s+', ' ', 'g'), 1, 60) AS form FROM b) GROUP BY ALL) GROUP BY id)
-SELECT * FROM (SELECT b.id, CASE WHEN len(raw) < 20 THEN 'nearly empty' WHEN {_share('raw')} > 0.4 THEN 'mostly markup' WHEN len(raw) > 300 AND len(w) < 20 THEN 'many characters, few words'
- WHEN len(l) >= 8 AND most / len(l) > 0.7 THEN 'one form of line' WHEN len(w) >= 40 AND len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) < 0.12 THEN 'few different words' END AS reason FROM b LEFT JOIN f USING (id)) WHERE reason IS NOT NULL""",
+    "cls_unusable": f"{_N}, {unusable_sql('notes')} SELECT id, reason FROM u WHERE reason IS NOT NULL",
     "cls_provenance": f"{_N} SELECT CASE doc_id % 3 WHEN 0 THEN 'machine' WHEN 1 THEN 'file' ELSE 'written' END AS provenance, count(*) AS n FROM notes GROUP BY 1",
     "cls_first_mark": f"{_N} SELECT CASE WHEN tags[2] = 'src3' THEN 'src3' WHEN tags[1] = 'de' THEN 'de' WHEN tags[2] = 'src5' THEN 'src5' WHEN tags[1] = 'en' THEN 'en' END AS mark, count(*) AS n FROM notes GROUP BY 1",
     "cls_rarest_tag": f"{_N}, e AS (SELECT DISTINCT id, unnest(tags) AS tag FROM notes), c AS (SELECT tag, count(*) AS n FROM e GROUP BY tag) SELECT id, tag FROM (SELECT id, tag, row_number() OVER (PARTITION BY id ORDER BY n, tag) AS r FROM e JOIN c USING (tag)) WHERE r = 1",

@@ -181,7 +181,7 @@ def parts(text: Column, size: int = 2000) -> Column:
     """STR-05, SRC-18: parts of about ``size`` characters, cut at the last blank line or sentence beyond 55 percent of a part, else hard."""
     least = int(size * 0.55)
     cut = rf"(?s).{{{least},{size}}}(?:\n\n|\. )|.{{1,{size}}}"
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(cut), F.lit(0)), F.trim), lambda p: F.length(p) > 0)
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(cut), F.lit(0)), lambda x: F.trim(x)), lambda p: F.length(p) > 0)
 
 
 def scan_notes(files: DataFrame, table: DataFrame) -> DataFrame:
