@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words and endings that decide a note's type.
+#: Words of instructions.
 HOW_TO = ["anleitung", "howto", "how to", "how-to", "tutorial", "schritt fuer schritt", "schritt für schritt", "step by step", "installation", "einrichten", "setup", "vorgehen", "ablauf", "checkliste", "checklist", "rezept", "recipe", "playbook", "runbook", "leitfaden", "guide"]
+#: Words of events.
 EVENTS = ["besprechung", "meeting", "protokoll", "termin", "gespraech", "gespräch", "sitzung", "call", "interview", "notiz vom", "tagebuch", "journal", "retrospektive", "retro", "standup", "stand-up", "workshop", "konferenz"]
+#: Endings of reference material.
 REFERENCE_ENDINGS = [".pdf", ".csv", ".tsv", ".json", ".xml", ".html", ".htm", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".log", ".rtf", ".tex"]
+#: Endings of program text.
 CODE = ["ts", "tsx", "js", "jsx", "py", "sql", "sh", "css", "rs", "go", "java"]
+#: Endings of data.
 DATA = ["json", "csv", "ini", "toml", "yaml", "yml", "env", "lock"]
+#: Endings of documents.
 DOCUMENTS = ["md", "txt", "pdf", "docx", "xlsx", "html", "eml", "log", "rtf"]
+#: Dates in titles.
 DATE = r"(?<![A-Za-z0-9_])(\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{1,2}/\d{1,2}/\d{2,4})(?![A-Za-z0-9_])"
 #: The words of each topic; edges are those of ASCII words.
 TOPICS = {

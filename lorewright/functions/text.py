@@ -6,22 +6,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in a query, German and English.
-STOPWORDS_DE = (
-    "der die das den dem des ein eine einen einem einer eines und oder aber wenn dann also auch noch schon nur sehr wie "
-    "was wer wo wann warum wieso weshalb welche welcher welches dass ist sind war waren sein hat haben hatte hatten "
-    "wird werden wurde wurden kann könnte soll sollen muss müssen will wollen möchte möchten bei mit von zu zum zur im am "
-    "an auf für über unter vor nach zwischen durch gegen ohne um aus in als so diese dieser dieses diesen "
-    "diesem jeder jede jedes viele vielen mehr weniger hier dort da dabei damit dazu darauf darüber darunter nicht kein keine "
-    "keinen keinem keiner nichts alles etwas man es er sie wir ihr mein dein unser euer"
-).split()
-STOPWORDS_EN = (
-    "the a an and or but if then else so as at by for with about against between into through during before after above below "
-    "to from up down in out on off over under again further once here there when where why how all any both each few more most "
-    "other some such no nor not only own same than too very can will just don should now is are was were be been being has "
-    "have had do does did having doing am isnt arent wasnt hasnt havent hadnt dont doesnt didnt wont wouldnt shouldnt cant "
-    "cannot could would may might must shall this that these those i me my myself we our ours you your yours he him his "
-    "she her hers it its they them their what which who whom"
-).split()
+STOPWORDS_DE = [
+    "der", "die", "das", "den", "dem", "des", "ein", "eine", "einen", "einem", "einer", "eines", "und", "oder",
+    "aber", "wenn", "dann", "also", "auch", "noch", "schon", "nur", "sehr", "wie", "was", "wer", "wo", "wann",
+    "warum", "wieso", "weshalb", "welche", "welcher", "welches", "dass", "ist", "sind", "war", "waren", "sein", "hat",
+    "haben", "hatte", "hatten", "wird", "werden", "wurde", "wurden", "kann", "könnte", "soll", "sollen", "muss",
+    "müssen", "will", "wollen", "möchte", "möchten", "bei", "mit", "von", "zu", "zum", "zur", "im", "am", "an", "auf",
+    "für", "über", "unter", "vor", "nach", "zwischen", "durch", "gegen", "ohne", "um", "aus", "in", "als", "so",
+    "diese", "dieser", "dieses", "diesen", "diesem", "jeder", "jede", "jedes", "viele", "vielen", "mehr", "weniger",
+    "hier", "dort", "da", "dabei", "damit", "dazu", "darauf", "darüber", "darunter", "nicht", "kein", "keine",
+    "keinen", "keinem", "keiner", "nichts", "alles", "etwas", "man", "es", "er", "sie", "wir", "ihr", "mein", "dein",
+    "unser", "euer",
+]
+STOPWORDS_EN = [
+    "the", "a", "an", "and", "or", "but", "if", "then", "else", "so", "as", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up",
+    "down", "in", "out", "on", "off", "over", "under", "again", "further", "once", "here", "there", "when", "where",
+    "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not",
+    "only", "own", "same", "than", "too", "very", "can", "will", "just", "don", "should", "now", "is", "are", "was",
+    "were", "be", "been", "being", "has", "have", "had", "do", "does", "did", "having", "doing", "am", "isnt",
+    "arent", "wasnt", "hasnt", "havent", "hadnt", "dont", "doesnt", "didnt", "wont", "wouldnt", "shouldnt", "cant",
+    "cannot", "could", "would", "may", "might", "must", "shall", "this", "that", "these", "those", "i", "me", "my",
+    "myself", "we", "our", "ours", "you", "your", "yours", "he", "him", "his", "she", "her", "hers", "it", "its",
+    "they", "them", "their", "what", "which", "who", "whom",
+]
 STOPWORDS = sorted({*STOPWORDS_DE, *STOPWORDS_EN})
 MAX_QUERY_TERMS = 12
 
@@ -130,11 +138,12 @@ def wiki_links(c: Column) -> Column:
 
 
 #: Section labels that are no concepts.
-FRAME_WORDS = (
-    "fixed added changed removed deprecated tests links wiki-links usage overview notes todo faq install installation setup config "
-    "configuration examples example roadmap changelog benchmarks deployment dependencies troubleshooting license contributing security "
-    "api references inhalt anhang quellen"
-).split() + ["wiki links"]
+FRAME_WORDS = [
+    "fixed", "added", "changed", "removed", "deprecated", "tests", "links", "wiki-links", "usage", "overview",
+    "notes", "todo", "faq", "install", "installation", "setup", "config", "configuration", "examples", "example",
+    "roadmap", "changelog", "benchmarks", "deployment", "dependencies", "troubleshooting", "license", "contributing",
+    "security", "api", "references", "inhalt", "anhang", "quellen", "wiki links",
+]
 
 
 def concepts(c: Column, most: int = 40) -> Column:

@@ -10,8 +10,9 @@ from ..functions import text as X
 
 POSTING = 400
 #: Words beside a value that say nothing about it.
-UNITS = "days? tag tage tagen hours? stunde stunden minutes? minute minuten weeks? woche wochen months? monat monate monaten years? jahr jahre jahren users? nutzer seats? uhr clock eur usd chf gbp euro euros dollar dollars percent prozent".split()
-FILLERS = "now jetzt nun new neu neue neuen ab since seit every jeden jede jeder also auch only nur still noch".split()
+UNITS = r"^(days?|tag|tage|tagen|hours?|stunde|stunden|minutes?|minute|minuten|weeks?|woche|wochen|months?|monat|monate|monaten|years?|jahr|jahre|jahren|users?|nutzer|seats?|uhr|clock|eur|usd|chf|gbp|euro|euros|dollar|dollars|percent|prozent)$"
+#: Words that fill a sentence.
+FILLERS = ["now", "jetzt", "nun", "new", "neu", "neue", "neuen", "ab", "since", "seit", "every", "jeden", "jede", "jeder", "also", "auch", "only", "nur", "still", "noch"]
 #: Kinds of values and their patterns.
 VALUES = (
     ("time", r"(?<![A-Za-z0-9_])(?:[01]?\d|2[0-3]):[0-5]\d(?![A-Za-z0-9_])"),
@@ -36,7 +37,7 @@ def sentences(content: Column) -> Column:
 def stems(sentence: Column) -> Column:
     """STR-19: five letters of each meaningful word, distinct."""
     words = F.regexp_extract_all(F.lower(sentence), F.lit(r"[a-zäöüß]{3,}"), F.lit(0))
-    real = F.filter(words, lambda w: ~w.isin(X.STOPWORDS) & ~w.isin(FILLERS) & ~w.rlike(f"^({'|'.join(UNITS)})$"))
+    real = F.filter(words, lambda w: ~w.isin(X.STOPWORDS) & ~w.isin(FILLERS) & ~w.rlike(UNITS))
     return F.array_distinct(F.transform(real, lambda w: F.substring(w, 1, 5)))
 
 
@@ -60,13 +61,19 @@ def _normal(kind: str, value: Column) -> Column:
     return number
 
 
+def comparable(notes: DataFrame, most: int | None = None) -> DataFrame:
+    """CON-02, SRC-24: live notes that nothing replaces, semantic or procedural, no later part of a divided file; the newest ``most``."""
+    rows = notes.where(F.col("deleted_at").isNull() & F.col("superseded_by").isNull() & F.col("type").isin("semantic", "procedural") & ~F.col("title").rlike(r"\s[—–-]\s\d+/([2-9]|\d{2,})$"))
+    return rows if most is None else rows.orderBy(F.desc("updated_at"), "id").limit(most)
+
+
 def facts(notes: DataFrame) -> DataFrame:
     """CON-01, CON-02: (id, title, updated_at, source, sentence, kind, value, norm, in_sentence, stems) of comparable notes.
 
     Comparable: live, not superseded, semantic or procedural, and no later part of a divided file. The last value of a
     range is no fact but counts as mentioned.
     """
-    rows = notes.where(F.col("deleted_at").isNull() & F.col("superseded_by").isNull() & F.col("type").isin("semantic", "procedural") & ~F.col("title").rlike(r"\s[—–-]\s\d+/([2-9]|\d{2,})$"))
+    rows = comparable(notes)
     source = F.regexp_extract("content", r"(?m)—\s*(?:Source|Quelle):\s*(\S[^\n]*)$", 1)
     each = rows.select("id", "title", "updated_at", F.when(source != "", F.trim(source)).alias("source"), F.posexplode(sentences(F.col("content"))).alias("n", "sentence"))
     each = each.where(F.col("sentence").rlike(r"\d"))

@@ -155,6 +155,32 @@ def group_window(groups: DataFrame, budget: int) -> DataFrame:
     return groups.withColumn("total", total).where((F.col("total") <= budget) | (F.col("rank") == 1))
 
 
+def list_groups(notes: DataFrame, mode: str, now_ms: int) -> DataFrame:
+    """CLS-08: (key, id): the groups of a list by file, topic (a note may be in several), type or period."""
+    from ..functions import classify as C
+    from ..functions import numbers as N
+    from ..functions import text as X
+
+    if mode == "file":
+        s = X.source_of(F.col("content"))
+        inbox = s["path"].startswith("inbox ")
+        key = F.when(s["kind"] == "none", "none").when(inbox, F.concat(F.lit("inbox:"), F.regexp_replace(s["path"], "^inbox ", ""))).otherwise(F.concat(s["kind"], F.lit(":"), s["path"]))
+    elif mode == "topic":
+        key = F.explode(C.topic_bucket(C.topics(F.col("title"), F.col("content"), C.carrier(F.coalesce("content", F.lit("")), F.col("tags"), F.lit(None).cast("string")))))
+    elif mode == "type":
+        key = F.concat(F.lit("type:"), F.coalesce("type", F.lit("semantic")))
+    elif mode == "period":
+        key = N.list_period(F.col("created_at"), now_ms)
+    else:
+        raise ValueError(f"groups are by file, topic, type or period: {mode!r}")
+    return notes.select(key.alias("key"), "id")
+
+
+def locale_order(c: Column, collation: str = "UNICODE") -> Column:
+    """SRT-06: the order of words in a dictionary: letters first, then accents, then letter case."""
+    return F.collate(c, collation)
+
+
 def age_page(notes: DataFrame, bucket: Column, wanted: str, limit: int = 20) -> DataFrame:
     """RPT-06: the newest notes of an age bucket and how many remain behind them."""
     rows = notes.where(bucket == wanted)

@@ -395,6 +395,11 @@ def entity_notes(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("entity").agg(F.array_sort(F.collect_set("memory_id")).alias("notes"))
 
 
+def totals(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """AGG-05: concepts and relations of the whole graph."""
+    return entities.agg(F.count("*").alias("nodes")).crossJoin(relations.agg(F.count("*").alias("edges")))
+
+
 def tally(edges: DataFrame) -> DataFrame:
     """GRA-23: real and similarity edges (real: a boolean)."""
     return edges.agg(F.count_if("real").alias("real"), F.count_if(~F.col("real")).alias("similar"))

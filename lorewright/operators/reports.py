@@ -155,6 +155,14 @@ def path_prefix(paths: DataFrame, share: float = 0.95) -> DataFrame:
     return held.where("all_ok").agg(F.concat(F.lit("/"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), "/")).alias("prefix"))
 
 
+def provenance_picture(notes: DataFrame) -> DataFrame:
+    """AGG-13: (provenance, n, available): where notes come from; available if there is more than one kind to tell apart."""
+    from ..functions.classify import provenance
+
+    kinds = notes.groupBy(provenance(F.col("tags")).alias("provenance")).agg(F.count("*").alias("n"))
+    return kinds.crossJoin(F.broadcast(kinds.agg((F.count("*") > 1).alias("available"))))
+
+
 def time_range(notes: DataFrame) -> DataFrame:
     """AGG-23."""
     start = F.coalesce(F.when(F.col("valid_from") > 0, F.col("valid_from")), F.when(F.col("created_at") > 0, F.col("created_at")), "updated_at")

@@ -26,6 +26,7 @@ _PATTERNS = (
 )
 #: Families of keys that masking keeps the head of.
 MASKS = (("sk-ant", r"\bsk-ant-[A-Za-z0-9_-]{16,}\b", 7), ("sk", r"\bsk-[A-Za-z0-9]{16,}\b", 3), ("ghp", r"\bghp_[A-Za-z0-9]{16,}\b", 4), ("xox", r"\bxox[baprs]-[A-Za-z0-9-]{8,}\b", 5), ("AKIA", r"\bAKIA[0-9A-Z]{12,}\b", 4))
+#: Names that a 64-digit key is assigned to.
 ASSIGNED = r'(?i)((?:api[_-]?key|apikey|auth[_-]?token|access[_-]?token|refresh[_-]?token|secret|passwort|password|schl[üu]ssel|key|token)"?\s*[:=]\s*["' + "'" + r"]?)([0-9a-f]{64})\b"
 
 

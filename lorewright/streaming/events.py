@@ -57,6 +57,37 @@ def incremental_index(stream: DataFrame, path: str, checkpoint: str) -> None:
     drained(stream, checkpoint, each)
 
 
+#: Types that keep their content beyond half a megabyte.
+LARGE_TYPES = ("md", "txt", "csv", "json", "html", "htm", "xml", "log", "eml", "rtf")
+
+
+def inbox(stream: DataFrame, path: str, checkpoint: str, size: int = 2000, most: int = 50_000) -> None:
+    """SRC-18, STM-02: files (name, size, text) of a watched folder become notes (title, content, tags), a folder for each batch.
+
+    Files above 20 MB, other types above 500 kB and empty ones are passed over. A text is cut in parts; a part is a
+    duplicate if a note of an earlier batch has its title and a content whose length differs by less than 20. A batch that
+    comes again is judged by the batches before it alone.
+    """
+    from ..functions import text as X
+    from ..sources.imports import parts
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        ending = F.lower(F.regexp_extract("name", r"\.([A-Za-z0-9]+)$", 1))
+        files = batch.where((F.col("size") <= 20_000_000) & (ending.isin(*LARGE_TYPES) | (F.col("size") <= 500_000)) & (F.trim("text") != ""))
+        cut = files.select("name", ending.alias("ending"), F.regexp_replace("name", r"\.[^.]*$", "").alias("base"), parts(F.substring("text", 1, most), size).alias("parts"))
+        each_part = cut.select("name", "ending", "base", F.size("parts").alias("n"), F.posexplode("parts").alias("i", "part"))
+        title = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" — Teil "), F.col("i") + 1, F.lit("/"), "n"))
+        content = F.concat(X.sanitize_text(F.col("part"), most), F.lit("\n\n— Source: inbox "), "name")
+        new = each_part.select(X.sanitize_title(title).alias("title"), content.alias("content"), F.array(F.lit("auto-import"), F.lit("inbox"), "ending").alias("tags"))
+        if batch_id:
+            before = batch.sparkSession.read.schema("title string, content string, tags array<string>").parquet(*[f"{path}/v{i}" for i in range(batch_id)])
+            old = before.select("title", F.length("content").alias("__length")).distinct()
+            new = new.join(old, (new.title == old.title) & (F.abs(F.length(new.content) - old["__length"]) < 20), "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+
+    drained(stream, checkpoint, each)
+
+
 def throttle(stream: DataFrame, quiet_ms: int = 2500) -> DataFrame:
     """STM-04: events (key, at, ...): for each key only those ``quiet_ms`` or more after the last one let through."""
 
