@@ -50,9 +50,10 @@ def retention(last_access_at: Column, access_count: Column, utility: Column, now
     return RETENTION_FLOOR + (1 - RETENTION_FLOOR) * F.exp(-days / tau)
 
 
-def signature_length(n: Column, threshold: float, most: int = 32) -> Column:
-    """MTH-08: tokens of a prefix that a similar set must hit."""
-    return F.when(n <= 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(most), n - F.ceil(F.lit(threshold) * n) + 1))).cast("int")
+def signature_length(n: Column, threshold: float, most: int | None = 32) -> Column:
+    """MTH-08: tokens of a prefix that a similar set must hit; with ``most`` no more than that, which can miss some."""
+    whole = n - F.ceil(F.lit(threshold) * n) + 1
+    return F.when(n <= 0, 0).otherwise(F.greatest(F.lit(1), whole if most is None else F.least(F.lit(most), whole))).cast("int")
 
 
 def luhn(digits: Column) -> Column:

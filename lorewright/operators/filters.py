@@ -70,7 +70,7 @@ def team_access(rows: DataFrame, roles: DataFrame | None, default_role: str = "v
     team = F.col("scope").startswith("team:")
     if roles is None:
         return rows.withColumn("can_read", ~team).withColumn("can_write", ~team)
-    known = rows.join(F.broadcast(roles.select("actor", "role")), "actor", "left").withColumn("role", F.coalesce("role", F.lit(default_role)))
+    known = rows.join(roles.select("actor", "role"), "actor", "left").withColumn("role", F.coalesce("role", F.lit(default_role)))
     return known.withColumn("can_read", F.lit(True)).withColumn("can_write", ~team | F.col("role").isin("admin", "member"))
 
 

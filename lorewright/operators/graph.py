@@ -219,12 +219,14 @@ def _louvain(edges: list[tuple[str, str, float]], levels: int = 12, sweeps: int
     return {n: member[i] for i, n in enumerate(names)}
 
 
-def communities(weights: DataFrame) -> DataFrame:
+def communities(weights: DataFrame, most: int = WINDOW_NODES * WINDOW_NODES) -> DataFrame:
     """GRA-08: (node, community, size): Louvain over a drawn window of the graph, which the window's bound keeps small.
 
-    Sequential by nature, so it is one task; :func:`propagate` is the form for whole graphs. Communities are numbered by
-    size, then by their first node.
+    Sequential by nature, so it is one task; :func:`propagate` is the form for whole graphs. More than ``most`` edges are an
+    error. Communities are numbered by size, then by their first node.
     """
+    if weights.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} edges: take a window of the graph, or propagate")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part = _louvain([(str(a), str(b), float(w)) for a, b, w in rows[["a", "b", "w"]].itertuples(index=False)])
@@ -318,7 +320,7 @@ def hierarchy(notes: DataFrame, mentions: DataFrame) -> DataFrame:
     """GRA-14: (id, path): root, type, the first concept by name or else the rarest tag, note."""
     concept = mentions.groupBy("memory_id").agg(F.min("entity").alias("concept")).withColumnRenamed("memory_id", "id")
     each = notes.select("id", F.explode(F.array_distinct("tags")).alias("tag"))
-    rare = each.join(F.broadcast(each.groupBy("tag").agg(F.count("*").alias("n"))), "tag").groupBy("id").agg(F.min(F.struct("n", "tag"))["tag"].alias("tag"))
+    rare = each.join(each.groupBy("tag").agg(F.count("*").alias("n")), "tag").groupBy("id").agg(F.min(F.struct("n", "tag"))["tag"].alias("tag"))
     rows = notes.select("id", "type").join(concept, "id", "left").join(rare, "id", "left")
     return rows.select("id", F.concat_ws("/", F.lit("root"), "type", F.coalesce("concept", "tag", F.lit("-")), "id").alias("path"))
 

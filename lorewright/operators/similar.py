@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..store import written
 from .joins import components
 
-NEAR, MIN_CONTENT, MIN_RATIO, MAX_BUCKET, MAX_NEAR_GROUP = 0.85, 80, 0.5, 120, 12
+NEAR, MIN_CONTENT, MIN_RATIO, MAX_NEAR_GROUP = 0.85, 80, 0.5, 12
 COSINE = 0.92
 
 
@@ -31,26 +31,32 @@ def same_content(notes: DataFrame) -> DataFrame:
     return _star(rows, "k", "identical-content")
 
 
-def near_content(notes: DataFrame, threshold: float = NEAR, bucket: int = MAX_BUCKET, dismissed: DataFrame | None = None) -> DataFrame:
-    """SIM-05: pairs whose word-pair sets have a Jaccard similarity above ``threshold``, by prefix filter.
+def near_content(notes: DataFrame, threshold: float = NEAR, dismissed: DataFrame | None = None) -> DataFrame:
+    """SIM-05: links (a, b, reason, similarity) of notes whose word-pair sets have a Jaccard similarity above ``threshold``.
 
-    Each note stands under its rarest shingles only, as many as any similar note must share one of, but 32 at most, so
-    pairs of long texts can be missed; shingles that more than ``bucket`` notes stand under are passed over. Both as in
-    the engine's own rule. Candidates are then compared whole.
+    Notes with the same set and the same length are one class: each is linked to the smallest id of its class, and classes
+    are compared by that one; so copies are not expanded into all pairs, and no link between different texts is lost. Each
+    class stands under its rarest shingles, as many as any similar one must share one of; pairs that meet there and whose
+    sizes allow it are compared whole. Shingles are 64-bit hashes; those of a single note are counted but never joined.
     """
-    rows = notes.where(F.length("content") >= MIN_CONTENT).select("id", F.length("content").alias("len"), X.shingles(F.col("title"), F.col("content")).alias("s")).withColumn("n", F.size("s"))
+    text = notes.where(F.length("content") >= MIN_CONTENT)
+    hashed = F.array_sort(F.transform(X.shingles(F.col("title"), F.col("content")), lambda t: F.xxhash64(t)))
+    every = written(text.select("id", F.length("content").alias("len"), hashed.alias("s")).withColumn("k", F.xxhash64("s", "len")))
+    first = every.groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    copies = every.select("id", "k").join(first.where("copies > 1").select("k", F.col("id").alias("a")), "k").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    rows = written(every.join(first.select("id"), "id", "left_semi").select("id", "len", F.size("s").alias("n"), "s"))
     each = rows.select("id", "n", F.explode("s").alias("t"))
-    df = each.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "t").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
-    prefix = ranked.where(F.col("r") <= N.signature_length(F.col("n"), threshold)).select("id", "t")
-    held = prefix.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c").between(2, bucket)).select("t")
-    prefix = prefix.join(held, "t")
-    a, b = prefix.select(F.col("id").alias("a"), "t"), prefix.select(F.col("id").alias("b"), "t")
-    pairs = a.join(b, "t").where("a < b").select("a", "b").distinct()
-    left, right = rows.select(F.col("id").alias("a"), F.col("len").alias("la"), F.col("s").alias("sa")), rows.select(F.col("id").alias("b"), F.col("len").alias("lb"), F.col("s").alias("sb"))
-    out = pairs.join(left, "a").join(right, "b").where(F.least("la", "lb") / F.greatest("la", "lb") >= MIN_RATIO)
-    out = out.withColumn("similarity", N.jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") > threshold)
-    out = out.select("a", "b", F.lit("near-identical").alias("reason"), "similarity")
+    df = each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    held = each.join(df, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("held"))
+    # shingles that no other class has are the rarest, so they come first in the prefix
+    left = N.signature_length(F.col("n"), threshold, None) - (F.col("n") - F.size("held"))
+    prefix = held.where(left > 0).select("id", "n", F.explode(F.transform(F.slice("held", F.lit(1), left), lambda x: x["t"])).alias("t"))
+    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
+    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    one, other = rows.select(F.col("id").alias("a"), F.col("len").alias("la"), F.col("s").alias("sa")), rows.select(F.col("id").alias("b"), F.col("len").alias("lb"), F.col("s").alias("sb"))
+    out = pairs.join(one, "a").join(other, "b").where(F.least("la", "lb") / F.greatest("la", "lb") >= MIN_RATIO)
+    out = out.select("a", "b", N.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") > threshold)
+    out = out.unionByName(copies).select("a", "b", F.lit("near-identical").alias("reason"), "similarity")
     return without(out, dismissed)
 
 
@@ -70,7 +76,8 @@ def duplicate_groups(notes: DataFrame, threshold: float = NEAR, dismissed: DataF
     """
     near = written(near_content(notes, threshold, dismissed=dismissed))
     chains = components(near.select("a", "b"))
-    small = chains.withColumn("n", F.count("*").over(Window.partitionBy("root"))).where(F.col("n") <= largest_near).select(F.col("node").alias("a"))
+    sizes = chains.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= largest_near)
+    small = chains.join(sizes, "root", "left_semi").select(F.col("node").alias("a"))
     links = written(without(same_title(notes), dismissed).unionByName(without(same_content(notes), dismissed)).unionByName(near.join(small, "a", "left_semi")))
     member = written(components(links.select("a", "b")))
     rank = F.when(F.col("reason") == "identical-title", 0).when(F.col("reason") == "identical-content", 1).otherwise(2)
@@ -88,15 +95,21 @@ def redundant(groups: DataFrame) -> DataFrame:
 def title_tag_pairs(notes: DataFrame, overlap: float = 0.85, tag_jaccard: float = 0.5) -> DataFrame:
     """SIM-02, JOI-12: pairs whose title words overlap and whose tags agree (or are missing on one side).
 
-    The inverted index meets each pair at its shared title words; sums over it give the overlap, so nothing is compared
-    that shares no word.
+    The smaller set of a pair must share one of its rarest words with the other, so only those few meet the inverted index
+    of all words; a word of every title is joined only for titles that have nothing rarer.
     """
     words = F.array_distinct(F.filter(F.split(F.lower("title"), r"[^A-Za-z0-9_]+"), lambda w: F.length(w) > 2))
     rows = notes.select("id", words.alias("w"), F.array_distinct("tags").alias("tags")).where(F.size("w") > 0)
     each = rows.select("id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    a, b = each.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), each.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    shared = a.join(b, "t").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    near = shared.withColumn("overlap", F.col("c") / F.least("na", "nb")).where(F.col("overlap") >= overlap)
+    df = each.groupBy("t").agg(F.count("*").alias("df"))
+    held = each.join(df.where("df > 1"), "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("held"))
+    left = N.signature_length(F.col("n"), overlap, None) - (F.col("n") - F.size("held"))
+    rare = held.where(left > 0).select(F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(F.transform(F.slice("held", F.lit(1), left), lambda v: v["t"])).alias("t"))
+    met = rare.join(each.select(F.col("id").alias("y"), F.col("n").alias("ny"), "t"), "t").where("nx < ny OR (nx = ny AND x <> y)")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    w = rows.select("id", "w")
+    both = pairs.join(w.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(w.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
+    near = both.select("a", "b", N.overlap(F.col("wa"), F.col("wb")).alias("overlap")).where(F.col("overlap") >= overlap)
     tags = rows.select("id", "tags")
     near = near.join(tags.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a").join(tags.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
     agree = (F.size("ta") == 0) | (F.size("tb") == 0) | (N.jaccard(F.col("ta"), F.col("tb")) >= tag_jaccard)
@@ -106,9 +119,10 @@ def title_tag_pairs(notes: DataFrame, overlap: float = 0.85, tag_jaccard: float
 def centroids(chunks: DataFrame) -> DataFrame:
     """ARR-02: unit mean vector of each note's chunks within its first model (by name)."""
     first = chunks.groupBy("memory_id").agg(F.min("model").alias("model"))
-    dims = chunks.join(first, ["memory_id", "model"]).select("memory_id", "model", F.posexplode("embedding").alias("i", "v"))
-    mean = dims.groupBy("memory_id", "model", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    ordered = mean.groupBy("memory_id", "model").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("c"))
+    mine = chunks.join(first, ["memory_id", "model"]).groupBy("memory_id", "model").agg(F.collect_list("embedding").alias("v"))  # a note has few chunks
+    zero = F.transform(F.get("v", 0), lambda x: F.lit(0.0))
+    total = F.aggregate("v", zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    ordered = mine.select("memory_id", "model", F.transform(total, lambda x: x / F.size("v")).alias("c"))
     return ordered.withColumn("norm", N.norm(F.col("c"))).where("norm > 0").select(F.col("memory_id").alias("id"), "model", F.transform("c", lambda x: x / F.col("norm")).alias("c"))
 
 

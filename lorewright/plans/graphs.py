@@ -261,12 +261,10 @@ def _star_sql(rows: str, reason: str) -> str:
 
 
 _NEAR = f"""
-sh AS (SELECT id, len(content) AS len, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM (SELECT id, content, {_CW} AS w FROM live WHERE len(content) >= 80)),
-ex AS (SELECT id, len(s) AS n, unnest(s) AS t FROM sh), dfs AS (SELECT t, count(*) AS df FROM ex GROUP BY t),
-pre AS (SELECT id, t FROM (SELECT id, t, n, row_number() OVER (PARTITION BY id ORDER BY df, t) AS r FROM ex JOIN dfs USING (t)) WHERE r <= greatest(1, least(32, n - ceil(0.85::DOUBLE * n) + 1))),
-held AS (SELECT t FROM pre GROUP BY t HAVING count(*) BETWEEN 2 AND 120),
-cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM pre x JOIN pre y ON x.t = y.t AND x.id < y.id WHERE x.t IN (SELECT t FROM held)),
-near AS (SELECT a, b, i / (len(sa) + len(sb) - i) AS similarity FROM (SELECT a, b, x.s AS sa, y.s AS sb, len(list_intersect(x.s, y.s)) AS i FROM cand JOIN sh x ON a = x.id JOIN sh y ON b = y.id WHERE least(x.len, y.len) / greatest(x.len, y.len) >= 0.5) WHERE i / (len(sa) + len(sb) - i) > 0.85)"""
+sh AS (SELECT id, len(content) AS len, list_sort(list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s FROM (SELECT id, content, {_CW} AS w FROM live WHERE len(content) >= 80)),
+cls AS (SELECT *, min(id) OVER (PARTITION BY s, len) AS rep FROM sh), ex AS (SELECT id, len, len(s) AS n, unnest(s) AS t FROM cls WHERE id = rep),
+sharing AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, x.len AS la, y.len AS lb, count(*) AS i FROM ex x JOIN ex y ON x.t = y.t AND x.id < y.id AND least(x.n, y.n) > 0.85::DOUBLE * greatest(x.n, y.n) GROUP BY ALL),
+near AS MATERIALIZED (SELECT a, b, i / (na + nb - i) AS similarity FROM sharing WHERE i / (na + nb - i) > 0.85 AND least(la, lb) / greatest(la, lb) >= 0.5 UNION ALL SELECT rep, id, 1 FROM cls WHERE id <> rep)"""
 
 
 def _reach(name: str, edges: str) -> str:

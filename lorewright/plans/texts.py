@@ -159,7 +159,7 @@ def cls_rarest_tag(n: DataFrame) -> DataFrame:
     """CLS-07: each note's rarest tag, ties by name."""
     each = n.select("id", F.explode(F.array_distinct("tags")).alias("tag"))
     counts = each.groupBy("tag").agg(F.count("*").alias("n"))
-    return each.join(F.broadcast(counts), "tag").groupBy("id").agg(F.min(F.struct("n", "tag")).alias("m")).select("id", F.col("m.tag").alias("tag"))
+    return each.join(counts, "tag").groupBy("id").agg(F.min(F.struct("n", "tag")).alias("m")).select("id", F.col("m.tag").alias("tag"))
 
 
 @_note

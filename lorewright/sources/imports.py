@@ -109,10 +109,11 @@ def conversation_notes(turns: DataFrame, most: int = 12_000) -> DataFrame:
     return rows.where("turns >= 2 AND answers >= 1").select("conv_id", X.title_of(F.col("first")).alias("title"), F.array_join(F.transform("t", lambda x: x["line"]), "\n\n").alias("content"), "turns")
 
 
-def active_branch(messages: DataFrame, current: DataFrame, depth: int = 1000) -> DataFrame:
+def active_branch(messages: DataFrame, current: DataFrame, depth: int = 1 << 30) -> DataFrame:
     """SRC-12: messages (conv_id, id, parent, role, text) on the way from each conversation's current node to its root, with their turn.
 
-    The chain of a tree is walked by doubling: after k rounds a node knows its ancestor 2^k steps up, so long chains take few joins.
+    The chain of a tree is walked by doubling: after k rounds a node knows its ancestor 2^k steps up, so long chains take few joins. It ends where no chain
+    goes on; ``depth`` only stops chains that go round.
     """
     up = messages.select("conv_id", "id", "parent")
     path = current.select("conv_id", F.col("current").alias("id"), F.lit(0).cast("long").alias("back"))
