@@ -62,7 +62,7 @@ def _normal(kind: str, value: Column) -> Column:
 
 
 def comparable(notes: DataFrame, most: int | None = None) -> DataFrame:
-    """CON-02, SRC-24: live notes that nothing replaces, semantic or procedural, no later part of a divided file; the newest ``most``."""
+    """CON-02, SRC-24: live notes that nothing replaces, semantic or procedural, no part of a divided file; the newest ``most``."""
     rows = notes.where(F.col("deleted_at").isNull() & F.col("superseded_by").isNull() & F.col("type").isin("semantic", "procedural") & ~F.col("title").rlike(r"\s[—–-]\s\d+/([2-9]|\d{2,})$"))
     return rows if most is None else rows.orderBy(F.desc("updated_at"), "id").limit(most)
 

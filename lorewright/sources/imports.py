@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..store import written
 
 _FRONT = T.StructType([T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("lists", T.MapType(T.StringType(), T.ArrayType(T.StringType()))), T.StructField("body", T.StringType())])
 
@@ -117,15 +118,15 @@ def active_branch(messages: DataFrame, current: DataFrame, depth: int = 1 << 30)
     """
     up = messages.select("conv_id", "id", "parent")
     path = current.select("conv_id", F.col("current").alias("id"), F.lit(0).cast("long").alias("back"))
-    hop = up.select("conv_id", F.col("id").alias("x"), F.col("parent").alias("y")).where("y IS NOT NULL")
+    hop = written(up.select("conv_id", F.col("id").alias("x"), F.col("parent").alias("y")).where("y IS NOT NULL"))
     step = 1
     while step < depth:
         reach = path.join(hop.select("conv_id", F.col("x").alias("id"), "y"), ["conv_id", "id"]).select("conv_id", F.col("y").alias("id"), (F.col("back") + step).alias("back"))
-        path = path.unionByName(reach).distinct()
-        following = hop.select("conv_id", "x", F.col("y").alias("m")).join(hop.select("conv_id", F.col("x").alias("m"), "y"), ["conv_id", "m"]).select("conv_id", "x", "y")
-        if following.isEmpty():
+        path = written(path.unionByName(reach).distinct())
+        # two hops of one step are one of the next; both tables are written, else each round would hold all plans before it
+        hop = written(hop.select("conv_id", "x", F.col("y").alias("m")).join(hop.select("conv_id", F.col("x").alias("m"), "y"), ["conv_id", "m"]).select("conv_id", "x", "y"))
+        if hop.isEmpty():
             break
-        hop = following
         step *= 2
     w = Window.partitionBy("conv_id").orderBy(F.desc("back"))
     return path.join(messages, ["conv_id", "id"]).withColumn("turn", F.row_number().over(w) - 1).select("conv_id", "turn", "role", "text")
