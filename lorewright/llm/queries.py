@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, media, mixing, neardup, quality, rollup, sharding, substrings
+from . import decontaminate, language, licenses, media, mixing, neardup, negatives, packing, periodic, quality, rollup, sharding, substrings
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_token_counts": rollup.op9_token_counts,
     "op10_sharding": sharding.op10_sharding,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_packing": packing.op12_packing,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLE = {
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
