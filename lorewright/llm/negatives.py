@@ -271,7 +271,8 @@ def mine_negatives(rows: DataFrame, anchors: DataFrame, *, positives: int = POSI
         everyone = np.arange(n)
         owner, score, ids = _two_rounds(lists, centers, here, np.full(n, _NONE), np.full(n, ceiling), everyone, positives, True, near)
         # 100 * negative between low and high times the positive; a whole number between the rounded bounds
-        least, most = -(-low * score // 100), high * score // 100
+        whole, rest = np.divmod(score, 100)  # scores may be large
+        least, most = low * whole - (-low * rest // 100), high * whole + high * rest // 100
         slot, found, negative = _two_rounds(lists, centers, here, least, most, owner, negatives, False, near)
         rank = np.arange(len(slot)) - np.searchsorted(slot, slot) + 1
         columns = [here["vec_id"][owner[slot]], ids[slot], rank.astype(np.int32), negative, score[slot], found]
