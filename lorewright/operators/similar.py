@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
 from ..store import written
+from .cells import cosine_pairs  # noqa: F401  SIM-01, JOI-13 are part of this module's operators
 from .joins import components, join_counted
 
 NEAR, MIN_CONTENT, MIN_RATIO, MAX_NEAR_GROUP = 0.85, 80, 0.5, 12
@@ -129,58 +128,6 @@ def centroids(chunks: DataFrame) -> DataFrame:
     return ordered.withColumn("norm", N.norm(F.col("c"))).where("norm > 0").select(F.col("memory_id").alias("id"), "model", F.transform("c", lambda x: x / F.col("norm")).alias("c"))
 
 
-def _close(threshold: float):
-    """Pairs of two blocks (side 0 and 1) of unit vectors, or of one block with itself, by one matrix product."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right = rows[rows.side == 0], rows[rows.side == 1]
-        if len(right):
-            product = np.stack(left.c.to_numpy()) @ np.stack(right.c.to_numpy()).T if len(left) else np.zeros((0, len(right)))
-        else:
-            right = left
-            m = np.stack(left.c.to_numpy())
-            product = np.triu(m @ m.T + 2.0, 1) - 2.0  # each pair once: what is below the diagonal is too small
-        i, j = np.nonzero(product >= threshold)
-        x, y = left.id.to_numpy()[i], right.id.to_numpy()[j]
-        first = x < y
-        return pd.DataFrame({"a": np.where(first, x, y), "b": np.where(first, y, x), "model": rows.model.iloc[0], "cosine": product[i, j]})
-
-    return run
-
-
-def cosine_pairs(vectors: DataFrame, threshold: float = COSINE, block: int = 4096) -> DataFrame:
-    """SIM-01, JOI-13: pairs of unit vectors (id, model, c) of one model with a cosine of ``threshold`` or more.
-
-    Two unit vectors that close differ by at most r = sqrt(2 - 2 * threshold) along any unit direction, so each meets only
-    those whose projection on a fixed one is in its own band of width r or a neighbouring one. Bands are divided into blocks
-    of about ``block`` vectors, and pairs of blocks are compared as matrices, which bounds what a task holds. Exact.
-    """
-    r = max((2 - 2 * threshold) ** 0.5, 1e-6)
-    along = F.aggregate("c", F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.size("c"))
-    rows = written(vectors.select("id", "model", F.transform("c", lambda x: x.cast("double")).alias("c"), F.floor(along / r).alias("x")))
-    bands = written(rows.groupBy("model", "x").agg(F.ceil(F.count("*") / block).alias("m")))
-    near = [bands.select("model", (F.col("x") + step).alias("x"), F.col("m").alias(name)) for step, name in ((0, "m"), (-1, "above"), (1, "below"))]
-    dealt = rows
-    for side in near:
-        dealt = dealt.join(side, ["model", "x"], "left")
-    dealt = dealt.withColumn("i", F.pmod(F.xxhash64("id"), F.col("m")))
-
-    def blocks(count: str, key) -> Column:
-        """Keys (lower band, its block, upper band, its block) and the vector's side, with each block of a band."""
-        each = F.transform(F.sequence(F.lit(0).cast("bigint"), F.coalesce(count, F.lit(0).cast("bigint"))), key)
-        return F.filter(each, lambda k: k["j"] < F.coalesce(count, F.lit(0)))
-
-    def pair(xa: Column, ia: Column, xb: Column, ib: Column, side: Column, j: Column) -> Column:
-        return F.struct(xa.alias("xa"), ia.alias("ia"), xb.alias("xb"), ib.alias("ib"), side.cast("int").alias("side"), j.alias("j"))
-
-    x, i = F.col("x"), F.col("i")
-    own = blocks("m", lambda j: pair(x, F.least(i, j), x, F.greatest(i, j), i > j, j))
-    up = blocks("above", lambda j: pair(x, i, x + 1, j, F.lit(0), j))
-    down = blocks("below", lambda j: pair(x - 1, j, x, i, F.lit(1), j))
-    met = dealt.select("id", "model", "c", F.explode(F.concat(own, up, down)).alias("k")).select("id", "model", "c", "k.xa", "k.ia", "k.xb", "k.ib", "k.side")
-    return met.groupBy("model", "xa", "ia", "xb", "ib").applyInPandas(_close(threshold), "a string, b string, model string, cosine double")
-
-
 def keep_choice(pairs: DataFrame, notes: DataFrame) -> DataFrame:
     """SIM-03: (keep_id, duplicate_id): the newer and longer note of a pair; at a tie the first."""
     weight = notes.select("id", (F.col("updated_at") + 1000 * F.length("content")).alias("w"))

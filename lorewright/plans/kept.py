@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import search as S
 from ..operators.deltaindex import new_index
-from ..sources.tables import NOTES_SQL, notes
-from .retrieval import BM25_SQL, TERMS
+from ..sources.tables import NOTES_SQL, active, notes, vector_cells
+from .retrieval import BM25_SQL, ORACLE as RETRIEVAL, TERMS, query_vector
 
 _REVISED = " revised widget license"
 
@@ -32,9 +32,15 @@ def delta_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.bm25(rows, TERMS, index=index).select("id", F.round("bm25", 9).alias("bm25"), "matched")
 
 
+def vector_cells_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET-04: the vector leg, from the cells that can hold a row of it."""
+    rows, _ = vector_cells(spark, sf_dir).leg(query_vector(spark, sf_dir), "m0", active(notes(spark, sf_dir)))
+    return rows.select("id", F.round("similarity", 6).alias("similarity"))
+
+
 _CHANGED = f"""{NOTES_SQL.replace('notes AS (', 'loaded AS (', 1)},
 titled AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 1 THEN title || '{_REVISED}' ELSE title END AS title) FROM loaded WHERE doc_id % 7 <> 3),
 notes AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 4 THEN title ELSE content END AS content) FROM titled)"""
 
-QUERIES = {"stm_delta_index": delta_index}
-ORACLE = {"stm_delta_index": f"WITH {_CHANGED}, {BM25_SQL} SELECT id, round(bm25, 9) AS bm25, matched FROM bm"}
+QUERIES = {"stm_delta_index": delta_index, "ret_vector_cells": vector_cells_band}
+ORACLE = {"stm_delta_index": f"WITH {_CHANGED}, {BM25_SQL} SELECT id, round(bm25, 9) AS bm25, matched FROM bm", "ret_vector_cells": RETRIEVAL["ret_vector_band"]}

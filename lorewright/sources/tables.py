@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cells import VectorCells
 from ..operators.index import WeightIndex, WordIndex
 from ..store import scratch
 
@@ -53,12 +54,14 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDEXES: dict[tuple, object] = {}
 
 
-def kept_index(spark: SparkSession, sf_dir: str, kind: str, build):
-    """The index ``build(path)`` over the notes of a folder, built once for each state of its files and kept in the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    status = fs.getFileStatus(path)
-    files = fs.listStatus(path) if status.isDirectory() else [status]
+def kept_index(spark: SparkSession, sf_dir: str, kind: str, build, tables: tuple[str, ...] = ("documents",)):
+    """The index ``build(path)`` over tables of a folder, built once for each state of their files and kept in the shared folder."""
+    files = []
+    for name in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        status = fs.getFileStatus(path)
+        files += fs.listStatus(path) if status.isDirectory() else [status]
     state = tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
     key = (spark.sparkContext.applicationId, kind, state)
     if key not in _INDEXES:
@@ -74,6 +77,10 @@ def weight_index(spark: SparkSession, sf_dir: str) -> WeightIndex:
     return kept_index(spark, sf_dir, "weights", lambda path: WeightIndex.keep(active(notes(spark, sf_dir)), path))
 
 
+def vector_cells(spark: SparkSession, sf_dir: str) -> VectorCells:
+    return kept_index(spark, sf_dir, "cells", lambda path: VectorCells.keep(chunks(spark, sf_dir), path), ("documents", "embeddings"))
+
+
 def active(rows: DataFrame) -> DataFrame:
     return rows.where("deleted_at IS NULL")
 

@@ -3,6 +3,10 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
+from lorewright.operators import cells
 from lorewright.operators import search as S
 from lorewright.operators.deltaindex import DeltaIndex, delta_index
 from lorewright.operators.index import WordIndex
@@ -86,3 +90,51 @@ def test_a_stream_of_changes(spark, tmp_path):
     notes = spark.createDataFrame(now(done), "id string, title string, content string, tags array<string>, deleted_at long")
     index = DeltaIndex(spark, str(tmp_path / "index"))
     assert answers(index, notes) == answers(WordIndex(notes), notes)
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_close_vectors_of_many_dimensions_meet_their_cluster_alone(spark):
+    rng = np.random.default_rng(1)
+    v = unit(unit(rng.normal(size=(150, 256)))[rng.integers(0, 150, 3000)] + 0.01 * rng.normal(size=(3000, 256)))
+    df = spark.createDataFrame([(f"v{i:04d}", "m0", x.tolist()) for i, x in enumerate(v)], "id string, model string, c array<double>")
+    cos = v @ v.T
+    expected = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(np.triu(cos >= 0.92, 1)), strict=True)}
+    assert len(expected) > 10_000
+    assert {(r.a, r.b) for r in cells.cosine_pairs(df, 0.92, 32).collect()} == expected
+    blocks = cells.meetings(df, 0.92, 32).groupBy("model", "cell", "kind", "p", "q").pivot("side", [0, 1]).count().fillna(0).collect()
+    compared = sum(b["0"] * (b["0"] - 1) // 2 if b.kind == 0 and b.p == b.q else b["0"] * b["1"] for b in blocks)
+    print("share of pairs compared", compared / (3000 * 2999 / 2))
+    assert compared < 0.012 * 3000 * 2999 / 2  # pairs of one cluster alone are 0.7 %
+
+
+def test_a_center_with_no_row_and_a_block_with_none_do_no_harm(spark):
+    v = np.repeat(np.eye(4), 9, axis=0)
+    df = spark.createDataFrame([(f"v{i:02d}", "m0", x.tolist()) for i, x in enumerate(v)], "id string, model string, c array<double>")
+    expected = {(f"v{i:02d}", f"v{j:02d}") for i in range(36) for j in range(i + 1, 36) if i // 9 == j // 9}
+    for block in (1, 3, 100):
+        got = [(r.a, r.b) for r in cells.cosine_pairs(df, 0.99, block).collect()]
+        assert len(got) == len(expected)
+        assert set(got) == expected
+
+
+@pytest.mark.parametrize("spread", [0.02, 2.0])
+def test_the_leg_of_cells_is_that_of_all_vectors(spark, tmp_path, spread):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(20, 32))[rng.integers(0, 20, 1200)] + spread * rng.normal(size=(1200, 32))
+    rows = [(f"n{i % 900}", i // 900, x.tolist(), f"m{i % 2}") for i, x in enumerate(v)]
+    rows += [("zero", 0, [0.0] * 32, "m0"), ("none", 0, None, "m0")]
+    chunks = spark.createDataFrame(rows, "memory_id string, seq int, embedding array<float>, model string")
+    kept = cells.VectorCells.keep(chunks, str(tmp_path / "cells"), 16)
+    live = spark.createDataFrame([(f"n{i}",) for i in range(0, 900, 3)], "id string")
+    for query in (v[0], v[7] + v[9], -v[3], rng.normal(size=32)):
+        for keep in (None, live):
+            got, share = kept.leg(query.tolist(), "m0", keep)
+            expected = S.vector_leg(chunks, query.tolist(), "m0", keep).where("similarity IS NOT NULL")
+            assert sorted((r.id, round(r.similarity, 9)) for r in got.collect()) == sorted((r.id, round(r.similarity, 9)) for r in expected.collect())
+    got, share = kept.leg(v[0].tolist(), "m0")
+    assert share < 0.2 if spread < 1 else share <= 1
+    assert kept.leg([0.0] * 32, "m0")[0].count() == S.vector_leg(chunks, [0.0] * 32, "m0").where("similarity IS NOT NULL").count()
+    assert kept.leg([1.0] * 32, "absent")[0].count() == 0
