@@ -3,7 +3,8 @@
 Each batch of changes is a run: the postings of the notes it puts, an entry for each note that it puts or drops (an entry
 without a length is a tombstone), and its numbers as signed deltas. A posting counts if no later run has an entry for its
 note. Runs are named by the first and the last batch in them; a run is there once its numbers are, which are written last,
-so a batch that was cut off leaves nothing and one that comes again changes nothing. :meth:`DeltaIndex.compact` merges
+so a batch that was cut off leaves nothing and one that comes again changes nothing. A batch is not shuffled: each task
+counts, sorts and writes the postings of its notes, in folders of term buckets. :meth:`DeltaIndex.compact` merges
 neighbouring runs of like size, so there are few runs and each posting is written again a logarithmic number of times.
 """
 
@@ -14,8 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..store import removed, scratch, written
-from .index import _kept, _of_terms, folded, postings
+from .index import _kept, _of_terms, bucket_of, folded
 
 _POSTINGS = "term string, id string, length int, live boolean, tf long, bucket int"
 _ENTRIES = "id string, length int"
@@ -31,6 +33,17 @@ class Run:
     path: str
 
 
+def _counted(notes: DataFrame) -> DataFrame:
+    """Postings of notes (id, live, tokens: sorted), counted in each note's own row: equal tokens stand side by side."""
+    t = F.col("tokens")
+    places = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    runs = notes.where(t.isNotNull()).select("id", "live", "tokens", F.size(t).alias("length"), starts.alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array("length"))
+    each = F.zip_with("starts", ends, lambda a, b: F.struct(F.get("tokens", a).alias("term"), (b - a).cast("bigint").alias("tf")))
+    return runs.select("id", "live", "length", F.explode(F.when(F.col("length") > 0, each)).alias("p")).select("p.term", "id", "length", "live", "p.tf")
+
+
 class DeltaIndex:
     """An index below a folder; it answers what a :class:`.index.WordIndex` answers. One writer at a time, any number of readers."""
 
@@ -69,9 +82,14 @@ class DeltaIndex:
     def _newest(entries: DataFrame) -> DataFrame:
         return entries.groupBy("id").agg(F.max_by("length", "run").alias("length"))
 
-    def _commit(self, run: Run, rows: DataFrame, entries: DataFrame, numbers: DataFrame) -> None:
+    def _commit(self, run: Run, rows: DataFrame, entries: DataFrame, numbers: DataFrame, flush: bool = False) -> None:
+        """``flush``: each task sorts and writes its own postings; a merge shuffles them, so that a term has few files."""
         removed(self.spark, run.path)  # what a try that was cut off has left
-        _kept(rows, f"{run.path}/postings")
+        if flush:
+            dealt = rows.withColumn("bucket", bucket_of(F.col("term"))).sortWithinPartitions("bucket", "term", "id")
+            dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{run.path}/postings")
+        else:
+            _kept(rows, f"{run.path}/postings")
         entries.select("id", F.col("length").cast("int").alias("length")).write.parquet(f"{run.path}/entries")
         many = self._postings(run).agg(F.count("*").alias("postings"))
         numbers.select("docs", "length").crossJoin(many).coalesce(1).write.parquet(f"{run.path}/numbers")  # a single row
@@ -94,16 +112,15 @@ class DeltaIndex:
         if "seq" in rows.columns:
             last = Window.partitionBy("id").orderBy(F.desc("seq"))
             rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-        put = rows.where("op = 'put'")
-        terms = written(postings(put))
-        # a note without a word has an entry, too
-        lengths = terms.groupBy("id").agg(F.first("length").alias("length"))
-        new = put.select("id").join(lengths, "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
-        entries = written(new.unionAll(rows.where("op = 'drop'").select("id", F.lit(None).cast("int"))))
+        live = F.col("deleted_at").isNull() if "deleted_at" in rows.columns else F.lit(True)
+        tokens = F.when(F.col("op") == "put", X.index_tokens(F.col("title"), F.col("content"), F.col("tags")))
+        staged = scratch(self.spark, "delta-batch")
+        now = written(rows.where("op IN ('put', 'drop')").select("id", live.alias("live"), F.array_sort(tokens).alias("tokens")), staged)
+        entries = now.select("id", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("length"))
         before = self._newest(self._entries(runs).join(entries.select("id"), "id", "left_semi")).select("id", F.col("length").alias("old"))
-        there = lambda c: F.count(c)
-        numbers = entries.join(before, "id", "left").agg((there("length") - there("old")).alias("docs"), (F.coalesce(F.sum("length"), F.lit(0)) - F.coalesce(F.sum("old"), F.lit(0))).alias("length"))
-        self._commit(Run(batch, batch, f"{self.path}/runs/{batch}-{batch}"), terms, entries, numbers)
+        numbers = entries.join(before, "id", "left").agg((F.count("length") - F.count("old")).alias("docs"), (F.coalesce(F.sum("length"), F.lit(0)) - F.coalesce(F.sum("old"), F.lit(0))).alias("length"))
+        self._commit(Run(batch, batch, f"{self.path}/runs/{batch}-{batch}"), _counted(now), entries, numbers, flush=True)
+        removed(self.spark, staged)
         return True
 
     def compact(self, fan: int = 4) -> int:

@@ -27,8 +27,8 @@ def delta_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch, changes in enumerate((first, second)):
         index.apply(batch, changes)
     index.apply(1, first)  # batch 1 is there: nothing changes
-    index.compact(2)
     index.apply(2, third)
+    index.compact()
     return S.bm25(rows, TERMS, index=index).select("id", F.round("bm25", 9).alias("bm25"), "matched")
 
 
