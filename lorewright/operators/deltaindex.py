@@ -115,7 +115,7 @@ class DeltaIndex:
         live = F.col("deleted_at").isNull() if "deleted_at" in rows.columns else F.lit(True)
         tokens = F.when(F.col("op") == "put", X.index_tokens(F.col("title"), F.col("content"), F.col("tags")))
         staged = scratch(self.spark, "delta-batch")
-        now = written(rows.where("op IN ('put', 'drop')").select("id", live.alias("live"), F.array_sort(tokens).alias("tokens")), staged)
+        now = written(rows.where("op IN ('put', 'drop')").select("id", live.alias("live"), F.sort_array(tokens).alias("tokens")), staged)
         entries = now.select("id", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("length"))
         before = self._newest(self._entries(runs).join(entries.select("id"), "id", "left_semi")).select("id", F.col("length").alias("old"))
         numbers = entries.join(before, "id", "left").agg((F.count("length") - F.count("old")).alias("docs"), (F.coalesce(F.sum("length"), F.lit(0)) - F.coalesce(F.sum("old"), F.lit(0))).alias("length"))
