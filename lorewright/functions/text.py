@@ -246,7 +246,7 @@ def fold_accents(c: Column) -> Column:
 def index_tokens(title: Column, content: Column, tags: Column) -> Column:
     """Tokens of the full-text index: title, content and tags, folded."""
     text = fold_accents(F.concat_ws(" ", title, content, F.array_join(tags, " ")))
-    return F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(text, r"[^\p{L}\p{N}]+"), "")
 
 
 def token_estimate(c: Column) -> Column:

@@ -1,27 +1,38 @@
 """STM-06: an inverted index that takes inserts, edits and deletes, as runs of postings that are merged when they are read.
 
-Each batch of changes is a run: the postings of the notes it puts, an entry for each note that it puts or drops (an entry
+Each batch of changes is a run: posting lists of the notes it puts, an entry for each note that it puts or drops (an entry
 without a length is a tombstone), and its numbers as signed deltas. A posting counts if no later run has an entry for its
 note. Runs are named by the first and the last batch in them; a run is there once its numbers are, which are written last,
-so a batch that was cut off leaves nothing and one that comes again changes nothing. A batch is not shuffled: each task
-counts, sorts and writes the postings of its notes, in folders of term buckets. :meth:`DeltaIndex.compact` merges
-neighbouring runs of like size, so there are few runs and each posting is written again a logarithmic number of times.
+so a batch that was cut off leaves nothing and one that comes again changes nothing. A batch's texts are read once and
+never shuffled: tasks count the tokens of some notes at a time and emit a list for each term of them, and only these lists
+are dealt to the folders of term buckets. :meth:`DeltaIndex.compact` merges neighbouring runs of like size, so there are few
+runs and each posting is written again a logarithmic number of times.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..store import removed, scratch, written
-from .index import _kept, _of_terms, bucket_of, folded
+from ..store import removed, scratch
+from .index import BUCKETS, _of_terms, bucket_of, folded
 
-_POSTINGS = "term string, id string, length int, live boolean, tf long, bucket int"
-_ENTRIES = "id string, length int"
+#: A row is a list of postings of one term or, in the folder ``ENTRIES`` and with no term, a list of entries; there ``tfs``
+#: has the number of a note's distinct terms.
+_LISTS = "term string, ids array<string>, lengths array<int>, lives array<boolean>, tfs array<int>"
+_ROWS = "term string, id string, length int, live boolean, tf long"
 _NUMBERS = "docs long, length long, postings long"
+ENTRIES = -1
+#: A task counts about so many tokens at a time; a merged list has about so many postings.
+FLUSH, LIST = 1 << 20, 1 << 16
 
 
 @dataclass(frozen=True, order=True)
@@ -33,15 +44,47 @@ class Run:
     path: str
 
 
-def _counted(notes: DataFrame) -> DataFrame:
-    """Postings of notes (id, live, tokens: sorted), counted in each note's own row: equal tokens stand side by side."""
-    t = F.col("tokens")
-    places = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(places, lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
-    runs = notes.where(t.isNotNull()).select("id", "live", "tokens", F.size(t).alias("length"), starts.alias("starts"))
-    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts") - 1, F.lit(0))), F.array("length"))
-    each = F.zip_with("starts", ends, lambda a, b: F.struct(F.get("tokens", a).alias("term"), (b - a).cast("bigint").alias("tf")))
-    return runs.select("id", "live", "length", F.explode(F.when(F.col("length") > 0, each)).alias("p")).select("p.term", "id", "length", "live", "p.tf")
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of notes (id, live, tokens; no tokens for a note that is dropped), of about ``FLUSH`` tokens at a time."""
+    held, tokens = [], 0
+    for batch in batches:
+        held.append(batch)
+        tokens += len(batch.column("tokens").flatten())
+        if tokens >= FLUSH:
+            yield _flushed(pa.Table.from_batches(held))
+            held, tokens = [], 0
+    if held and any(b.num_rows for b in held):
+        yield _flushed(pa.Table.from_batches(held))
+
+
+def _flushed(notes: pa.Table) -> pa.RecordBatch:
+    notes = notes.combine_chunks()
+    ids, lives, tokens = (notes.column(c).combine_chunks() if c != "tokens" else pa.concat_arrays(notes.column(c).chunks) for c in ("id", "live", "tokens"))
+    n, lengths = len(ids), pc.list_value_length(tokens)
+    words = tokens.flatten().dictionary_encode()
+    keys = words.indices.to_numpy().astype(np.int64) * n + pc.list_parent_indices(tokens).to_numpy()
+    keys, tf = np.unique(keys, return_counts=True)
+    code, row = keys // n, keys % n
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    offsets = pa.array(np.concatenate([starts, [len(keys), len(keys) + n]]).astype(np.int32))  # the last list: entries
+    at = pa.array(np.concatenate([row, np.arange(n)]))
+    numbers = pa.array(np.concatenate([tf, np.bincount(row, minlength=n)]).astype(np.int32))
+    terms = pa.concat_arrays([words.dictionary.take(pa.array(code[starts])).cast(pa.string()), pa.nulls(1, pa.string())])
+    lists = [pa.ListArray.from_arrays(offsets, values) for values in (ids.take(at), lengths.take(at).cast(pa.int32()), lives.take(at), numbers)]
+    part = pa.array(np.full(len(terms), zlib.crc32(ids[0].as_py().encode()), dtype=np.int64))
+    return pa.RecordBatch.from_arrays([terms, *lists, part], ["term", "ids", "lengths", "lives", "tfs", "part"])
+
+
+def _rows(lists: DataFrame) -> DataFrame:
+    each = F.explode(F.arrays_zip("ids", "lengths", "lives", "tfs")).alias("p")
+    return lists.select("term", each).select("term", F.col("p.ids").alias("id"), F.col("p.lengths").alias("length"), F.col("p.lives").alias("live"), F.col("p.tfs").cast("bigint").alias("tf"))
+
+
+def _listed(rows: DataFrame, parts: Column) -> DataFrame:
+    """Rows (term, id, length, live, tf) as lists, a term's divided into ``parts`` by the id."""
+    p = F.array_sort(F.collect_list(F.struct("id", "length", "live", F.col("tf").cast("int").alias("tf"))))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).groupBy("term", "part").agg(p.alias("p"))
+    return rows.select("term", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "length", "live", "tf")], "part")
 
 
 class DeltaIndex:
@@ -69,30 +112,32 @@ class DeltaIndex:
         return out
 
     def _postings(self, run: Run) -> DataFrame:
-        return self.spark.read.schema(_POSTINGS).parquet(f"{run.path}/postings")
+        return self.spark.read.schema(f"{_LISTS}, bucket int").parquet(f"{run.path}/postings")
 
     def _entries(self, runs: list[Run]) -> DataFrame:
-        """(id, length, run): what the runs say of their notes."""
-        out = self.spark.createDataFrame([], f"{_ENTRIES}, run long")
+        """(id, length, terms, run): what the runs say of their notes."""
+        out = self.spark.createDataFrame([], "id string, length int, terms long, run long")
         for run in runs:
-            out = out.unionAll(self.spark.read.schema(_ENTRIES).parquet(f"{run.path}/entries").withColumn("run", F.lit(run.first).cast("bigint")))
+            rows = _rows(self._postings(run).where(F.col("bucket") == ENTRIES))
+            out = out.unionAll(rows.select("id", "length", F.col("tf").alias("terms"), F.lit(run.first).cast("bigint")))
         return out
 
     @staticmethod
     def _newest(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("id").agg(F.max_by("length", "run").alias("length"))
+        return entries.groupBy("id").agg(F.max_by(F.struct("length", "terms"), "run").alias("e")).select("id", "e.length", "e.terms")
 
-    def _commit(self, run: Run, rows: DataFrame, entries: DataFrame, numbers: DataFrame, flush: bool = False) -> None:
-        """``flush``: each task sorts and writes its own postings; a merge shuffles them, so that a term has few files."""
+    def _written(self, run: Run, lists: DataFrame) -> DataFrame:
+        """Write lists to the folders of their buckets, sorted by term; the run's entries. A folder's lists are dealt to as
+        many tasks as the session's number of shuffle partitions has times the number of folders."""
         removed(self.spark, run.path)  # what a try that was cut off has left
-        if flush:
-            dealt = rows.withColumn("bucket", bucket_of(F.col("term"))).sortWithinPartitions("bucket", "term", "id")
-            dealt.write.partitionBy("bucket").option("compression", "zstd").parquet(f"{run.path}/postings")
-        else:
-            _kept(rows, f"{run.path}/postings")
-        entries.select("id", F.col("length").cast("int").alias("length")).write.parquet(f"{run.path}/entries")
-        many = self._postings(run).agg(F.count("*").alias("postings"))
-        numbers.select("docs", "length").crossJoin(many).coalesce(1).write.parquet(f"{run.path}/numbers")  # a single row
+        tasks = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        bucket = F.when(F.col("term").isNull(), ENTRIES).otherwise(bucket_of(F.col("term")))
+        dealt = lists.withColumn("bucket", bucket).repartition("bucket", F.pmod("part", F.lit(tasks))).drop("part")
+        dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{run.path}/postings")
+        return self._entries([run])
+
+    def _commit(self, run: Run, numbers: DataFrame) -> None:
+        numbers.coalesce(1).write.parquet(f"{run.path}/numbers")  # a single row
 
     # changes
 
@@ -108,19 +153,20 @@ class DeltaIndex:
             return False
         if runs and batch < runs[-1].last:
             raise ValueError(f"batch {batch} comes after batch {runs[-1].last}")
-        rows = changes.where(F.col("id").isNotNull())
+        put = F.col("op") == "put"
+        live = F.col("deleted_at").isNull() if "deleted_at" in changes.columns else F.lit(True)
+        texts = [F.when(put, F.col(c)).alias(c) for c in ("title", "content", "tags")]
+        rows = changes.where(F.col("id").isNotNull()).select("id", "op", live.alias("live"), *texts, *(["seq"] if "seq" in changes.columns else []))
         if "seq" in rows.columns:
             last = Window.partitionBy("id").orderBy(F.desc("seq"))
-            rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-        live = F.col("deleted_at").isNull() if "deleted_at" in rows.columns else F.lit(True)
-        tokens = F.when(F.col("op") == "put", X.index_tokens(F.col("title"), F.col("content"), F.col("tags")))
-        staged = scratch(self.spark, "delta-batch")
-        now = written(rows.where("op IN ('put', 'drop')").select("id", live.alias("live"), F.sort_array(tokens).alias("tokens")), staged)
-        entries = now.select("id", F.when(F.col("tokens").isNotNull(), F.size("tokens")).alias("length"))
+            rows = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1")
+        tokens = F.when(put, X.index_tokens(F.col("title"), F.col("content"), F.col("tags")))
+        notes = rows.where("op IN ('put', 'drop')").select("id", "live", tokens.alias("tokens"))
+        run = Run(batch, batch, f"{self.path}/runs/{batch}-{batch}")
+        entries = self._written(run, notes.mapInArrow(_counted, f"{_LISTS}, part long"))
         before = self._newest(self._entries(runs).join(entries.select("id"), "id", "left_semi")).select("id", F.col("length").alias("old"))
-        numbers = entries.join(before, "id", "left").agg((F.count("length") - F.count("old")).alias("docs"), (F.coalesce(F.sum("length"), F.lit(0)) - F.coalesce(F.sum("old"), F.lit(0))).alias("length"))
-        self._commit(Run(batch, batch, f"{self.path}/runs/{batch}-{batch}"), _counted(now), entries, numbers, flush=True)
-        removed(self.spark, staged)
+        change = (F.coalesce(F.sum("length"), F.lit(0)) - F.coalesce(F.sum("old"), F.lit(0))).alias("length")
+        self._commit(run, entries.join(before, "id", "left").agg((F.count("length") - F.count("old")).alias("docs"), change, F.coalesce(F.sum("terms"), F.lit(0)).alias("postings")))
         return True
 
     def compact(self, fan: int = 4) -> int:
@@ -141,9 +187,13 @@ class DeltaIndex:
         entries = self._newest(self._entries(runs))
         if oldest:  # there is nothing before them that a tombstone could hide
             entries = entries.where(F.col("length").isNotNull())
-        numbers = self._numbers(runs)
-        name = f"{self.path}/runs/{runs[0].first}-{runs[-1].last}"
-        self._commit(Run(runs[0].first, runs[-1].last, name), self._valid(runs, self._postings), entries, numbers)
+        run = Run(runs[0].first, runs[-1].last, f"{self.path}/runs/{runs[0].first}-{runs[-1].last}")
+        notes = sum(self.spark.read.schema(_NUMBERS).parquet(f"{r.path}/numbers").first().docs for r in runs)
+        parts = F.lit(max(1, -(-notes // LIST)))
+        rows = self._valid(runs, self._postings).unionAll(entries.select(F.lit(None).cast("string"), "id", "length", F.lit(True), "terms"))
+        written = self._written(run, _listed(rows, parts))
+        postings = written.agg(F.coalesce(F.sum("terms"), F.lit(0)).alias("postings"))
+        self._commit(run, self._numbers(runs).crossJoin(postings))
 
     def vacuum(self) -> int:
         """Delete the runs that others hold; no reader may be at work on them. The number of runs deleted."""
@@ -154,14 +204,12 @@ class DeltaIndex:
 
     # reading
 
-    def _valid(self, runs: list[Run], rows_of) -> DataFrame:
+    def _valid(self, runs: list[Run], lists_of) -> DataFrame:
         """Postings of the runs whose note no later run has an entry for."""
-        found = None
+        found = self.spark.createDataFrame([], f"{_ROWS}, run long")
         for run in runs:
-            rows = rows_of(run).drop("bucket").withColumn("run", F.lit(run.first).cast("bigint"))
-            found = rows if found is None else found.unionByName(rows)
-        if found is None:
-            return self.spark.createDataFrame([], _POSTINGS).drop("bucket")
+            rows = _rows(lists_of(run).where(F.col("bucket") != ENTRIES))
+            found = found.unionAll(rows.withColumn("run", F.lit(run.first).cast("bigint")))
         touched = self._entries(runs[1:]).groupBy("id").agg(F.max("run").alias("touched"))
         return found.join(touched, "id", "left").where("touched IS NULL OR touched <= run").select("term", "id", "length", "live", "tf")
 
@@ -180,7 +228,7 @@ class DeltaIndex:
     def lookup(self, terms: list[str]) -> DataFrame:
         """(term, id, length, live, tf) of the given terms, accents folded; of each run, the terms' folders are read."""
         asked = [folded(t) for t in terms]
-        return self._valid(self.runs(), lambda run: _of_terms(self._postings(run), asked))
+        return self._valid(self.runs(), lambda run: _of_terms(self._postings(run), asked, keep=True))
 
     def all(self) -> DataFrame:
         return self._valid(self.runs(), self._postings)

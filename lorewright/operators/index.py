@@ -26,10 +26,11 @@ def _kept(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(path)
 
 
-def _of_terms(rows: DataFrame, terms: list[str]) -> DataFrame:
+def _of_terms(rows: DataFrame, terms: list[str], keep: bool = False) -> DataFrame:
     spark = rows.sparkSession
     buckets = {r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"))).collect()}
-    return rows.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms)).drop("bucket")
+    found = rows.where(F.col("bucket").isin(*buckets) & F.col("term").isin(*terms))
+    return found if keep else found.drop("bucket")
 
 
 def folded(term: str) -> str:

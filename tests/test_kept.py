@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lorewright.operators import cells
+from lorewright.operators import cells, deltaindex
 from lorewright.operators import search as S
 from lorewright.operators.deltaindex import DeltaIndex, delta_index
 from lorewright.operators.index import WordIndex
@@ -138,3 +139,16 @@ def test_the_leg_of_cells_is_that_of_all_vectors(spark, tmp_path, spread):
     assert share < 0.2 if spread < 1 else share <= 1
     assert kept.leg([0.0] * 32, "m0")[0].count() == S.vector_leg(chunks, [0.0] * 32, "m0").where("similarity IS NOT NULL").count()
     assert kept.leg([1.0] * 32, "absent")[0].count() == 0
+
+
+def test_posting_lists_are_cut_by_tokens_and_hold_every_note(monkeypatch):
+    monkeypatch.setattr(deltaindex, "FLUSH", 3)
+    notes = [("a", True, ["x", "y", "x"]), ("b", False, []), ("c", True, None), ("d", True, ["y"]), ("e", True, ["z", "x"])]
+    schema = pa.schema([("id", pa.string()), ("live", pa.bool_()), ("tokens", pa.list_(pa.string()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, n, strict=True))], schema) for n in notes]
+    found = list(deltaindex._counted(iter(batches)))
+    assert len(found) == 2
+    rows = [(r["term"], *p) for b in found for r in b.to_pylist() for p in zip(r["ids"], r["lengths"], r["lives"], r["tfs"], strict=True)]
+    assert sorted(r for r in rows if r[0]) == [("x", "a", 3, True, 2), ("x", "e", 2, True, 1), ("y", "a", 3, True, 1), ("y", "d", 1, True, 1), ("z", "e", 2, True, 1)]
+    assert sorted((r[1], r[2], r[4]) for r in rows if r[0] is None) == [("a", 3, 2), ("b", 0, 0), ("c", None, 0), ("d", 1, 1), ("e", 2, 2)]
+    assert list(deltaindex._counted(iter([]))) == []
