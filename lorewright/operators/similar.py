@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,60 @@ def same_content(notes: DataFrame) -> DataFrame:
     return _star(rows, "k", "identical-content")
 
 
+@dataclass(frozen=True)
+class _Classes:
+    """Notes as classes of one set of shingles and one length: ``rows`` (id, len, n, s) has the first note of each, ``copies``
+    (a, b, similarity) links the others to it, ``prefix`` (id, n, t) the shingles that any similar class shares one of."""
+
+    rows: DataFrame
+    copies: DataFrame
+    prefix: DataFrame
+    threshold: float
+
+    @staticmethod
+    def of(notes: DataFrame, threshold: float) -> _Classes:
+        text = notes.where(F.length("content") >= MIN_CONTENT)
+        hashed = F.array_sort(F.transform(X.shingles(F.col("title"), F.col("content")), lambda t: F.xxhash64(t)))
+        every = written(text.select("id", F.length("content").alias("len"), hashed.alias("s")).withColumn("k", F.xxhash64("s", "len")))
+        first = written(every.groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+        of_more = first.where("copies > 1").select("k", F.col("id").alias("a"), "copies")
+        copies = join_counted(every.select("id", "k"), of_more, ["k"], every.count(), "copies").where("id <> a")
+        rows = written(every.join(first.select("id"), "id", "left_semi").select("id", "len", F.size("s").alias("n"), "s"))
+        held = _held(rows.select("id", "n", F.explode("s").alias("t")), rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        # shingles that no other class has are the rarest, so they come first in the prefix
+        left = N.signature_length(F.col("n"), threshold, None) - (F.col("n") - F.size("held"))
+        prefix = held.where(left > 0).select("id", "n", F.explode(F.transform(F.slice("held", F.lit(1), left), lambda x: x["t"])).alias("t"))
+        return _Classes(rows, copies.select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")), written(prefix), threshold)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similarity) of those pairs (a, b) of classes that are similar."""
+        one, other = self.rows.select(F.col("id").alias("a"), F.col("len").alias("la"), F.col("s").alias("sa")), self.rows.select(F.col("id").alias("b"), F.col("len").alias("lb"), F.col("s").alias("sb"))
+        out = pairs.join(one, "a").join(other, "b").where(F.least("la", "lb") / F.greatest("la", "lb") >= MIN_RATIO)
+        return out.select("a", "b", N.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") > self.threshold)
+
+    def pairs(self, some: DataFrame | None = None) -> DataFrame:
+        """Pairs (a, b) that meet under a shingle and whose sizes allow it; ``some`` (id): at least one of them is of these."""
+        mine = self.prefix if some is None else self.prefix.join(some, "id", "left_semi")
+        a, b = mine.select(F.col("id").alias("x"), F.col("n").alias("na"), "t"), self.prefix.select(F.col("id").alias("y"), F.col("n").alias("nb"), "t")
+        once = F.col("x") < F.col("y") if some is None else F.col("x") != F.col("y")
+        met = a.join(b, "t").where(once & (F.least("na", "nb") > self.threshold * F.greatest("na", "nb")))
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def stars(self) -> DataFrame:
+        """Pairs of each class with the first and the last class under each of its shingles: two for each shingle at most."""
+        ends = written(self.prefix.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("c > 1"))
+        met = join_counted(self.prefix.select("id", "t"), ends, ["t"], self.prefix.count(), "c")
+        each = met.select("id", F.explode(F.array("lo", "hi")).alias("y")).where("id <> y")
+        return each.select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+
+
+def _held(each: DataFrame, total: int) -> DataFrame:
+    """(id, n, held): of rows (id, n, t) those ``t`` that more than one row has, the rarest first, with their counts."""
+    df = written(each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"))
+    found = join_counted(each, df.withColumn("rows", F.col("df")), ["t"], total, "rows")
+    return found.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("held"))
+
+
 def near_content(notes: DataFrame, threshold: float = NEAR, dismissed: DataFrame | None = None) -> DataFrame:
     """SIM-05: links (a, b, reason, similarity) of notes whose word-pair sets have a Jaccard similarity above ``threshold``.
 
@@ -41,25 +97,30 @@ def near_content(notes: DataFrame, threshold: float = NEAR, dismissed: DataFrame
     class stands under its rarest shingles, as many as any similar one must share one of; pairs that meet there and whose
     sizes allow it are compared whole. Shingles are 64-bit hashes; those of a single note are counted but never joined.
     """
-    text = notes.where(F.length("content") >= MIN_CONTENT)
-    hashed = F.array_sort(F.transform(X.shingles(F.col("title"), F.col("content")), lambda t: F.xxhash64(t)))
-    every = written(text.select("id", F.length("content").alias("len"), hashed.alias("s")).withColumn("k", F.xxhash64("s", "len")))
-    first = every.groupBy("k").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    copies = every.select("id", "k").join(first.where("copies > 1").select("k", F.col("id").alias("a")), "k").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    rows = written(every.join(first.select("id"), "id", "left_semi").select("id", "len", F.size("s").alias("n"), "s"))
-    each = rows.select("id", "n", F.explode("s").alias("t"))
-    df = each.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
-    held = each.join(df, "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("held"))
-    # shingles that no other class has are the rarest, so they come first in the prefix
-    left = N.signature_length(F.col("n"), threshold, None) - (F.col("n") - F.size("held"))
-    prefix = held.where(left > 0).select("id", "n", F.explode(F.transform(F.slice("held", F.lit(1), left), lambda x: x["t"])).alias("t"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    pairs = a.join(b, "t").where((F.col("a") < F.col("b")) & (F.least("na", "nb") > threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    one, other = rows.select(F.col("id").alias("a"), F.col("len").alias("la"), F.col("s").alias("sa")), rows.select(F.col("id").alias("b"), F.col("len").alias("lb"), F.col("s").alias("sb"))
-    out = pairs.join(one, "a").join(other, "b").where(F.least("la", "lb") / F.greatest("la", "lb") >= MIN_RATIO)
-    out = out.select("a", "b", N.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") > threshold)
-    out = out.unionByName(copies).select("a", "b", F.lit("near-identical").alias("reason"), "similarity")
-    return without(out, dismissed)
+    classes = _Classes.of(notes, threshold)
+    return without(_near(classes.verified(classes.pairs()), classes), dismissed)
+
+
+def _near(links: DataFrame, classes: _Classes) -> DataFrame:
+    return links.unionByName(classes.copies).select("a", "b", F.lit("near-identical").alias("reason"), "similarity")
+
+
+def near_in_small_chains(notes: DataFrame, threshold: float = NEAR, dismissed: DataFrame | None = None, largest: int = MAX_NEAR_GROUP) -> DataFrame:
+    """SIM-06: those links of :func:`near_content` that chain ``largest`` notes at most.
+
+    What is in a longer chain by its links to the first and the last class of each shingle alone is settled: its links
+    among each other can add nothing that stays. So a family of n near copies costs some n comparisons, and only classes
+    that are not settled are compared with all that they meet.
+    """
+    classes = _Classes.of(notes, threshold)
+    stars = written(without(_near(classes.verified(classes.stars()), classes), dismissed))
+    chains = written(components(stars.select("a", "b")))
+    settled = chains.join(chains.groupBy("root").count().where(F.col("count") > largest), "root", "left_semi").select(F.col("node").alias("id"))
+    others = written(classes.rows.select("id").join(settled, "id", "left_anti"))
+    links = written(without(_near(classes.verified(classes.pairs(others)), classes), dismissed))
+    chains = components(links.unionByName(stars).select("a", "b"))
+    sizes = chains.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= largest)
+    return links.join(chains.join(sizes, "root", "left_semi").select(F.col("node").alias("a")), "a", "left_semi")
 
 
 def without(pairs: DataFrame, dismissed: DataFrame | None) -> DataFrame:
@@ -76,11 +137,8 @@ def duplicate_groups(notes: DataFrame, threshold: float = NEAR, dismissed: DataF
     Near links that alone would chain more than ``largest_near`` notes are left out. A group has its strongest reason and
     its weakest similarity; the note to keep is the longest, then the newest, then the first by id (SRT-05).
     """
-    near = written(near_content(notes, threshold, dismissed=dismissed))
-    chains = components(near.select("a", "b"))
-    sizes = chains.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= largest_near)
-    small = chains.join(sizes, "root", "left_semi").select(F.col("node").alias("a"))
-    links = written(without(same_title(notes), dismissed).unionByName(without(same_content(notes), dismissed)).unionByName(near.join(small, "a", "left_semi")))
+    near = near_in_small_chains(notes, threshold, dismissed, largest_near)
+    links = written(without(same_title(notes), dismissed).unionByName(without(same_content(notes), dismissed)).unionByName(near))
     member = written(components(links.select("a", "b")))
     rank = F.when(F.col("reason") == "identical-title", 0).when(F.col("reason") == "identical-content", 1).otherwise(2)
     about = links.join(member.select(F.col("node").alias("a"), "root"), "a").groupBy("root").agg(F.min_by("reason", rank).alias("reason"), F.min("similarity").alias("similarity"))
@@ -103,8 +161,7 @@ def title_tag_pairs(notes: DataFrame, overlap: float = 0.85, tag_jaccard: float
     words = F.array_distinct(F.filter(F.split(F.lower("title"), r"[^A-Za-z0-9_]+"), lambda w: F.length(w) > 2))
     rows = notes.select("id", words.alias("w"), F.array_distinct("tags").alias("tags")).where(F.size("w") > 0)
     each = rows.select("id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    df = each.groupBy("t").agg(F.count("*").alias("df"))
-    held = each.join(df.where("df > 1"), "t").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("held"))
+    held = _held(each, rows.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0])
     left = N.signature_length(F.col("n"), overlap, None) - (F.col("n") - F.size("held"))
     rare = held.where(left > 0).select(F.col("id").alias("x"), F.col("n").alias("nx"), F.explode(F.transform(F.slice("held", F.lit(1), left), lambda v: v["t"])).alias("t"))
     met = rare.join(each.select(F.col("id").alias("y"), F.col("n").alias("ny"), "t"), "t").where("nx < ny OR (nx = ny AND x <> y)")

@@ -1,6 +1,7 @@
 """Operators that meet their pairs by an index, against plain versions that compare everything."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,6 +56,33 @@ def test_near_links_are_those_of_all_pairs(notes):
     assert got == expected and len(got) > 100
 
 
+@pytest.mark.parametrize("largest", [1, 3, 12, 1000])
+def test_near_links_of_small_chains_are_those_of_all_near_links(notes, largest):
+    links = [(r.a, r.b) for r in M.near_content(notes).collect()]
+    root = {x: x for link in links for x in link}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[top(a)] = top(b)
+    size = Counter(map(top, root))
+    expected = {(a, b) for a, b in links if size[top(a)] <= largest}
+    assert {(r.a, r.b) for r in M.near_in_small_chains(notes, largest=largest).collect()} == expected
+
+
+def test_a_family_of_near_copies_is_settled_by_few_comparisons(spark):
+    words = [f"word{i}" for i in range(80)]
+    rows = [(f"n{i:04d}", "t", " ".join(words[: i % 80] + [f"other{i}"] + words[i % 80 + 1 :])) for i in range(1500)]
+    rows += [(f"p{i}", "t", " ".join([f"far{j}" for j in range(50)] + [f"end{i}"])) for i in range(3)]
+    family = spark.createDataFrame(rows, "id string, title string, content string")
+    classes = M._Classes.of(family, 0.85)
+    assert classes.verified(classes.stars()).count() < 20 * 1500  # all pairs: 1.1 million
+    assert {(r.a, r.b) for r in M.near_in_small_chains(family).collect()} == {("p0", "p1"), ("p0", "p2"), ("p1", "p2")}
+
+
 def test_title_pairs_are_those_of_all_pairs(notes):
     rows = [(r.id, {w for w in re.split(r"[^A-Za-z0-9_]+", (r.title or "").lower()) if len(w) > 2}, set(r.tags)) for r in notes.collect()]
     for least in (0.5, 0.85, 1.0):
