@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..store import written
+from .joins import join_counted
 
-POSTING = 400
+#: Facts under one pair of stems that are met as one block.
+BLOCK = 2048
 #: Words beside a value that say nothing about it.
 UNITS = r"^(days?|tag|tage|tagen|hours?|stunde|stunden|minutes?|minute|minuten|weeks?|woche|wochen|months?|monat|monate|monaten|years?|jahr|jahre|jahren|users?|nutzer|seats?|uhr|clock|eur|usd|chf|gbp|euro|euros|dollar|dollars|percent|prozent)$"
 #: Words that fill a sentence.
@@ -94,23 +97,60 @@ def _facts_of(kind: str, hits: Column, ranged: Column) -> Column:
     return F.transform(hits, lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(v).alias("value"), _normal(kind, F.trim(v)).alias("norm"), F.array_contains(ranged, v).alias("ranged")))
 
 
-def contradictions(found: DataFrame, accepted: DataFrame | None = None, limit: int | None = 20, posting: int = POSTING) -> DataFrame:
+def _meetings(rows: DataFrame, posting: int | None, block: int) -> DataFrame:
+    """(fx, fy, shared) of facts (fid, id, kind, norm, in_sentence, stems) of one kind, of unlike notes and with unlike
+    values, that share two stems and half of the smaller set.
+
+    If a set of n stems shares k or more with another, any n - k + 2 of its stems hold two of them. So the smaller set of a
+    pair stands under each pair of its n - k + 2 rarest stems, the larger one under all its pairs, and they meet once, at the
+    first two that they share. Pairs of stems that many facts have are dealt out: the larger sets as so many blocks.
+    """
+    each = rows.select("fid", "kind", F.explode("stems").alias("s"))
+    df = written(each.groupBy("kind", "s").agg(F.count("*").alias("c")).where(F.lit(True) if posting is None else F.col("c") <= posting))
+    ranked = join_counted(each, df.withColumn("df", F.col("c")), ["kind", "s"], each.count(), "c")
+    held = ranked.groupBy("fid").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "s"))), lambda v: v["s"]).alias("held")).where(F.size("held") >= 2)
+    n = F.size("stems")
+    least = F.greatest(F.lit(2), F.ceil(n / 2).cast("int"))  # of the smaller set
+    facts = rows.select("fid", "id", "kind", "norm", "in_sentence", n.alias("n"), least.alias("k")).join(held, "fid")
+    facts = written(facts.withColumn("first", F.slice("held", F.lit(1), F.greatest(F.lit(0), F.size("held") - F.col("k") + 2))))
+
+    def pairs(c: str) -> Column:
+        return F.explode(F.flatten(F.transform(c, lambda s, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda t: F.struct(F.least(s, t).alias("s"), F.greatest(s, t).alias("t"))))))
+
+    small = facts.where(F.size("first") >= 2).select("*", pairs("first").alias("p")).select("*", "p.s", "p.t").drop("p", "in_sentence")
+    on = ["kind", "s", "t"]
+    large = facts.select("fid", "kind", pairs("held").alias("p")).select("fid", "kind", "p.s", "p.t")
+    asked = small.groupBy(*on).agg(F.count("*").alias("asked"))
+    met = large.groupBy(*on).agg(F.count("*").alias("c")).where("c > 1").join(asked, on)
+    met = written(met.select(*on, "c", F.ceil(F.col("c") / block).cast("bigint").alias("blocks"), "asked"))
+    dealt = join_counted(large, met.select(*on, "c", "blocks"), on, large.count(), "c").withColumn("block", F.pmod(F.xxhash64("fid"), "blocks"))
+    probes = join_counted(small.select("fid", *on), met.select(*on, F.col("asked").alias("c"), "blocks"), on, small.count(), "c")
+    probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    about = facts.select("fid", F.struct("id", "norm", "in_sentence", "n", "k", "held", "first").alias("f"))
+    x = probes.join(about, "fid").select(*on, "block", F.col("fid").alias("fx"), F.col("f").alias("x"))
+    y = dealt.join(about, "fid").select(*on, "block", F.col("fid").alias("fy"), F.col("f").alias("y"))
+    smaller = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    differ = (F.col("x.id") != F.col("y.id")) & (F.col("x.norm") != F.col("y.norm"))
+    differ = differ & ~F.array_contains("x.in_sentence", F.col("y.norm")) & ~F.array_contains("y.in_sentence", F.col("x.norm"))
+    here = F.array_sort(F.slice(F.array_intersect("x.first", "y.held"), 1, 2)) == F.array("s", "t")
+    shared = F.size(F.array_intersect("x.held", "y.held"))
+    return x.join(y, [*on, "block"]).where(smaller & differ & here & (shared >= F.col("x.k"))).select("fx", "fy", shared.alias("shared"))
+
+
+def contradictions(found: DataFrame, accepted: DataFrame | None = None, limit: int | None = 20, posting: int | None = None, block: int = BLOCK) -> DataFrame:
     """CON-03: pairs of notes with facts of one kind and different values about the same thing, one for each pair, newest first.
 
     Facts share at least two stems and half of the smaller set; neither sentence holds the other's value; sources differ.
-    Stems that more than ``posting`` facts have are passed over as too common to say anything, the engine's own rule; so
-    facts whose subjects are frequent in the whole table do not meet.
+    All such pairs are found. With ``posting``, stems that more facts of a kind have are passed over as too common to say
+    anything.
     """
-    fid = F.xxhash64("id", "n", "kind", "value")
-    rows = found.withColumn("fid", fid)
-    each = rows.select("fid", "id", "kind", F.explode("stems").alias("s"))
-    held = each.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= posting).select("s")
-    each = each.join(held, "s")
-    a, b = each.select(F.col("fid").alias("fa"), F.col("id").alias("a"), "kind", "s"), each.select(F.col("fid").alias("fb"), F.col("id").alias("b"), "kind", "s")
-    shared = a.join(b, ["kind", "s"]).where("a < b").groupBy("fa", "fb", "a", "b").agg(F.count("*").alias("shared")).where("shared >= 2")
-    pairs = shared.join(rows.select(F.col("fid").alias("fa"), F.struct("id", "title", "sentence", "value", "norm", "updated_at", "source", "stems", "in_sentence").alias("x")), "fa").join(rows.select(F.col("fid").alias("fb"), F.struct("id", "title", "sentence", "value", "norm", "updated_at", "source", "stems", "in_sentence").alias("y")), "fb")
-    differ = (F.col("x.norm") != F.col("y.norm")) & ~F.array_contains("x.in_sentence", F.col("y.norm")) & ~F.array_contains("y.in_sentence", F.col("x.norm"))
-    pairs = pairs.where(differ & (F.col("shared") >= 0.5 * F.least(F.size("x.stems"), F.size("y.stems"))) & ~F.coalesce(F.col("x.source") == F.col("y.source"), F.lit(False)))
+    rows = written(found.withColumn("fid", F.xxhash64("id", "n", "kind", "value")).dropDuplicates(["fid"]))
+    met = _meetings(rows, posting, block)
+    about = rows.select("fid", F.struct("id", "title", "sentence", "value", "norm", "updated_at", "source", "stems").alias("f"))
+    both = met.join(about.select(F.col("fid").alias("fx"), F.col("f").alias("x")), "fx").join(about.select(F.col("fid").alias("fy"), F.col("f").alias("y")), "fy")
+    a = F.col("x.id") < F.col("y.id")
+    both = both.select("shared", F.when(a, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(a, F.col("y")).otherwise(F.col("x")).alias("y"))
+    pairs = both.where(~F.coalesce(F.col("x.source") == F.col("y.source"), F.lit(False))).withColumn("a", F.col("x.id")).withColumn("b", F.col("y.id"))
     if accepted is not None:
         pairs = pairs.join(accepted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
     one = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("shared"), "x.sentence", "y.sentence", "x.value", "y.value"))).where("r = 1")

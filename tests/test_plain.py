@@ -175,3 +175,41 @@ def test_a_cluster_without_a_shared_folder_is_told(monkeypatch):
 
     with pytest.raises(RuntimeError, match="checkpoint"):
         store.scratch(Session)
+
+
+FACTS = "id string, title string, updated_at long, source string, n int, sentence string, kind string, value string, norm string, in_sentence array<string>, stems array<string>"
+
+
+def some_facts(rng, n, stems, most):
+    out = []
+    for i in range(n):
+        held = sorted({f"s{min(int(rng.exponential(stems / 6)), stems - 1)}" for _ in range(rng.integers(2, most))})
+        value = str(rng.integers(0, 6))
+        if len(held) > 1:
+            out.append((f"n{i // 2}", "t", i, (None, "u", "v")[i % 3], i % 2, f"{value} {' '.join(held)}", ("date", "money")[i % 5 == 0], value, value, [value], held))
+    return out
+
+
+@pytest.mark.parametrize("posting", [None, 25])
+@pytest.mark.parametrize("block", [2048, 5])
+def test_contradictions_are_those_of_all_pairs(spark, posting, block):
+    rows = some_facts(np.random.default_rng(5), 240, 40, 9)
+    common = Counter((r[6], s) for r in rows for s in r[10])
+    expected = set()
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and x[6] == y[6] and x[8] != y[8] and (x[3] is None or x[3] != y[3]):
+                shared = [s for s in set(x[10]) & set(y[10]) if posting is None or common[x[6], s] <= posting]
+                if len(shared) >= 2 and len(shared) >= 0.5 * min(len(x[10]), len(y[10])):
+                    expected.add(f"{x[0]}|{y[0]}")
+    got = [r.key for r in K.contradictions(spark.createDataFrame(rows, FACTS), limit=None, posting=posting, block=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected and len(got) > 50
+
+
+def test_facts_about_a_subject_of_thousands_meet(spark):
+    rows = [(f"n{i:04d}", "t", i, None, 0, f"s{i}", "date", "1", "1", ["1"], ["common", f"only{i}", f"more{i}"]) for i in range(5000)]
+    rows += [(f"z{i}", "t", i, None, 0, f"z{i}", "date", str(i), str(i), [str(i)], ["common", "rare"]) for i in range(2, 5)]
+    rows += [("w", "t", 0, None, 0, "w", "date", "7", "7", ["7"], ["common", "only77", "other", "words"])]
+    got = {r.key for r in K.contradictions(spark.createDataFrame(rows, FACTS), limit=None).collect()}
+    assert got == {"z2|z3", "z2|z4", "z3|z4", "n0077|w"}
+    assert "n0077|w" not in {r.key for r in K.contradictions(spark.createDataFrame(rows, FACTS), limit=None, posting=400).collect()}
