@@ -4,14 +4,13 @@ Each batch of changes is a run: posting lists of the notes it puts, an entry for
 without a length is a tombstone), and its numbers as signed deltas. A posting counts if no later run has an entry for its
 note. Runs are named by the first and the last batch in them; a run is there once its numbers are, which are written last,
 so a batch that was cut off leaves nothing and one that comes again changes nothing. A batch's texts are read once and
-never shuffled: tasks count the tokens of some notes at a time and emit a list for each term of them, and only these lists
-are dealt to the folders of term buckets. :meth:`DeltaIndex.compact` merges neighbouring runs of like size, so there are few
+never shuffled: tasks count the tokens of some notes at a time and emit them as a block, with a list of places in it for
+each term, and only these lists are dealt to the folders of term buckets. :meth:`DeltaIndex.compact` merges neighbouring runs of like size, so there are few
 runs and each posting is written again a logarithmic number of times.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..store import removed, scratch
+from ..store import removed, scratch, written
 from .index import BUCKETS, _of_terms, bucket_of, folded
 
-#: A row is a list of postings of one term or, in the folder ``ENTRIES`` and with no term, a list of entries; there ``tfs``
-#: has the number of a note's distinct terms.
-_LISTS = "term string, ids array<string>, lengths array<int>, lives array<boolean>, tfs array<int>"
+#: A row is a list of postings of one term, which are places in a block of notes, or, in the folder ``ENTRIES`` and with no
+#: term, the block itself; there ``tfs`` has the number of a note's distinct terms.
+_LISTS = "term string, block string, places array<int>, tfs array<int>, ids array<string>, lengths array<int>, lives array<boolean>"
 _ROWS = "term string, id string, length int, live boolean, tf long"
 _NUMBERS = "docs long, length long, postings long"
 ENTRIES = -1
@@ -51,13 +50,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         tokens += len(batch.column("tokens").flatten())
         if tokens >= FLUSH:
-            yield _flushed(pa.Table.from_batches(held))
+            yield from _flushed(pa.Table.from_batches(held))
             held, tokens = [], 0
     if held and any(b.num_rows for b in held):
-        yield _flushed(pa.Table.from_batches(held))
+        yield from _flushed(pa.Table.from_batches(held))
 
 
-def _flushed(notes: pa.Table) -> pa.RecordBatch:
+def _flushed(notes: pa.Table) -> Iterator[pa.RecordBatch]:
     notes = notes.combine_chunks()
     ids, lives, tokens = (notes.column(c).combine_chunks() if c != "tokens" else pa.concat_arrays(notes.column(c).chunks) for c in ("id", "live", "tokens"))
     n, lengths = len(ids), pc.list_value_length(tokens)
@@ -66,25 +65,43 @@ def _flushed(notes: pa.Table) -> pa.RecordBatch:
     keys, tf = np.unique(keys, return_counts=True)
     code, row = keys // n, keys % n
     starts = np.flatnonzero(np.diff(code, prepend=-1))
-    offsets = pa.array(np.concatenate([starts, [len(keys), len(keys) + n]]).astype(np.int32))  # the last list: entries
-    at = pa.array(np.concatenate([row, np.arange(n)]))
-    numbers = pa.array(np.concatenate([tf, np.bincount(row, minlength=n)]).astype(np.int32))
-    terms = pa.concat_arrays([words.dictionary.take(pa.array(code[starts])).cast(pa.string()), pa.nulls(1, pa.string())])
-    lists = [pa.ListArray.from_arrays(offsets, values) for values in (ids.take(at), lengths.take(at).cast(pa.int32()), lives.take(at), numbers)]
-    part = pa.array(np.full(len(terms), zlib.crc32(ids[0].as_py().encode()), dtype=np.int64))
-    return pa.RecordBatch.from_arrays([terms, *lists, part], ["term", "ids", "lengths", "lives", "tfs", "part"])
+    offsets = pa.array(np.append(starts, len(keys)).astype(np.int32))
+    terms = words.dictionary.take(pa.array(code[starts])).cast(pa.string())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v.astype(np.int32))) for v in (row, tf)]
+    none = {c: pa.list_(t) for c, t in (("ids", pa.string()), ("lengths", pa.int32()), ("lives", pa.bool_()))}
+    block = ids[0].as_py()  # a note is in one block of a run
+    yield pa.RecordBatch.from_arrays([terms, pa.array([block] * len(terms), pa.string()), *lists, *[pa.nulls(len(terms), t) for t in none.values()]], [*_NAMES])
+    whole, terms_of = pa.array([0, n], pa.int32()), pa.array(np.bincount(row, minlength=n).astype(np.int32))
+    notes_of = [pa.ListArray.from_arrays(whole, v) for v in (terms_of, ids.cast(pa.string()), lengths.cast(pa.int32()), lives)]
+    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([block], pa.string()), pa.nulls(1, pa.list_(pa.int32())), *notes_of], [*_NAMES])
 
 
-def _rows(lists: DataFrame) -> DataFrame:
-    each = F.explode(F.arrays_zip("ids", "lengths", "lives", "tfs")).alias("p")
-    return lists.select("term", each).select("term", F.col("p.ids").alias("id"), F.col("p.lengths").alias("length"), F.col("p.lives").alias("live"), F.col("p.tfs").cast("bigint").alias("tf"))
+_NAMES = ("term", "block", "places", "tfs", "ids", "lengths", "lives")
 
 
-def _listed(rows: DataFrame, parts: Column) -> DataFrame:
-    """Rows (term, id, length, live, tf) as lists, a term's divided into ``parts`` by the id."""
-    p = F.array_sort(F.collect_list(F.struct("id", "length", "live", F.col("tf").cast("int").alias("tf"))))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts)).groupBy("term", "part").agg(p.alias("p"))
-    return rows.select("term", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("id", "length", "live", "tf")], "part")
+def _notes(blocks: DataFrame) -> DataFrame:
+    """(block, place, id, length, live, terms) of blocks of notes."""
+    each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "lengths", "lives", "tfs")).alias("place", "p"))
+    return each.select("block", "place", F.col("p.ids").alias("id"), F.col("p.lengths").alias("length"), F.col("p.lives").alias("live"), F.col("p.tfs").cast("bigint").alias("terms"))
+
+
+def _rows(lists: DataFrame, blocks: DataFrame) -> DataFrame:
+    each = lists.select("term", "block", F.explode(F.arrays_zip("places", "tfs")).alias("p"))
+    each = each.select("term", "block", F.col("p.places").alias("place"), F.col("p.tfs").cast("bigint").alias("tf"))
+    return each.join(_notes(blocks), ["block", "place"]).select("term", "id", "length", "live", "tf")
+
+
+def _listed(rows: DataFrame, entries: DataFrame, parts: Column) -> DataFrame:
+    """Rows (term, id, length, live, tf) and entries (id, length, live, terms) as lists, in blocks by a hash of the id."""
+    block = F.pmod(F.xxhash64("id"), parts).cast("string").alias("block")
+    p = F.array_sort(F.collect_list(F.struct("id", "length", "live", F.col("terms").cast("int").alias("terms"))))
+    blocks = entries.groupBy(block).agg(p.alias("p"))
+    blocks = blocks.select(F.lit(None).cast("string").alias("term"), "block", F.lit(None).cast("array<int>").alias("places"), F.col("p.terms").alias("tfs"), F.col("p.id").alias("ids"), F.col("p.length").alias("lengths"), F.col("p.live").alias("lives"))
+    blocks = written(blocks)
+    placed = rows.join(_notes(blocks).select("id", "block", "place"), "id").groupBy("term", "block")
+    lists = placed.agg(F.array_sort(F.collect_list(F.struct("place", F.col("tf").cast("int").alias("tf")))).alias("p"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<string>"), ("lengths", "array<int>"), ("lives", "array<boolean>"))]
+    return lists.select("term", "block", F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), *none).unionByName(blocks)
 
 
 class DeltaIndex:
@@ -114,17 +131,19 @@ class DeltaIndex:
     def _postings(self, run: Run) -> DataFrame:
         return self.spark.read.schema(f"{_LISTS}, bucket int").parquet(f"{run.path}/postings")
 
+    def _blocks(self, run: Run) -> DataFrame:
+        return self._postings(run).where(F.col("bucket") == ENTRIES)
+
     def _entries(self, runs: list[Run]) -> DataFrame:
-        """(id, length, terms, run): what the runs say of their notes."""
-        out = self.spark.createDataFrame([], "id string, length int, terms long, run long")
+        """(id, length, live, terms, run): what the runs say of their notes."""
+        out = self.spark.createDataFrame([], "id string, length int, live boolean, terms long, run long")
         for run in runs:
-            rows = _rows(self._postings(run).where(F.col("bucket") == ENTRIES))
-            out = out.unionAll(rows.select("id", "length", F.col("tf").alias("terms"), F.lit(run.first).cast("bigint")))
+            out = out.unionAll(_notes(self._blocks(run)).select("id", "length", "live", "terms", F.lit(run.first).cast("bigint")))
         return out
 
     @staticmethod
     def _newest(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("id").agg(F.max_by(F.struct("length", "terms"), "run").alias("e")).select("id", "e.length", "e.terms")
+        return entries.groupBy("id").agg(F.max_by(F.struct("length", "live", "terms"), "run").alias("e")).select("id", "e.*")
 
     def _written(self, run: Run, lists: DataFrame) -> DataFrame:
         """Write lists to the folders of their buckets, sorted by term; the run's entries. A folder's lists are dealt to as
@@ -132,7 +151,7 @@ class DeltaIndex:
         removed(self.spark, run.path)  # what a try that was cut off has left
         tasks = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
         bucket = F.when(F.col("term").isNull(), ENTRIES).otherwise(bucket_of(F.col("term")))
-        dealt = lists.withColumn("bucket", bucket).repartition("bucket", F.pmod("part", F.lit(tasks))).drop("part")
+        dealt = lists.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(tasks)))
         dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{run.path}/postings")
         return self._entries([run])
 
@@ -163,7 +182,7 @@ class DeltaIndex:
         tokens = F.when(put, X.index_tokens(F.col("title"), F.col("content"), F.col("tags")))
         notes = rows.where("op IN ('put', 'drop')").select("id", "live", tokens.alias("tokens"))
         run = Run(batch, batch, f"{self.path}/runs/{batch}-{batch}")
-        entries = self._written(run, notes.mapInArrow(_counted, f"{_LISTS}, part long"))
+        entries = self._written(run, notes.mapInArrow(_counted, _LISTS))
         before = self._newest(self._entries(runs).join(entries.select("id"), "id", "left_semi")).select("id", F.col("length").alias("old"))
         change = (F.coalesce(F.sum("length"), F.lit(0)) - F.coalesce(F.sum("old"), F.lit(0))).alias("length")
         self._commit(run, entries.join(before, "id", "left").agg((F.count("length") - F.count("old")).alias("docs"), change, F.coalesce(F.sum("terms"), F.lit(0)).alias("postings")))
@@ -190,9 +209,8 @@ class DeltaIndex:
         run = Run(runs[0].first, runs[-1].last, f"{self.path}/runs/{runs[0].first}-{runs[-1].last}")
         notes = sum(self.spark.read.schema(_NUMBERS).parquet(f"{r.path}/numbers").first().docs for r in runs)
         parts = F.lit(max(1, -(-notes // LIST)))
-        rows = self._valid(runs, self._postings).unionAll(entries.select(F.lit(None).cast("string"), "id", "length", F.lit(True), "terms"))
-        written = self._written(run, _listed(rows, parts))
-        postings = written.agg(F.coalesce(F.sum("terms"), F.lit(0)).alias("postings"))
+        written_entries = self._written(run, _listed(self._valid(runs, self._postings), entries, parts))
+        postings = written_entries.agg(F.coalesce(F.sum("terms"), F.lit(0)).alias("postings"))
         self._commit(run, self._numbers(runs).crossJoin(postings))
 
     def vacuum(self) -> int:
@@ -208,7 +226,7 @@ class DeltaIndex:
         """Postings of the runs whose note no later run has an entry for."""
         found = self.spark.createDataFrame([], f"{_ROWS}, run long")
         for run in runs:
-            rows = _rows(lists_of(run).where(F.col("bucket") != ENTRIES))
+            rows = _rows(lists_of(run).where(F.col("bucket") != ENTRIES), self._blocks(run))
             found = found.unionAll(rows.withColumn("run", F.lit(run.first).cast("bigint")))
         touched = self._entries(runs[1:]).groupBy("id").agg(F.max("run").alias("touched"))
         return found.join(touched, "id", "left").where("touched IS NULL OR touched <= run").select("term", "id", "length", "live", "tf")
