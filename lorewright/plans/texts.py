@@ -39,7 +39,7 @@ def str_tokens(n: DataFrame) -> DataFrame:
 @_note
 def str_shingles(n: DataFrame) -> DataFrame:
     s = X.shingles(F.col("title"), F.col("content"))
-    return n.select("id", F.size(s).alias("n_shingles"), F.element_at(s, 1).alias("first"))
+    return n.select("id", F.size(s).alias("n_shingles"), F.get(s, 0).alias("first"))
 
 
 @_note
