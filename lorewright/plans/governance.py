@@ -51,7 +51,7 @@ def sec_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sec_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat("content", F.lit(" ask ann@x.org or b"), "id", F.lit("@x.org, then ann@x.org"))
-    return notes(spark, sf_dir).select("id", S.pseudonyms_udf(text).alias("h")).select("id", F.md5(F.col("h.text").cast("binary")).alias("text_md5"), F.size("h.names").alias("names"))
+    return notes(spark, sf_dir).where("content IS NOT NULL").select("id", S.pseudonyms_udf(text).alias("h")).select("id", F.md5(F.col("h.text").cast("binary")).alias("text_md5"), F.size("h.names").alias("names"))
 
 
 def sec_private_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
