@@ -104,6 +104,34 @@ def _listed(rows: DataFrame, entries: DataFrame, parts: Column) -> DataFrame:
     return lists.select("term", "block", F.col("p.place").alias("places"), F.col("p.tf").alias("tfs"), *none).unionByName(blocks)
 
 
+def write_lists(lists: DataFrame, path: str) -> None:
+    """Write lists to the folders of their buckets, sorted by term. A folder's lists are dealt to as many tasks as the
+    session's number of shuffle partitions has times the number of folders."""
+    tasks = -(-int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    bucket = F.when(F.col("term").isNull(), ENTRIES).otherwise(bucket_of(F.col("term")))
+    dealt = lists.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(tasks)))
+    dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
+def write_counted(notes: DataFrame, path: str) -> None:
+    """Write the lists of notes (id, live, tokens)."""
+    write_lists(notes.mapInArrow(_counted, _LISTS), path)
+
+
+def read_lists(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{_LISTS}, bucket int").parquet(path)
+
+
+def postings_of(lists: DataFrame, terms: list[str] | None = None) -> DataFrame:
+    """(term, id, length, live, tf) of the ``terms``, or of all."""
+    found = lists.where(F.col("bucket") != ENTRIES) if terms is None else _of_terms(lists, terms, keep=True)
+    return _rows(found, lists.where(F.col("bucket") == ENTRIES))
+
+
+def entries_of(lists: DataFrame) -> DataFrame:
+    return _notes(lists.where(F.col("bucket") == ENTRIES))
+
+
 class DeltaIndex:
     """An index below a folder; it answers what a :class:`.index.WordIndex` answers. One writer at a time, any number of readers."""
 
@@ -129,7 +157,7 @@ class DeltaIndex:
         return out
 
     def _postings(self, run: Run) -> DataFrame:
-        return self.spark.read.schema(f"{_LISTS}, bucket int").parquet(f"{run.path}/postings")
+        return read_lists(self.spark, f"{run.path}/postings")
 
     def _blocks(self, run: Run) -> DataFrame:
         return self._postings(run).where(F.col("bucket") == ENTRIES)
@@ -146,13 +174,9 @@ class DeltaIndex:
         return entries.groupBy("id").agg(F.max_by(F.struct("length", "live", "terms"), "run").alias("e")).select("id", "e.*")
 
     def _written(self, run: Run, lists: DataFrame) -> DataFrame:
-        """Write lists to the folders of their buckets, sorted by term; the run's entries. A folder's lists are dealt to as
-        many tasks as the session's number of shuffle partitions has times the number of folders."""
+        """Write the run's lists; its entries."""
         removed(self.spark, run.path)  # what a try that was cut off has left
-        tasks = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-        bucket = F.when(F.col("term").isNull(), ENTRIES).otherwise(bucket_of(F.col("term")))
-        dealt = lists.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("block"), F.lit(tasks)))
-        dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{run.path}/postings")
+        write_lists(lists, f"{run.path}/postings")
         return self._entries([run])
 
     def _commit(self, run: Run, numbers: DataFrame) -> None:
