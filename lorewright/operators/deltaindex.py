@@ -86,9 +86,11 @@ def _notes(blocks: DataFrame) -> DataFrame:
 
 
 def _rows(lists: DataFrame, blocks: DataFrame) -> DataFrame:
-    each = lists.select("term", "block", F.explode(F.arrays_zip("places", "tfs")).alias("p"))
-    each = each.select("term", "block", F.col("p.places").alias("place"), F.col("p.tfs").cast("bigint").alias("tf"))
-    return each.join(_notes(blocks), ["block", "place"]).select("term", "id", "length", "live", "tf")
+    """Lists meet their block as a whole, so no posting is shuffled."""
+    notes = blocks.select("block", F.arrays_zip("ids", "lengths", "lives").alias("notes"))
+    found = lists.select("term", "block", F.arrays_zip("places", "tfs").alias("p")).join(notes, "block")
+    each = found.select("term", F.explode(F.transform("p", lambda p: F.struct(F.get("notes", p["places"]).alias("n"), p["tfs"].cast("bigint").alias("tf")))).alias("x"))
+    return each.select("term", F.col("x.n.ids").alias("id"), F.col("x.n.lengths").alias("length"), F.col("x.n.lives").alias("live"), F.col("x.tf").alias("tf"))
 
 
 def _listed(rows: DataFrame, entries: DataFrame, parts: Column) -> DataFrame:
@@ -128,6 +130,12 @@ def postings_of(lists: DataFrame, terms: list[str] | None = None) -> DataFrame:
     return _rows(found, lists.where(F.col("bucket") == ENTRIES))
 
 
+def postings_of_table(lists: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As :func:`postings_of` for a table (term) of distinct terms, and (term, df); lists of other terms are left out first."""
+    found = lists.where(F.col("term").isNotNull()).join(terms, "term", "left_semi")
+    return _rows(found, lists.where(F.col("bucket") == ENTRIES)), found.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
+
+
 def entries_of(lists: DataFrame) -> DataFrame:
     return _notes(lists.where(F.col("bucket") == ENTRIES))
 

@@ -134,9 +134,8 @@ def bm25_and_or(notes: DataFrame, terms: list[str], limit: int, stats: dict[str,
 def bm25_of_queries(index: WordIndex, queries: DataFrame) -> DataFrame:
     """RET-02 for a table of queries (query_id, terms): (query_id, id, bm25), by one join of their terms with the postings."""
     n, mean = index.sizes
-    every = index.all()
     asked = queries.select("query_id", F.explode(F.array_distinct(F.transform("terms", X.fold_accents))).alias("term"))
-    df = every.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    every, df = index.of_table(asked.select("term").distinct())
     idf = df.select("term", F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     gain = F.col("idf") * ((F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * (F.col("length") / F.lit(mean)))))
     return every.where("live").join(asked.join(idf, "term"), "term").groupBy("query_id", "id").agg(F.sum(gain).alias("bm25"))
