@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,10 +157,22 @@ def cluster_weights(mention_edges: DataFrame, claim_edges: DataFrame) -> DataFra
     return rows.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum("w").alias("w"))
 
 
+def pair_weights(pairs: DataFrame, claimed: Column) -> DataFrame:
+    """GRA-07 over pairs (source, target) that are mention edges, and claims too where ``claimed`` (of the pair alone) holds.
+
+    Gives what :func:`cluster_weights` gives for the distinct pairs, by one grouping; repeated pairs count once.
+    """
+    w = F.when(claimed, 3.0).otherwise(1.0)
+    one_way, other_way = F.max(F.when(F.col("source") < F.col("target"), w)), F.max(F.when(F.col("source") > F.col("target"), w))
+    rows = pairs.where("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"))
+    return rows.agg((F.coalesce(one_way, F.lit(0.0)) + F.coalesce(other_way, F.lit(0.0))).alias("w"))
+
+
 def modularity(weights: DataFrame, partition: DataFrame) -> DataFrame:
-    """GRA-09: Q of (node, community) over edges (a, b, w): two sums by community."""
+    """GRA-09: Q of (node, community) over edges (a, b, w): edges are read once and summed by the communities of their ends."""
     p = partition.select("node", "community")
     ends = weights.join(p.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(p.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    ends = written(ends.groupBy("ca", "cb").agg(F.sum("w").alias("w")))
     total = ends.agg(F.sum("w").alias("m"))
     inside = ends.where("ca = cb").groupBy(F.col("ca").alias("c")).agg(F.sum("w").alias("inside"))
     degree = ends.select(F.col("ca").alias("c"), "w").unionAll(ends.select("cb", "w")).groupBy("c").agg(F.sum("w").alias("k"))
@@ -240,14 +256,37 @@ def communities(weights: DataFrame, most: int = WINDOW_NODES * WINDOW_NODES) ->
     return flat.groupBy(F.lit(1).alias("all")).applyInPandas(lambda rows: run(rows), "node string, community int, size int")
 
 
+def _near_lists(weights: DataFrame) -> DataFrame:
+    """(v, u, w): for each node lists of the nodes around it and their weights; a node of many edges has several rows."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u"), "w"), F.struct(F.col("b").alias("v"), F.col("a").alias("u"), "w")))
+    rows = weights.select(ends.alias("e")).select("e.*").where("v IS NOT NULL").repartition("v").sortWithinPartitions("v")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, v = batch.num_rows, batch.column("v")
+            if n:
+                new = pc.not_equal(v.slice(1), v.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                at = np.concatenate([[0], np.flatnonzero(new) + 1, [n]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([v.take(pa.array(at[:-1])), *[pa.ListArray.from_arrays(pa.array(at), batch.column(c)) for c in ("u", "w")]], ["v", "u", "w"])
+
+    return rows.mapInArrow(lambda b: lists(b), f"v {kinds['v']}, u array<{kinds['u']}>, w array<{kinds['w']}>")
+
+
 def propagate(weights: DataFrame, rounds: int = 10) -> DataFrame:
-    """GRA-08 for whole graphs: weighted label propagation by joins; each node takes the label with most weight around it (ties: the smallest)."""
-    both = written(weights.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionAll(weights.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")))
-    label = both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node"))
+    """GRA-08 for whole graphs: weighted label propagation by joins; each node takes the label with most weight around it (ties: the smallest).
+
+    A round joins each node's label with its lists of neighbours and shuffles one vote for each direction of an edge, by the
+    node it is for; votes are summed and decided there, so a node has as many votes as neighbours at most.
+    """
+    near = written(_near_lists(weights))
+    label = near.select(F.col("v").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):
-        votes = both.join(label.select(F.col("node").alias("v"), "label"), "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
-        own = label.select(F.col("node").alias("u"), "label").withColumn("w", F.lit(0.5))
-        label = written(votes.unionByName(own).groupBy("u", "label").agg(F.sum("w").alias("w")).groupBy("u").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")).withColumnRenamed("u", "node"))
+        own = label.select(F.col("node").alias("u"), "label", F.lit(0.5).cast("double").alias("w"))
+        met = near.join(label.hint("shuffle_hash").withColumnRenamed("node", "v"), "v")
+        votes = met.select("label", F.explode(F.arrays_zip("u", "w")).alias("e")).select("e.u", "label", F.col("e.w").cast("double").alias("w"))
+        votes = votes.unionByName(own).repartition("u")
+        label = written(votes.groupBy("u", "label").agg(F.sum("w").alias("w")).groupBy("u").agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")).withColumnRenamed("u", "node"))
     return label.withColumnRenamed("label", "community")
 
 
