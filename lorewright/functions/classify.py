@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 #: Words of instructions.
 HOW_TO = ["anleitung", "howto", "how to", "how-to", "tutorial", "schritt fuer schritt", "schritt für schritt", "step by step", "installation", "einrichten", "setup", "vorgehen", "ablauf", "checkliste", "checklist", "rezept", "recipe", "playbook", "runbook", "leitfaden", "guide"]
 #: Words of events.
@@ -28,6 +33,17 @@ TOPICS = {
     "guides": r"anleitung|how[- ]?to|vorgehen|rezept|workflow|checkliste|so geht|setup|installation|schritt \d|step \d",
     "links": r"https?://|www\.|arxiv|github|quelle:|link zur",
 }
+#: Each match of a topic's pattern has one of these, in lower case (or, for events, a date's digits).
+TOPIC_PARTS = {
+    "people": ["herr", "frau", "mr.", "mrs.", "kolleg", "kund", "geburtstag", "telefon", "+4", "mail:", "kontakt", "miller"],
+    "projects": ["shop", "projekt", "mandant", "kanzlei", "auftrag", "freqtrade"],
+    "events": ["meeting", "termin", "getroffen", "passierte", "geschah", "gestern", "letzte woche"],
+    "tasks": ["todo", "to-do", "offene punkte", "muss noch", "erledigen", "fällig", "frist", "deadline", "action item", "zu tun", "nächste schritte", "next steps"],
+    "guides": ["anleitung", "howto", "how-to", "how to", "vorgehen", "rezept", "workflow", "checkliste", "so geht", "setup", "installation", "schritt ", "step "],
+    "links": ["http", "www.", "arxiv", "github", "quelle:", "link zur"],
+}
+#: Letters beside those of ASCII that stand for s, i or k without regard to case.
+FOLDED = ["ſ", "ı", "İ", "\u212a"]
 #: The edge of an ASCII word, on either side.
 EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 STEP = r"(?i)^\s*(\d{1,2}[.)]|schritt\s+\d|step\s+\d)\s+\S"
@@ -56,8 +72,8 @@ def _first_of(text: Column, words: list[str]) -> Column:
 
 def note_type(title: Column, content: Column, tags: Column, source: Column) -> Column:
     """CLS-01: struct (type, reason), from the strongest evidence to the weakest."""
-    title_low, low = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(content, F.lit("")))
     content = F.coalesce(content, F.lit(""))
+    title_low, low = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.substring(content, 1, 400))
     tags = F.transform(F.coalesce(tags, F.array().cast("array<string>")), F.lower)
     steps = numbered_steps(content)
     how = F.coalesce(_first_of(title_low, HOW_TO), _first_of(F.substring(low, 1, 400), HOW_TO))
@@ -113,8 +129,21 @@ def carrier(content: Column, tags: Column, source: Column) -> Column:
 def topics(title: Column, content: Column, carried_by: Column) -> Column:
     """CLS-04: all topics a text has; code has none."""
     text = F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(content, F.lit("")))
-    found = F.filter(F.array(*[F.when(text.rlike(f"(?iu){EDGE}({words}){EDGE}"), name) for name, words in TOPICS.items()]), lambda t: t.isNotNull())
-    return F.when(carried_by == "code", F.array().cast("array<string>")).otherwise(found)
+    text = F.when(carried_by == "code", F.lit(None).cast("string")).otherwise(text)
+    low = F.lower(text)
+    # letters that are those of the patterns without regard to case, though their lower case is not
+    other = _says(text, FOLDED)
+    found = []
+    for name, words in TOPICS.items():
+        may = other | _says(low, TOPIC_PARTS[name])
+        if name == "events":
+            may = may | text.rlike("[0-9][-.][0-9]")
+        found.append(F.when(may & text.rlike(f"(?iu){EDGE}({words}){EDGE}"), name).otherwise(""))
+    return F.array_remove(F.array(*found), "")
+
+
+def _says(text: Column, parts: list[str]) -> Column:
+    return functools.reduce(operator.or_, [text.contains(p) for p in parts])
 
 
 def topic_bucket(found: Column) -> Column:
@@ -124,19 +153,24 @@ def topic_bucket(found: Column) -> Column:
 
 def unusable(content: Column) -> Column:
     """CLS-05: the reason a text carries no knowledge, or null."""
-    raw = F.regexp_replace(F.coalesce(content, F.lit("")), r"^\s+|\s+$", "")
-    words = F.regexp_extract_all(F.regexp_replace(raw, TAG, " "), F.lit(r"\p{L}[\p{L}\-']{2,}"), F.lit(0))
-    lines = F.filter(F.transform(F.split(raw, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    forms = F.array_sort(F.transform(lines, lambda x: F.substring(F.regexp_replace(F.regexp_replace(x, r"\d+", "#"), r"\s+", " "), 1, 60)))
-    most = _longest_run(forms)
-    distinct = F.size(F.array_distinct(F.transform(words, F.lower)))
-    return (
-        F.when(F.length(raw) < 20, "nearly empty")
-        .when(markup_share(raw) > 0.4, "mostly markup")
-        .when((F.length(raw) > 300) & (F.size(words) < 20), "many characters, few words")
-        .when((F.size(lines) >= 8) & (most / F.size(lines) > 0.7), "one form of line")
-        .when((F.size(words) >= 40) & (distinct / F.size(words) < 0.12), "few different words")
-    )
+    def judged(raw: Column, words: Column, lines: Column) -> Column:
+        forms = F.array_sort(F.transform(lines, lambda x: F.substring(F.regexp_replace(F.regexp_replace(x, r"\d+", "#"), r"\s+", " "), 1, 60)))
+        most = _longest_run(forms)
+        distinct = F.size(F.array_distinct(F.transform(words, F.lower)))
+        return (
+            F.when(F.length(raw) < 20, "nearly empty")
+            .when(markup_share(raw) > 0.4, "mostly markup")
+            .when((F.length(raw) > 300) & (F.size(words) < 20), "many characters, few words")
+            .when((F.size(lines) >= 8) & (most / F.size(lines) > 0.7), "one form of line")
+            .when((F.size(words) >= 40) & (distinct / F.size(words) < 0.12), "few different words")
+        )
+
+    def parts(raw: Column) -> Column:
+        words = F.regexp_extract_all(F.regexp_replace(raw, TAG, " "), F.lit(r"\p{L}[\p{L}\-']{2,}"), F.lit(0))
+        lines = F.filter(F.transform(F.split(raw, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+        return once(F.struct(words.alias("words"), lines.alias("lines")), lambda p: judged(raw, p["words"], p["lines"]))
+
+    return once(F.regexp_replace(F.coalesce(content, F.lit("")), r"^\s+|\s+$", ""), parts)
 
 
 def _longest_run(ordered: Column) -> Column:

@@ -162,11 +162,14 @@ def list_groups(notes: DataFrame, mode: str, now_ms: int) -> DataFrame:
     from ..functions import text as X
 
     if mode == "file":
-        s = X.source_of(F.col("content"))
+        notes = notes.select("id", F.explode(F.array(X.source_of(F.col("content")))).alias("s"))  # found once for all its uses
+        s = F.col("s")
         inbox = s["path"].startswith("inbox ")
         key = F.when(s["kind"] == "none", "none").when(inbox, F.concat(F.lit("inbox:"), F.regexp_replace(s["path"], "^inbox ", ""))).otherwise(F.concat(s["kind"], F.lit(":"), s["path"]))
     elif mode == "topic":
-        key = F.explode(C.topic_bucket(C.topics(F.col("title"), F.col("content"), C.carrier(F.coalesce("content", F.lit("")), F.col("tags"), F.lit(None).cast("string")))))
+        found = C.topics(F.col("title"), F.col("content"), C.carrier(F.coalesce("content", F.lit("")), F.col("tags"), F.lit(None).cast("string")))
+        notes = notes.select("id", F.explode(F.array(found)).alias("found"))
+        key = F.explode(C.topic_bucket(F.col("found")))
     elif mode == "type":
         key = F.concat(F.lit("type:"), F.coalesce("type", F.lit("semantic")))
     elif mode == "period":

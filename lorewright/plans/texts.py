@@ -134,7 +134,8 @@ def cls_carrier(n: DataFrame) -> DataFrame:
 
 @_note
 def cls_topics(n: DataFrame) -> DataFrame:
-    return n.select("id", F.explode(C.topic_bucket(C.topics(F.concat("title", F.lit(" shop")), F.col("content"), F.lit("notes")))).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+    found = n.select("id", F.explode(F.array(C.topics(F.concat("title", F.lit(" shop")), F.col("content"), F.lit("notes")))).alias("found"))
+    return found.select("id", F.explode(C.topic_bucket(F.col("found"))).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 @_note
