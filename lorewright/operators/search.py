@@ -183,26 +183,39 @@ def rerank(query: str, title: Column, content: Column, tags: Column) -> Column:
     if not terms:
         return F.lit(None).cast("double")
 
-    def stems(c: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""), X.stem))
-
-    in_title, in_text = stems(title), F.array_union(stems(content), stems(title))
+    ending = re.compile("(ung|en|er|es|em|e|s|n)$")
+    stems_of_terms = [ending.sub("", term) for term in terms]
+    # a stem that is one of these, begins with one or is the beginning of one has its first letter, or none
+    first = sorted({st[:1] for st in stems_of_terms if st})
 
-    def near(st: str) -> Column:
-        return F.exists(in_text, lambda d: d.startswith(st) | F.lit(st).startswith(d))
+    def near_terms(w: Column) -> Column:
+        out = w.isin("ung", "en", "er", "es", "em", "e", "s", "n")
+        for letter in first:
+            out = w.startswith(letter) | out
+        return out
 
-    tag_stems = F.transform(tags, lambda t: X.stem(F.lower(t)))
-    ending = re.compile("(ung|en|er|es|em|e|s|n)$")
-    coverage, title_coverage, tag = F.lit(0.0), F.lit(0.0), F.lit(False)
-    for term in terms:
-        st = ending.sub("", term)
-        loose = near(st) if len(st) >= 4 else F.lit(False)
-        coverage = coverage + F.when(F.array_contains(in_text, st), 1.0).when(loose, 0.6).otherwise(0.0)
-        title_coverage = title_coverage + F.array_contains(in_title, st).cast("double")
-        tag = tag | F.array_contains(tag_stems, st)
-    score = coverage / len(terms) * 0.6 + F.least(title_coverage / len(terms), F.lit(1.0)) * 0.2
-    score = score + F.when(F.lower(content).contains(q), 0.15).otherwise(0.0) + F.when(F.lower(title).contains(q), 0.25).otherwise(0.0) + F.when(tag, 0.1).otherwise(0.0)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    def stems(c: Column) -> Column:
+        return F.array_distinct(F.transform(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), near_terms), X.stem))
+
+    def judged(in_title: Column, in_text: Column) -> Column:
+        def near(st: str) -> Column:
+            return F.exists(in_text, lambda d: d.startswith(st) | F.lit(st).startswith(d))
+
+        tag_stems = F.transform(tags, lambda t: X.stem(F.lower(t)))
+        coverage, title_coverage, tag = F.lit(0.0), F.lit(0.0), F.lit(False)
+        for st in stems_of_terms:
+            loose = near(st) if len(st) >= 4 else F.lit(False)
+            coverage = coverage + F.when(F.array_contains(in_text, st), 1.0).when(loose, 0.6).otherwise(0.0)
+            title_coverage = title_coverage + F.array_contains(in_title, st).cast("double")
+            tag = tag | F.array_contains(tag_stems, st)
+        score = coverage / len(terms) * 0.6 + F.least(title_coverage / len(terms), F.lit(1.0)) * 0.2
+        score = score + F.when(F.lower(content).contains(q), 0.15).otherwise(0.0) + F.when(F.lower(title).contains(q), 0.25).otherwise(0.0) + F.when(tag, 0.1).otherwise(0.0)
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+    def with_title(in_title: Column) -> Column:
+        return X.once(F.array_union(stems(content), in_title), lambda in_text: judged(in_title, in_text))
+
+    return X.once(stems(title), with_title)
 
 
 def search_filter(s: Search) -> Column:
