@@ -126,3 +126,33 @@ def test_postings_are_counted_without_a_shuffle(spark):
     rows = postings(spark.createDataFrame([("a", "one", "red red", ["t"]), ("b", None, None, None)], "id string, title string, content string, tags array<string>"))
     assert "Exchange" not in _plan(rows)
     assert {(r.term, r.id, r.length, r.tf) for r in rows.collect()} == {("one", "a", 4, 1), ("red", "a", 4, 2), ("t", "a", 4, 1)}
+
+
+def test_words_of_a_text_are_cut_once(spark):
+    from lorewright.functions import text as X
+    from lorewright.operators.secure import mask
+
+    rows = spark.createDataFrame([("one two three",)], "t string")
+    for made, pattern in ((X.client_tokens(F.col("t"), 2), "regexp_replace("), (X.shingles(F.col("t"), F.col("t")), "split("), (mask(F.col("t")), "sk-ant-[")):
+        assert rows.select(made.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count(pattern) == 1
+
+
+def test_topics_are_those_of_the_patterns_alone(spark):
+    from lorewright.functions import classify as C
+
+    texts = ["GITHUB", "a gıthub b", "gİthub", "Kontakt", "ſhop", "workshop", "on 2024-05-06", "1.2.2024", "1.2", "call x+49 1", "+49", "MUSS NOCH", "FÄLLIG", "e-mail: x", "how-to", "step 3", "schritt x", "see https://a", "", None, "Kundin", "Millers", "ttodo"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    plain = F.array(*[F.when(F.coalesce("t", F.lit("")).rlike(f"(?iu){C.EDGE}({words}){C.EDGE}"), name) for name, words in C.TOPICS.items()])
+    got = rows.select("n", C.topics(F.lit(""), F.col("t"), F.lit("notes")).alias("x"), F.array_compact(plain).alias("y")).collect()
+    assert [r.x for r in got] == [r.y for r in got] and sum(bool(r.x) for r in got) > 12
+    assert rows.select(C.topics(F.lit(""), F.col("t"), F.lit("code")).alias("x")).where("size(x) > 0").count() == 0
+    assert "contains(" in _plan(rows.select(C.topics(F.lit(""), F.col("t"), F.lit("notes")))).lower()
+
+
+def test_rerank_stems_only_words_that_can_count(spark):
+    from lorewright.operators import search as S
+
+    made = S.rerank("apache license en", F.col("t"), F.col("c"), F.array(F.lit("x")))
+    rows = spark.createDataFrame([("Title", "an apachen licensing es"), ("apache", "zebra"), ("zebra", "ap other"), ("e", "apaches a"), (None, None)], "t string, c string").select(F.round(made, 6).alias("r"))
+    assert [r.r for r in rows.collect()] == [0.52, 0.266667, 0.12, 0.586667, 0.2]  # as when all words are stemmed
+    assert "startswith" in _plan(rows).lower()
