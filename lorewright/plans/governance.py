@@ -46,7 +46,7 @@ def sec_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.substring("id", 2, 20).cast("long")
     account = F.concat(F.lit("DE"), F.lpad((n % 98).cast("string"), 2, "0"), F.lit("500105170123"), F.lpad((n % 1000000).cast("string"), 6, "0"))
     text = F.concat("content", F.lit(" write a"), "id", F.lit("@mail.example.org, account "), account, F.lit(", call +49 170 1234567 today"))
-    return notes(spark, sf_dir).select("id", F.explode(S.find_udf(text)).alias("f")).select("id", "f.*")
+    return notes(spark, sf_dir).select("id", F.explode(S.search_udf(text)).alias("f")).select("id", "f.*")
 
 
 def sec_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,3 +35,27 @@ PERSONAL = [
 @pytest.mark.parametrize("name", ["sec_pii", "sec_pseudonyms"])
 def test_personal_data_between_letters_of_all_kinds(against_sql, name):
     against_sql(name, PERSONAL)
+
+
+#: Values that come first where no pattern finds them, that overlap in chains, that one character alone divides, PEM keys and long ones.
+SEARCHED = [
+    "x4111111111111111 4111111111111111 and x4111111111111111",
+    "0171 234567,0171 234568;0171 234569, 0171 234567",
+    "-----BEGIN RSA PRIVATE KEY-----" + "k" * 40 + "-----END RSA PRIVATE KEY-----",
+    "eyJ" + "a" * 1500 + ".eyJ" + "b" * 12 + "." + "c" * 12 + " eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 1500,
+    "MT84MALT011000012345MTLCAST001S 4111111111111111@mail.example.org",
+    "pin: 4111111111111111-0171 234567@x.org token=abc 030/1234567",
+    "token=sk-" + "a1" * 12 + " ask, pwd: sk-" + "a1" * 12,
+]
+
+
+@pytest.mark.parametrize("name", ["sec_pii", "sec_pseudonyms"])
+def test_personal_data_is_found_as_a_search_finds_it(against_sql, name):
+    against_sql(name, SEARCHED)
+
+
+def test_names_of_overlapping_finds_are_written_as_in_the_sql():
+    from lorewright.operators.secure import pseudonyms
+
+    finds = lambda text: [("card", 1, 4, "bcd"), ("card", 3, 6, "def")]
+    assert pseudonyms("abcdefg", finds)[0] == "a[CARD-1]d[CARD-2]g"
