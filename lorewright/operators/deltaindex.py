@@ -115,9 +115,14 @@ def write_lists(lists: DataFrame, path: str) -> None:
     dealt.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 
+def counted_lists(notes: DataFrame) -> DataFrame:
+    """The lists of notes (id, live, tokens)."""
+    return notes.mapInArrow(_counted, _LISTS)
+
+
 def write_counted(notes: DataFrame, path: str) -> None:
     """Write the lists of notes (id, live, tokens)."""
-    write_lists(notes.mapInArrow(_counted, _LISTS), path)
+    write_lists(counted_lists(notes), path)
 
 
 def read_lists(spark: SparkSession, path: str) -> DataFrame:

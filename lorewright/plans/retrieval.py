@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import search as S
+from ..operators.batchsearch import bm25_top
 from ..sources.tables import CHUNKS_SQL, MENTIONS_SQL, NOTES_SQL, NOW_MS, active, chunks, mentions, notes, table, weight_index, word_index
+from ..store import written
 
 QUERY = "red widget apache license ertion"
 ALL = frozenset({"bm25", "vector", "entity"})
@@ -193,11 +195,12 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.substring("id", 2, 20).cast("long")
     asked = rows.where((number % 50 == 0) & (F.length("title") > 20)).select(F.col("id").alias("query_id"), X.content_terms(F.col("title")).alias("terms"))
     relevant = asked.select("query_id", F.col("query_id").alias("id"), F.lit("lexical").alias("category"))
-    found = S.bm25_of_queries(word_index(spark, sf_dir), asked)
+    found = bm25_top(word_index(spark, sf_dir), asked, 500)
     w = Window.partitionBy("query_id")
-    words = found.select("query_id", "id", F.row_number().over(w.orderBy(F.desc(F.round("bm25", 9)), "id")).alias("rank")).where("rank <= 500")
+    words = written(found).select("query_id", "id", F.row_number().over(w.orderBy(F.desc(F.round("bm25", 9)), "id")).alias("rank")).where("rank <= 500")
     live = rows.select("id")
-    named = asked.select("query_id", F.explode("terms").alias("word")).join(mentions(spark, sf_dir).select(F.col("memory_id").alias("id"), F.explode(F.array_distinct(F.split("entity", " "))).alias("word")), "word")
+    asked_words = written(asked.select("query_id", F.explode("terms").alias("word")))
+    named = asked_words.join(mentions(spark, sf_dir, asked_words.select("word").distinct()).select(F.col("memory_id").alias("id"), F.explode(F.array_distinct(F.split("entity", " "))).alias("word")), "word")
     named = named.join(live, "id", "left_semi").select("query_id", "id").distinct()
     concepts = named.select("query_id", "id", F.row_number().over(w.orderBy("id")).alias("rank"))
     both = words.unionAll(concepts).groupBy("query_id", "id").agg(F.sum(1 / (60 + F.col("rank"))).alias("rrf"))
